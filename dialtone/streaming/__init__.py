@@ -1,0 +1,5 @@
+"""No streaming operators: the reports are batch reports.
+
+Data is refreshed by running the extract again; a written mart replaces only
+the months that the run produced.
+"""
