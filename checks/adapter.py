@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialtone.config import ExtractConfig
 from dialtone.plans.extract import Sources
@@ -24,37 +24,36 @@ EXTRACT = ExtractConfig(
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _k() -> Column:
-    return F.regexp_extract("props", "[0-9]+", 0).cast("int")
-
-
-def _direction() -> Column:
-    return (
-        F.when(F.col("event_type") == "purchase", "MANUAL_OUTBOUND")
-        .when(F.col("event_type") == "signup", "OUTBOUND").otherwise("INBOUND")
-    )
-
+# Declared, so that opening a table needs no look into its files.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+K = "int(regexp_extract(props, '[0-9]+', 0))"
+DIRECTION = "CASE event_type WHEN 'purchase' THEN 'MANUAL_OUTBOUND' WHEN 'signup' THEN 'OUTBOUND' ELSE 'INBOUND' END"
+PASSED = "CASE WHEN k < 25 THEN 1 WHEN k < 40 THEN 0 END"
 
-def _passed(k: Column) -> Column:
-    return F.when(k < 25, 1).when(k < 40, 0)
 
-
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    keep = F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.countDistinct("l_linenumber").alias("line_orders"),
-        F.sum(price * keep).alias("line_value"),
-        F.max(_flag(F.col("l_returnflag") == "R")).alias("has_r"),
-        F.max(_flag(F.col("l_returnflag") == "A")).alias("has_a"),
+    """Order lines per call. Line numbers are small, so a bit per number counts
+    the distinct ones; values are summed in ten-thousandths, which is exact."""
+    cents = "bigint(round(l_extendedprice * 100)) * (100 - bigint(round(l_discount * 100)))"
+    return table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey AS event_id")).agg(
+        F.expr("bigint(bit_count(bit_or(shiftleft(1L, l_linenumber)))) AS line_orders"),
+        F.expr(f"sum({cents}) AS line_value"),
+        F.expr("max(l_returnflag = 'R') AS has_r"),
+        F.expr("max(l_returnflag = 'A') AS has_a"),
     )
 
 
@@ -62,43 +61,38 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call-mart rows."""
     place = (
         table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("c_custkey").alias("user_id"), "c_name", "r_name")
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr("c_custkey AS user_id", "c_name", "r_name")
     )
-    info = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("event_id"), "o_orderpriority", "o_orderstatus", "o_custkey")
-    events = table(spark, sf_dir, "events").withColumn("k", _k())
-    day, k = F.to_date("ts"), F.col("k")
-    orders = F.coalesce("line_orders", F.lit(0))
-    minutes = F.when(k != 7, F.col("value") / 60.0)
-    tenure = F.datediff(day, F.date_sub(F.lit(date(2024, 1, 1)), (F.col("user_id") % 200).cast("int")))
+    info = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS event_id", "o_orderpriority", "o_orderstatus", "o_custkey")
+    events = table(spark, sf_dir, "events").selectExpr(
+        "*", f"{K} AS k", "CAST(ts AS DATE) AS day",
+        "datediff(CAST(ts AS DATE), date_sub(DATE '2024-01-01', int(user_id % 200))) AS tenure")
     return (
         events.join(place, "user_id", "left").join(info, "event_id", "left")
-        .join(_lines(spark, sf_dir).withColumnRenamed("l_orderkey", "event_id"), "event_id", "left")
-        .select(
-            F.col("event_id").alias("call_id"), F.col("user_id").alias("agent_id"), "k",
-            F.col("ts").alias("call_time_est"), day.alias("call_date_est"),
-            F.when(F.col("has_a") == 1, "treatment").otherwise("control").alias("membership"),
-            F.col("c_name").alias("agent_name"), F.col("r_name").alias("center_location"),
-            F.col("o_orderpriority").alias("marketing_bucket"),
-            F.when(F.col("o_orderstatus") == "F", "mover").when(F.col("o_orderstatus") == "P", "switcher")
-            .otherwise("Uncollected").alias("moverSwitcher"),
-            F.when(tenure <= 30, "0-30 day Tenure").when(tenure <= 60, "31-60 day Tenure")
-            .when(tenure <= 90, "61-90 day Tenure").when(tenure <= 120, "91-120 day Tenure")
-            .when(tenure <= 150, "121-150 day Tenure").otherwise("Vet").alias("tenure_bucket"),
-            F.when(F.col("o_custkey") % 3 == 0, "Permalease").otherwise("Site Session").alias("call_type"),
-            _direction().alias("call_direction"),
-            _flag(k < 80).alias("ib_contact_calls"), _flag(k < 50).alias("credit_calls_flag"),
-            _flag(k < 25).alias("passed_credit_call_flag"),
-            _flag((k >= 25) & (k < 40)).alias("failed_credit_call_flag"),
-            _flag((k < 25) & (orders >= 4)).alias("passed_credit_sale_flag"),
-            _flag((k >= 25) & (k < 40) & (orders >= 4)).alias("failed_credit_sale_flag"),
-            orders.alias("orders"),
-            F.coalesce("line_value", F.lit(0)).cast("decimal(28,4)").alias("gcv_fo"),
-            F.coalesce("line_value", F.lit(0)).cast("decimal(28,4)").alias("total_revenue"),
-            minutes.alias("talk_time_minutes"),
-            F.coalesce("has_r", F.lit(0)).alias("tpsales_flag"),
+        .join(_lines(spark, sf_dir), "event_id", "left")
+        .selectExpr(
+            "event_id AS call_id", "user_id AS agent_id", "k", "ts AS call_time_est", "day AS call_date_est",
+            "if(coalesce(has_a, false), 'treatment', 'control') AS membership",
+            "c_name AS agent_name", "r_name AS center_location", "o_orderpriority AS marketing_bucket",
+            "CASE o_orderstatus WHEN 'F' THEN 'mover' WHEN 'P' THEN 'switcher' ELSE 'Uncollected' END AS moverSwitcher",
+            """CASE WHEN tenure <= 30 THEN '0-30 day Tenure' WHEN tenure <= 60 THEN '31-60 day Tenure'
+                WHEN tenure <= 90 THEN '61-90 day Tenure' WHEN tenure <= 120 THEN '91-120 day Tenure'
+                WHEN tenure <= 150 THEN '121-150 day Tenure' ELSE 'Vet' END AS tenure_bucket""",
+            "if(o_custkey % 3 = 0, 'Permalease', 'Site Session') AS call_type",
+            f"{DIRECTION} AS call_direction",
+            "int(k < 80) AS ib_contact_calls", "int(k < 50) AS credit_calls_flag",
+            "int(k < 25) AS passed_credit_call_flag",
+            "int(k >= 25 AND k < 40) AS failed_credit_call_flag",
+            "int(k < 25 AND coalesce(line_orders, 0) >= 4) AS passed_credit_sale_flag",
+            "int(k >= 25 AND k < 40 AND coalesce(line_orders, 0) >= 4) AS failed_credit_sale_flag",
+            "coalesce(line_orders, 0) AS orders",
+            "CAST(coalesce(line_value, 0) * 0.0001BD AS DECIMAL(18,4)) AS gcv_fo",
+            "CAST(coalesce(line_value, 0) * 0.0001BD AS DECIMAL(18,4)) AS total_revenue",
+            "CASE WHEN k <> 7 THEN value / 60D END AS talk_time_minutes",
+            "int(coalesce(has_r, false)) AS tpsales_flag",
         )
     )
 
@@ -106,48 +100,38 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lift facts: calls from the launch on are post rows; each earlier call is a
     fixed-baseline row and a weekly-baseline row of every post week."""
-    c = calls(spark, sf_dir)
-    k, agent = F.col("k"), F.col("agent_id")
-    label = F.date_format(F.date_trunc("week", "call_date_est"), "MM/dd/yyyy")
-
-    def role(period: str, post_week: Column) -> Column:
-        return F.struct(F.lit(period).alias("period"), post_week.cast("string").alias("post_week"))
-
-    before = F.array(role("pre", F.lit(None)), *[role("pre_weekly", F.lit(w)) for w in POST_WEEKS])
-    roles = F.when(F.col("call_date_est") >= F.lit(LAUNCH), F.array(role("post", F.lit(None)))).otherwise(before)
-    return c.select(
-        F.inline(roles), label.alias("week"),
-        F.when(agent % 7 != 3, F.when(agent % 2 == 0, "treatment").otherwise("control")).alias("cohort"),
-        F.when(agent % 11 != 5, F.when(agent % 4 < 2, "treatment").otherwise("control")).alias("canonical_cohort"),
-        F.col("call_time_est").alias("call_datetime_est"),
-        F.col("call_date_est").cast("timestamp_ntz").alias("call_date_fo"),
-        "call_direction", "marketing_bucket", F.col("moverSwitcher").alias("mover_switcher"),
-        "call_type", "tenure_bucket", "talk_time_minutes",
-        F.col("orders").alias("order_orders"), F.col("total_revenue").alias("gcv_revenue"),
-        _flag(F.col("call_direction") == "INBOUND").alias("ibcalls"),
-        F.col("credit_calls_flag").alias("credit_calls_ind"), _passed(k).alias("passed_credit_call_ind"),
-        "ib_contact_calls", F.col("passed_credit_sale_flag").alias("passed_credit_sale"),
-        F.col("failed_credit_sale_flag").alias("failed_credit_sale"),
+    def role(period: str, post_week: str = "NULL") -> str:
+        return f"struct('{period}' AS period, CAST({post_week} AS STRING) AS post_week)"
+
+    before = ", ".join([role("pre"), *[role("pre_weekly", f"'{w}'") for w in POST_WEEKS]])
+    return calls(spark, sf_dir).selectExpr(
+        f"inline(if(call_date_est >= DATE '{LAUNCH}', array({role('post')}), array({before})))",
+        "date_format(trunc(call_date_est, 'week'), 'MM/dd/yyyy') AS week",
+        "CASE WHEN agent_id % 7 <> 3 THEN if(agent_id % 2 = 0, 'treatment', 'control') END AS cohort",
+        "CASE WHEN agent_id % 11 <> 5 THEN if(agent_id % 4 < 2, 'treatment', 'control') END AS canonical_cohort",
+        "call_time_est AS call_datetime_est", "CAST(call_date_est AS TIMESTAMP_NTZ) AS call_date_fo",
+        "call_direction", "marketing_bucket", "moverSwitcher AS mover_switcher", "call_type", "tenure_bucket",
+        "talk_time_minutes", "orders AS order_orders", "total_revenue AS gcv_revenue",
+        "int(call_direction = 'INBOUND') AS ibcalls", "credit_calls_flag AS credit_calls_ind",
+        f"{PASSED} AS passed_credit_call_ind", "ib_contact_calls",
+        "passed_credit_sale_flag AS passed_credit_sale", "failed_credit_sale_flag AS failed_credit_sale",
     )
 
 
-def _agent_calls(spark: SparkSession, sf_dir: str, at: Column) -> DataFrame:
+def _agent_calls(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
     """Two versions of every call; the older one starts five seconds earlier."""
-    events = table(spark, sf_dir, "events").withColumn("k", _k()).withColumn(
-        "version", F.explode(F.array(F.lit(0), F.lit(1))))
-    k, user = F.col("k"), F.col("user_id")
-    return events.withColumn("at", at).select(
-        F.col("event_id").alias("call_id"), F.col("at").alias("call_datetime_est"),
-        F.when(k % 10 != 3, F.concat(F.lit("Agent "), user)).alias("agent_name"),
-        user.alias("employeeid"), _direction().alias("call_direction"),
-        F.when(k != 55, F.concat(F.lit("CENTER_"), user % 6)).alias("center_location"),
-        F.when(k < 80, 1).alias("ib_contact_calls"), F.when(k < 50, 1).alias("credit_calls_ind"),
-        _passed(k).alias("passed_credit_call_ind"), F.when(k % 2 == 1, 1).alias("credit_sold_calls_ind"),
-        F.when(k == 99, 1).alias("conversion_exclude_ind"),
-        F.when(k != 7, (F.col("value") - 3 * F.col("version")).cast("decimal(18,2)")).alias("talk_time_seconds"),
-        (k / 2.0).alias("total_points"), F.when(k >= 30, k - 30).alias("marketing_code_id"),
-        F.col("event_type").alias("pc"),
-        F.date_sub(F.lit(date(2024, 1, 1)), (user % 200).cast("int")).alias("hire_date"),
+    events = table(spark, sf_dir, "events").selectExpr("*", f"{K} AS k", "explode(array(0, 1)) AS version")
+    return events.selectExpr(
+        "event_id AS call_id", f"{at} AS call_datetime_est",
+        "CASE WHEN k % 10 <> 3 THEN concat('Agent ', user_id) END AS agent_name",
+        "user_id AS employeeid", f"{DIRECTION} AS call_direction",
+        "CASE WHEN k <> 55 THEN concat('CENTER_', user_id % 6) END AS center_location",
+        "CASE WHEN k < 80 THEN 1 END AS ib_contact_calls", "CASE WHEN k < 50 THEN 1 END AS credit_calls_ind",
+        f"{PASSED} AS passed_credit_call_ind", "CASE WHEN k % 2 = 1 THEN 1 END AS credit_sold_calls_ind",
+        "CASE WHEN k = 99 THEN 1 END AS conversion_exclude_ind",
+        "CASE WHEN k <> 7 THEN CAST(value - 3 * version AS DECIMAL(18,2)) END AS talk_time_seconds",
+        "k / 2D AS total_points", "CASE WHEN k >= 30 THEN k - 30 END AS marketing_code_id",
+        "event_type AS pc", "date_sub(DATE '2024-01-01', int(user_id % 200)) AS hire_date",
     )
 
 
@@ -159,46 +143,36 @@ def extract_sources(spark: SparkSession, sf_dir: str, fan_out: bool = False) ->
     """
     lines = table(spark, sf_dir, "lineitem")
     info = table(spark, sf_dir, "orders")
-    shipped = F.col("l_shipdate")
-    at = F.expr("ts - version * INTERVAL '5' SECOND")
+    at = "ts - version * INTERVAL '5' SECOND"
     if fan_out:
-        at = F.to_date(at).cast("timestamp_ntz")
-        attributes = lines.select(
-            F.col("l_orderkey").alias("call_id"),
-            _flag(F.col("l_linestatus") == "O").alias("permalease_call_ind"),
-            F.col("l_linenumber").cast("string").alias("remote_number_call"))
-        intents = lines.select(
-            F.col("l_orderkey").alias("call_id"),
-            F.when(F.col("l_returnflag") == "R", "Moving").when(F.col("l_returnflag") == "A", "switching")
-            .alias("movingSwitchingExtracted"))
+        at = f"CAST(CAST({at} AS DATE) AS TIMESTAMP_NTZ)"
+        attributes = lines.selectExpr(
+            "l_orderkey AS call_id", "int(l_linestatus = 'O') AS permalease_call_ind",
+            "string(l_linenumber) AS remote_number_call")
+        intents = lines.selectExpr(
+            "l_orderkey AS call_id",
+            "CASE l_returnflag WHEN 'R' THEN 'Moving' WHEN 'A' THEN 'switching' END AS movingSwitchingExtracted")
     else:
-        attributes = info.select(
-            F.col("o_orderkey").alias("call_id"),
-            _flag(F.col("o_orderstatus") == "P").alias("permalease_call_ind"),
-            F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_custkey") % 10).cast("string"))
-            .alias("remote_number_call"))
-        intents = info.select(
-            F.col("o_orderkey").alias("call_id"),
-            F.when(F.col("o_orderstatus") == "F", "Moving").when(F.col("o_orderstatus") == "P", "switching")
-            .alias("movingSwitchingExtracted"))
-    customers = table(spark, sf_dir, "customer")
-    nations = table(spark, sf_dir, "nation")
+        attributes = info.selectExpr(
+            "o_orderkey AS call_id", "int(o_orderstatus = 'P') AS permalease_call_ind",
+            "CASE WHEN o_orderpriority <> '5-LOW' THEN string(o_custkey % 10) END AS remote_number_call")
+        intents = info.selectExpr(
+            "o_orderkey AS call_id",
+            "CASE o_orderstatus WHEN 'F' THEN 'Moving' WHEN 'P' THEN 'switching' END AS movingSwitchingExtracted")
     return Sources(
         agent_calls=_agent_calls(spark, sf_dir, at),
-        sessions=lines.filter("l_returnflag = 'A'").select(
-            F.col("l_orderkey").alias("call_id"), F.to_date(shipped).alias("session_start_date")),
-        orders=lines.select(
-            F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").cast("long").alias("order_id"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("undiscounted_gcv"),
-            (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")).cast("decimal(4,2)")
-            .alias("predicted_activation_rate"),
-            F.when(F.col("l_returnflag") == "R", "12 Month - Prepaid").otherwise("Other plan").alias("product_name"),
-            F.when(F.col("l_linestatus") == "F", shipped).alias("order_date_est"),
-            (shipped + F.expr("INTERVAL '3' HOUR")).alias("order_date_utc")),
-        agents=customers.select(
-            F.col("c_custkey").alias("employeeid"),
-            F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("employee_name")),
-        marketing=nations.select(F.col("n_nationkey").alias("mcid"), F.col("n_name").alias("marketing_bucket")),
+        sessions=lines.filter("l_returnflag = 'A'").selectExpr(
+            "l_orderkey AS call_id", "CAST(l_shipdate AS DATE) AS session_start_date"),
+        orders=lines.selectExpr(
+            "l_orderkey AS call_id", "bigint(l_linenumber) AS order_id",
+            "CAST(bigint(round(l_extendedprice * 100)) * 0.01BD AS DECIMAL(18,2)) AS undiscounted_gcv",
+            "CAST((100 - int(round(l_discount * 100))) * 0.01BD AS DECIMAL(4,2)) AS predicted_activation_rate",
+            "if(l_returnflag = 'R', '12 Month - Prepaid', 'Other plan') AS product_name",
+            "CASE WHEN l_linestatus = 'F' THEN l_shipdate END AS order_date_est",
+            "l_shipdate + INTERVAL '3' HOUR AS order_date_utc"),
+        agents=table(spark, sf_dir, "customer").selectExpr(
+            "c_custkey AS employeeid", "CASE WHEN c_acctbal > 0 THEN c_name END AS employee_name"),
+        marketing=table(spark, sf_dir, "nation").selectExpr("n_nationkey AS mcid", "n_name AS marketing_bucket"),
         calls=attributes,
         intents=intents,
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import adapter
 from dialtone.config import CallFilters, LiftWindow
-from dialtone.functions import formats, periods
+from dialtone.functions import periods, scopes
 from dialtone.operators import filters, metrics as m
 from dialtone.operators.anchor import anchor_calls, latest_prior_long_call
 from dialtone.operators.dedup import latest_version
@@ -57,8 +57,10 @@ def queries() -> dict[str, Query]:
 
 def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     # scaled, rounded and scaled back, as SQL engines on binary doubles do
-    scale = 10.0 ** places
-    return df.withColumns({c: F.round(F.col(c).cast("double") * scale) / scale for c in columns})
+    scale = f"1{'0' * places}D"
+    return df.selectExpr(*[
+        f"round(CAST(`{c}` AS DOUBLE) * {scale}) / {scale} AS `{c}`" if c in columns else f"`{c}`"
+        for c in df.columns])
 
 
 def _treated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +160,7 @@ def _order_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _month_totals(mart: DataFrame) -> DataFrame:
     return _rounded(
-        mart.groupBy(periods.month_key(F.col("call_date_est")).alias("call_month"), "marketing_bucket").agg(
+        mart.groupBy(F.expr(periods.month_key("call_date_est") + " AS call_month"), "marketing_bucket").agg(
             F.count(F.lit(1)).alias("saved_rows"), F.sum("total_revenue").alias("revenue"),
             F.sum("ib_contact_calls").alias("contacts")), "revenue", places=2)
 
@@ -233,25 +235,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("row_scopes")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dialtone.functions.scopes import order_revenue, top_funnel
     calls = adapter.calls(spark, sf_dir)
     return calls.groupBy("call_direction").agg(
-        F.count_if(top_funnel(calls.columns)).alias("top_funnel_calls"),
-        F.count_if(order_revenue(calls.columns)).alias("order_revenue_calls"))
+        F.expr(f"count_if({scopes.top_funnel(calls.columns)}) AS top_funnel_calls"),
+        F.expr(f"count_if({scopes.order_revenue(calls.columns)}) AS order_revenue_calls"))
 
 
 @query("period_buckets")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.to_date("o_orderdate")
-    start = {g: periods.period_start(day, g) for g in periods.GRANULARITIES}
-    return adapter.table(spark, sf_dir, "orders").select(
-        start["Daily"].alias("day_start"), start["Weekly"].alias("week_begin"),
-        start["Monthly"].alias("month_begin"),
-        periods.period_label(start["Weekly"], "Weekly").alias("week_label"),
-        periods.period_label(start["Monthly"], "Monthly").alias("month_label"),
-        periods.weekday_name(day).alias("weekday"),
+    start = {g: periods.period_start("o_orderdate", g) for g in periods.GRANULARITIES}
+    return adapter.table(spark, sf_dir, "orders").selectExpr(
+        start["Daily"] + " AS day_start", start["Weekly"] + " AS week_begin", start["Monthly"] + " AS month_begin",
+        periods.period_label(start["Weekly"], "Weekly") + " AS week_label",
+        periods.period_label(start["Monthly"], "Monthly") + " AS month_label",
+        periods.weekday_name("o_orderdate") + " AS weekday",
     ).groupBy("day_start", "week_begin", "month_begin", "week_label", "month_label", "weekday").agg(
-        F.count(F.lit(1)).alias("order_rows"))
+        F.expr("count(*) AS order_rows"))
 
 
 # --- overview ----------------------------------------------------------------

@@ -6,70 +6,58 @@ the report texts are defined by; ``round`` would not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from dialtone.config import LOWER_IS_BETTER, NEUTRAL_CHANGE_PCT
 
 MISSING = "—"
 
 
-def _number(value: Column, pattern: str) -> Column:
-    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+def _number(value: str, pattern: str) -> str:
+    return f"format_number(CAST({value} AS DOUBLE), '{pattern}')"
 
 
-def as_count(value: Column) -> Column:
+def as_count(value: str) -> str:
     return _number(value, "#,##0")
 
 
-def as_pct(value: Column) -> Column:
-    return F.concat(_number(value.cast("double") * 100, "0.0"), F.lit("%"))
+def as_pct(value: str) -> str:
+    return f"concat({_number(f'{value} * 100', '0.0')}, '%')"
 
 
-def as_dollars(value: Column, places: int = 2) -> Column:
-    pattern = "#,##0" + ("." + "0" * places if places else "")
-    return F.concat(F.lit("$"), _number(value, pattern))
+def as_dollars(value: str, places: int = 2) -> str:
+    return f"concat('$', {_number(value, '#,##0.' + '0' * places)})"
 
 
-def as_decimal(value: Column, places: int = 2) -> Column:
+def as_decimal(value: str, places: int = 2) -> str:
     return _number(value, "0." + "0" * places)
 
 
-def as_signed_pct(pct: Column) -> Column:
+def as_signed_pct(pct: str) -> str:
     """A change that is already in percent, with its sign."""
-    return F.concat(_number(pct, "+0.0;-0.0"), F.lit("%"))
+    return f"concat({_number(pct, '+0.0;-0.0')}, '%')"
 
 
-def as_points(fraction: Column) -> Column:
+def as_points(fraction: str, unit: str = "%") -> str:
     """A delta given as a fraction; only a positive one carries a sign."""
-    text = _number(fraction * 100, "0.0")
-    return F.concat(F.when(fraction > 0, F.lit("+")).otherwise(F.lit("")), text, F.lit("%"))
+    return f"concat(if({fraction} > 0, '+', ''), {_number(f'{fraction} * 100', '0.0')}, '{unit}')"
 
 
-def or_missing(text: Column) -> Column:
-    return F.coalesce(text, F.lit(MISSING))
+def or_missing(text: str) -> str:
+    return f"coalesce({text}, '{MISSING}')"
 
 
-def display(value: Column, kind: Column, dollar_places: int = 2) -> Column:
+def display(value: str, kind: str, dollar_places: int = 2) -> str:
     """Text of ``value`` by the row's format kind."""
-    return or_missing(
-        F.when(kind == "count", as_count(value))
-        .when(kind == "pct", as_pct(value))
-        .when(kind == "dollar", as_dollars(value, dollar_places))
-        .otherwise(as_decimal(value))
-    )
+    return or_missing(f"""CASE {kind} WHEN 'count' THEN {as_count(value)} WHEN 'pct' THEN {as_pct(value)}
+        WHEN 'dollar' THEN {as_dollars(value, dollar_places)} ELSE {as_decimal(value)} END""")
 
 
-def change_class(metric: Column, pct: Column, neutral: float = NEUTRAL_CHANGE_PCT) -> Column:
+def change_class(metric: str, pct: str) -> str:
     """'better', 'worse' or 'neutral' for a percent change; NULL if there is none.
 
     The class follows the change as displayed, that is with one decimal.
     """
-    shown = _number(pct, "0.0").try_cast("double")
-    known = pct.isNotNull() & ~F.isnan(pct) & (F.abs(pct) != float("inf"))
-    improved = F.when(metric.isin(*LOWER_IS_BETTER), shown < 0).otherwise(shown > 0)
-    return F.when(
-        known,
-        F.when(F.abs(shown) < neutral, F.lit("neutral"))
-        .when(improved, F.lit("better"))
-        .otherwise(F.lit("worse")),
-    )
+    shown = f"CAST({_number(pct, '0.0')} AS DOUBLE)"
+    lower = ", ".join(f"'{m}'" for m in LOWER_IS_BETTER)
+    return f"""CASE WHEN {pct} IS NULL OR isnan({pct}) OR abs({pct}) = double('Infinity') THEN NULL
+        WHEN abs({shown}) < {NEUTRAL_CHANGE_PCT}D THEN 'neutral'
+        WHEN if({metric} IN ({lower}), {shown} < 0, {shown} > 0) THEN 'better' ELSE 'worse' END"""

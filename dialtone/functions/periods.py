@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 # Granularity names, their calendar unit and their label pattern.
 GRANULARITIES = {
     "Daily": ("day", "MMM dd"),
@@ -12,31 +10,21 @@ GRANULARITIES = {
 }
 
 
-def period_start(day: Column, granularity: str) -> Column:
+def period_start(day: str, granularity: str) -> str:
     """First day of the day, Monday week or month that ``day`` lies in."""
     unit, _ = GRANULARITIES[granularity]
-    if unit == "day":
-        return day.cast("date")
-    return F.date_trunc(unit, day).cast("date")
+    return f"CAST({day} AS DATE)" if unit == "day" else f"trunc({day}, '{unit}')"
 
 
-def period_label(start: Column, granularity: str) -> Column:
+def period_label(start: str, granularity: str) -> str:
     """Display text of a bucket; not unique over years, so never a key."""
-    return F.date_format(start, GRANULARITIES[granularity][1])
-
-
-def week_start(day: Column) -> Column:
-    return period_start(day, "Weekly")
-
-
-def month_start(day: Column) -> Column:
-    return period_start(day, "Monthly")
+    return f"date_format({start}, '{GRANULARITIES[granularity][1]}')"
 
 
-def month_key(day: Column) -> Column:
+def month_key(day: str) -> str:
     """Month as ``yyyy-MM``, the partition key of a written call mart."""
-    return F.date_format(day, "yyyy-MM")
+    return f"date_format({day}, 'yyyy-MM')"
 
 
-def weekday_name(day: Column) -> Column:
-    return F.date_format(day, "EEEE")
+def weekday_name(day: str) -> str:
+    return f"date_format({day}, 'EEEE')"

@@ -2,39 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
+def double(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
 
-def _double(c: Column) -> Column:
-    return c.cast("double")
 
-
-def safe_rate(num: Column, den: Column) -> Column:
+def safe_rate(num: str, den: str) -> str:
     """num / den, NULL unless the denominator is above zero."""
-    return F.when(den > 0, _double(num) / _double(den))
+    return f"CASE WHEN {den} > 0 THEN {double(num)} / {double(den)} END"
 
 
-def safe_ratio(num: Column, den: Column) -> Column:
+def safe_ratio(num: str, den: str) -> str:
     """num / den, NULL only when the denominator is zero or missing."""
-    return F.try_divide(_double(num), _double(den))
+    return f"try_divide({double(num)}, {double(den)})"
 
 
-def relative_delta(value: Column, base: Column) -> Column:
+def relative_delta(value: str, base: str) -> str:
     """value / base - 1, NULL if either is missing or the base is zero."""
-    return F.try_divide(_double(value), _double(base)) - 1
+    return f"({safe_ratio(value, base)} - 1)"
 
 
-def pct_change(before: Column, after: Column) -> Column:
+def pct_change(before: str, after: str) -> str:
     """Change from ``before`` to ``after`` in percent."""
-    return relative_delta(after, before) * 100.0
+    return f"({relative_delta(after, before)} * 100D)"
 
 
-def weighted_average(value: Column, weight: Column) -> Column:
+def weighted_average(value: str, weight: str) -> str:
     """Weighted mean over the rows where ``value`` is present."""
-    present = F.when(value.isNotNull(), weight)
-    return F.try_divide(F.sum(value * _double(weight)), _double(F.sum(present)))
+    return safe_ratio(
+        f"sum({value} * {weight})", f"sum(CASE WHEN {value} IS NOT NULL THEN {weight} END)")
 
 
-def total(c: Column) -> Column:
+def total(x: str) -> str:
     """Sum that is zero, not NULL, when there is nothing to add."""
-    return F.coalesce(F.sum(c), F.lit(0))
+    return f"coalesce(sum({x}), 0)"

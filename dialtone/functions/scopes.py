@@ -4,26 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, functions as F
-
 from dialtone.config import INBOUND, MANUAL_OUTBOUND
 
 
-def top_funnel(columns: Collection[str]) -> Column:
+def top_funnel(columns: Collection[str]) -> str:
     """Inbound calls; never NULL.
 
     ``columns`` says what the data has: without a direction the ``ibcalls``
     flag decides, without either every call counts.
     """
     if "call_direction" in columns:
-        return F.coalesce(F.upper("call_direction") == INBOUND, F.lit(False))
+        return f"coalesce(upper(call_direction) = '{INBOUND}', false)"
     if "ibcalls" in columns:
-        return F.coalesce(F.col("ibcalls") == 1, F.lit(False))
-    return F.lit(True)
+        return "coalesce(ibcalls = 1, false)"
+    return "true"
 
 
-def order_revenue(columns: Collection[str]) -> Column:
+def order_revenue(columns: Collection[str]) -> str:
     """Inbound and manually dialled calls; never NULL."""
     if "call_direction" in columns:
-        return F.coalesce(F.upper("call_direction").isin(INBOUND, MANUAL_OUTBOUND), F.lit(False))
-    return F.lit(True)
+        return f"coalesce(upper(call_direction) IN ('{INBOUND}', '{MANUAL_OUTBOUND}'), false)"
+    return "true"

@@ -17,65 +17,55 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dialtone.config import SHORT_CALL_SECONDS
 
 
-def _bucket(calls: DataFrame, at: str, seconds: int) -> Column:
+def _bucket(calls: DataFrame, at: str, seconds: int) -> str:
     """Number of the time bucket; never falls while ``at`` rises."""
     if calls.schema[at].dataType.typeName() == "timestamp":
-        clock = F.floor(F.unix_micros(at) / F.lit(1_000_000))
-    else:
-        # wall-clock times must not pass through a time zone
-        clock = (
-            F.datediff(F.col(at), F.lit("1970-01-01").cast("date")).cast("long") * 86_400
-            + F.hour(at) * 3600 + F.minute(at) * 60 + F.floor(F.second(at))
-        )
-    return F.floor(clock / F.lit(seconds)).cast("long")
+        return f"bigint(floor(unix_micros({at}) / {seconds * 1_000_000}))"
+    # wall-clock times must not pass through a time zone
+    clock = f"bigint(datediff({at}, DATE '1970-01-01')) * 86400 + hour({at}) * 3600 + minute({at}) * 60 + second({at})"
+    return f"bigint(floor(({clock}) / {seconds}))"
 
 
 def _timeline(
     calls: DataFrame, agent: str, at: str, talk: str, cutoff: int,
-    bucket_seconds: int, carried: Mapping[str, Column],
+    bucket_seconds: int, carried: Mapping[str, str],
 ) -> DataFrame:
     """One row per agent and instant with the anchor as of that instant.
 
     Columns: agent, at, anchor_at and, summed over the long calls that start
     at anchor_at, one column per entry of ``carried``.
     """
-    is_long = F.col(talk) > cutoff
+    is_long = f"{talk} > {cutoff}"
     instants = (
-        calls.filter(F.col(agent).isNotNull() & F.col(at).isNotNull() & F.col(talk).isNotNull())
-        .groupBy(agent, _bucket(calls, at, bucket_seconds).alias("_bucket"), at)
+        calls.filter(f"{agent} IS NOT NULL AND {at} IS NOT NULL AND {talk} IS NOT NULL")
+        .groupBy(agent, F.expr(f"{_bucket(calls, at, bucket_seconds)} AS _bucket"), at)
         .agg(
-            F.max(is_long).alias("_has_long"),
-            *[F.sum(F.when(is_long, c)).alias(n) for n, c in carried.items()],
+            F.expr(f"max({is_long}) AS _has_long"),
+            *[F.expr(f"sum(CASE WHEN {is_long} THEN {x} END) AS {n}") for n, x in carried.items()],
         )
     )
-    state = F.struct(F.col(at).alias("anchor_at"), *carried)
-    so_far = (
-        Window.partitionBy(agent, "_bucket").orderBy(at)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    earlier = (
-        Window.partitionBy(agent).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = instants.select(
+    state = "struct(" + ", ".join([f"{at} AS anchor_at", *carried]) + ")"
+    local = instants.selectExpr(
         agent, "_bucket", at,
-        F.last(F.when(F.col("_has_long"), state), ignorenulls=True).over(so_far).alias("_local"),
+        f"""last(CASE WHEN _has_long THEN {state} END, true) OVER (
+            PARTITION BY {agent}, _bucket ORDER BY {at}
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _local""",
     )
-    carry = (
-        local.groupBy(agent, "_bucket").agg(F.max("_local").alias("_latest"))
-        .select(
-            agent, "_bucket",
-            F.last("_latest", ignorenulls=True).over(earlier).alias("_carry"),
-        )
+    carry = local.groupBy(agent, "_bucket").agg(F.expr("max(_local) AS _latest")).selectExpr(
+        agent, "_bucket",
+        f"""last(_latest, true) OVER (
+            PARTITION BY {agent} ORDER BY _bucket
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _carry""",
     )
     return (
         local.join(carry, [agent, "_bucket"])
-        .withColumn("_anchor", F.coalesce("_local", "_carry"))
-        .select(agent, at, "_anchor.*")
+        .selectExpr(agent, at, "coalesce(_local, _carry) AS _anchor")
+        .selectExpr(agent, at, "_anchor.*")
     )
 
 
@@ -83,16 +73,15 @@ def anchor_times(
     calls: DataFrame, *, key: str = "call_id", agent: str = "employeeid",
     at: str = "call_datetime_est", talk: str = "talk_time_seconds",
     cutoff: int = SHORT_CALL_SECONDS, bucket_seconds: int = 3600,
-    carried: Mapping[str, Column] | None = None,
+    carried: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """(short_call_id, anchor_at, carried...) for short calls with an anchor."""
     carried = dict(carried or {})
     timeline = _timeline(calls, agent, at, talk, cutoff, bucket_seconds, carried)
-    short = calls.filter((F.col(talk) <= cutoff) & F.col(key).isNotNull()).select(
-        F.col(key).alias("short_call_id"), agent, at
-    )
+    short = calls.filter(f"{talk} <= {cutoff} AND {key} IS NOT NULL").selectExpr(
+        f"{key} AS short_call_id", agent, at)
     return (
-        short.join(timeline.filter("anchor_at is not null"), [agent, at])
+        short.join(timeline.filter("anchor_at IS NOT NULL"), [agent, at])
         .select("short_call_id", agent, "anchor_at", *carried)
     )
 
@@ -113,7 +102,6 @@ def anchor_calls(
     call may appear several times.
     """
     times = anchor_times(calls, key=key, agent=agent, at=at, talk=talk, cutoff=cutoff, **options)
-    longs = calls.filter(F.col(talk) > cutoff).select(
-        agent, F.col(at).alias("anchor_at"), F.col(key).alias("anchor_call_id")
-    )
+    longs = calls.filter(f"{talk} > {cutoff}").selectExpr(
+        agent, f"{at} AS anchor_at", f"{key} AS anchor_call_id")
     return times.join(longs, [agent, "anchor_at"]).select("short_call_id", "anchor_call_id")

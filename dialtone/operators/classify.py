@@ -1,4 +1,8 @@
-"""Derived columns of the call mart."""
+"""Derived columns of the call mart, as expressions over the call facts.
+
+A missing value makes a condition unknown, and an unknown condition falls to
+the ``ELSE`` branch.
+"""
 
 from __future__ import annotations
 
@@ -9,64 +13,55 @@ from pyspark.sql import Column, functions as F
 from dialtone import config as fixed
 
 
-def tenure_bucket(hired: Column, called: Column) -> Column:
+def tenure_bucket(hired: str, called: str) -> str:
     """Days since hire in steps of thirty; unknown or long ago is a veteran."""
-    days = F.datediff(called, hired)
-    bucket = F.lit(None).cast("string")
-    for limit, label in reversed(fixed.TENURE_LIMITS):
-        bucket = F.when(days <= limit, F.lit(label)).otherwise(bucket)
-    return F.coalesce(bucket, F.lit(fixed.TENURE_VETERAN))
+    steps = " ".join(
+        f"WHEN datediff({called}, {hired}) <= {limit} THEN '{label}'" for limit, label in fixed.TENURE_LIMITS)
+    return f"CASE {steps} ELSE '{fixed.TENURE_VETERAN}' END"
 
 
-def call_type(lease_flag: Column, number: Column, non_lease_numbers: Sequence[str]) -> Column:
+def call_type(lease_flag: str, number: str, non_lease_numbers: Sequence[str]) -> Column:
     """Lease calls are flagged ones whose known number is not on the list."""
-    listed = number.isin(*non_lease_numbers) if non_lease_numbers else F.lit(False)
-    is_lease = (lease_flag == 1) & number.isNotNull() & ~listed
+    is_lease = F.expr(f"{lease_flag} = 1 AND {number} IS NOT NULL")
+    if non_lease_numbers:
+        is_lease = is_lease & ~F.col(number).isin(*non_lease_numbers)
     return F.when(is_lease, fixed.CALL_TYPE_LEASE).otherwise(fixed.CALL_TYPE_SITE)
 
 
-def mover_switcher(intent: Column) -> Column:
-    label = F.lit(fixed.INTENT_NONE)
-    for said, name in fixed.INTENT_LABELS.items():
-        label = F.when(F.upper(intent) == said, F.lit(name)).otherwise(label)
-    return label
-
-
-def credit_flag(credit: Column) -> Column:
-    return F.coalesce(credit, F.lit(0))
+def mover_switcher(intent: str) -> str:
+    said = " ".join(f"WHEN '{text}' THEN '{label}'" for text, label in fixed.INTENT_LABELS.items())
+    return f"CASE upper({intent}) {said} ELSE '{fixed.INTENT_NONE}' END"
 
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
+def flag(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
 
 
-def passed_credit_call(passed: Column, credit: Column) -> Column:
-    return _flag((passed > 0) & (credit_flag(credit) > 0))
+def passed_credit_call(passed: str, credit: str) -> str:
+    return flag(f"{passed} > 0 AND coalesce({credit}, 0) > 0")
 
 
-def failed_credit_call(passed: Column, credit: Column) -> Column:
+def failed_credit_call(passed: str, credit: str) -> str:
     """Failed means passed is exactly 0; an unknown outcome is no failure."""
-    return _flag((credit_flag(credit) == 1) & (passed == 0))
+    return flag(f"coalesce({credit}, 0) = 1 AND {passed} = 0")
 
 
-def passed_credit_sale(sold: Column, passed: Column) -> Column:
-    return _flag((sold > 0) & (passed > 0))
+def passed_credit_sale(sold: str, passed: str) -> str:
+    return flag(f"{sold} > 0 AND {passed} > 0")
 
 
-def failed_credit_sale(sold: Column, passed: Column, orders: Column) -> Column:
-    return _flag((sold > 0) & (passed == 0) & (F.coalesce(orders, F.lit(0)) > 0))
+def failed_credit_sale(sold: str, passed: str, orders: str) -> str:
+    return flag(f"{sold} > 0 AND {passed} = 0 AND coalesce({orders}, 0) > 0")
 
 
-def minutes(seconds: Column) -> Column:
-    return (seconds / F.lit(60.0)).cast("double")
+def minutes(seconds: str) -> str:
+    return f"CAST({seconds} AS DOUBLE) / 60"
 
 
-def top_product(day: Column, points: Column, prepaid: Column) -> Column:
+def top_product(day: str, points: str, prepaid: str) -> str:
     """Top-product sale: by points, whose threshold changed once, or by a
     prepaid order after such orders began to count."""
-    earned = F.coalesce(points, F.lit(0))
-    needed = F.when(day < F.lit(fixed.POINTS_CHANGE_DATE), fixed.POINTS_BEFORE_CHANGE).when(
-        day >= F.lit(fixed.POINTS_CHANGE_DATE), fixed.POINTS_FROM_CHANGE
-    )
-    by_prepaid = (day > F.lit(fixed.PREPAID_COUNTS_AFTER)) & (F.coalesce(prepaid, F.lit(0)) == 1)
-    return _flag((earned >= needed) | by_prepaid)
+    change = f"DATE '{fixed.POINTS_CHANGE_DATE}'"
+    needed = f"if({day} < {change}, {fixed.POINTS_BEFORE_CHANGE}, {fixed.POINTS_FROM_CHANGE})"
+    by_prepaid = f"{day} > DATE '{fixed.PREPAID_COUNTS_AFTER}' AND coalesce({prepaid}, 0) = 1"
+    return flag(f"{day} IS NOT NULL AND (coalesce({points}, 0) >= {needed} OR {by_prepaid})")

@@ -8,7 +8,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialtone.config import CallFilters, Labels
-from dialtone.functions.periods import month_key
 
 # The filterable dimensions of the call mart and of the lift facts.
 CALL_DIMENSIONS = {
@@ -74,11 +73,11 @@ def day_within(df: DataFrame, column: str, start: date | None, end: date | None)
     if start is not None:
         inside = inside & (day >= F.lit(start))
         if by_month:
-            inside = inside & (F.col("call_month") >= month_key(F.lit(start)))
+            inside = inside & (F.col("call_month") >= f"{start:%Y-%m}")
     if end is not None:
         inside = inside & (day <= F.lit(end))
         if by_month:
-            inside = inside & (F.col("call_month") <= month_key(F.lit(end)))
+            inside = inside & (F.col("call_month") <= f"{end:%Y-%m}")
     return inside
 
 
@@ -131,17 +130,15 @@ def assigned(df: DataFrame, cohort: str = "cohort") -> DataFrame:
 
 
 def day_bounds(df: DataFrame, column: str = "call_date_est") -> DataFrame:
-    """One row: first and last day, and the number of days in use."""
-    day = F.to_date(column)
-    return df.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    """One row: first and last day."""
+    day = f"CAST({column} AS DATE)"
+    return df.selectExpr(f"min({day}) AS first_day", f"max({day}) AS last_day")
 
 
 def default_window(df: DataFrame, column: str = "call_date_est") -> DataFrame:
     """One row: the seven days that end at the last day, within the data."""
-    first, last = F.col("first_day"), F.col("last_day")
-    return day_bounds(df, column).select(
-        F.greatest(first, F.date_sub(last, 6)).alias("window_start"), last.alias("window_end")
-    )
+    return day_bounds(df, column).selectExpr(
+        "greatest(first_day, date_sub(last_day, 6)) AS window_start", "last_day AS window_end")
 
 
 def default_comparison(df: DataFrame, column: str = "call_date_est") -> DataFrame:
@@ -149,17 +146,13 @@ def default_comparison(df: DataFrame, column: str = "call_date_est") -> DataFram
 
     With too little data for an earlier week, p1 starts at the first day.
     """
-    first, last = F.col("first_day"), F.col("last_day")
-    two = day_bounds(df, column).select(
-        "first_day", "last_day", F.greatest(first, F.date_sub(last, 6)).alias("p2_start")
-    )
-    before = F.date_sub("p2_start", 1)
-    room = first <= before
-    return two.select(
-        F.when(room, F.greatest(first, F.date_sub("p2_start", 7))).otherwise(first).alias("p1_start"),
-        F.when(room, before).otherwise(F.least(last, F.date_add("first_day", 6))).alias("p1_end"),
+    latest = day_bounds(df, column).selectExpr(
+        "*", "greatest(first_day, date_sub(last_day, 6)) AS p2_start")
+    return latest.selectExpr(
+        "if(first_day < p2_start, greatest(first_day, date_sub(p2_start, 7)), first_day) AS p1_start",
+        "if(first_day < p2_start, date_sub(p2_start, 1), least(last_day, date_add(first_day, 6))) AS p1_end",
         "p2_start",
-        last.alias("p2_end"),
+        "last_day AS p2_end",
     )
 
 
@@ -181,10 +174,10 @@ def filter_options(
     are unfolded into one row per dimension.
     """
     present = [c for c in dimensions if c in calls.columns]
-    pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in present])
+    pairs = ", ".join(f"struct('{c}' AS dimension, {c} AS value)" for c in present)
     return (
         calls.select(*present).distinct()
-        .select(F.inline(pairs))
+        .selectExpr(f"inline(array({pairs}))")
         .filter("value is not null")
         .distinct()
         .orderBy("dimension", "value")

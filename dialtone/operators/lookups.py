@@ -36,24 +36,18 @@ def attach(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFra
 
 def member_flag(df: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
     """Add whether ``key`` occurs in ``members``; rows are never multiplied."""
-    distinct = members.select(F.col(key)).filter(F.col(key).isNotNull()).distinct()
-    return (
-        df.join(distinct.withColumn(flag, F.lit(True)), key, "left")
-        .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-    )
+    distinct = members.select(key).filter(f"{key} IS NOT NULL").distinct()
+    return df.join(distinct.selectExpr("*", f"true AS {flag}"), key, "left").withColumn(
+        flag, F.expr(f"coalesce({flag}, false)"))
 
 
-def repeat_rows(df: DataFrame, copies: Column, block: int = 10_000) -> DataFrame:
-    """Every row ``copies`` times, through arrays of at most about ``block`` items."""
-    df = df.withColumn("_copies", copies.cast("long"))
-    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {block}"))
-    within = F.sequence(
-        F.lit(1).cast("long"),
-        F.least(F.lit(block).cast("long"), F.col("_copies") - F.col("_block") * block),
-    )
+def repeat_rows(df: DataFrame, copies: str, block: int = 10_000) -> DataFrame:
+    """Every row as often as the expression ``copies`` says, through arrays of
+    about ``block`` items at most, however large the number is."""
+    kept = df.columns
     return (
-        df.filter("_copies > 0")
-        .withColumn("_block", F.explode(blocks))
-        .withColumn("_item", F.explode(within))
-        .drop("_copies", "_block", "_item")
+        df.selectExpr("*", f"bigint({copies}) AS _copies").filter("_copies > 0")
+        .selectExpr("*", f"explode(sequence(0L, (_copies - 1) div {block})) AS _block")
+        .selectExpr("*", f"explode(sequence(1L, least({block}L, _copies - _block * {block}))) AS _item")
+        .select(*kept)
     )

@@ -11,142 +11,119 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dialtone.functions import scopes
 from dialtone.functions.rates import total
 
 PREFIX = "m_"
 
+# The dimensions a rollup keeps: all that reports filter or group by.
+ROLLUP_KEYS = (
+    "call_date_est", "membership", "center_location", "marketing_bucket",
+    "moverSwitcher", "tenure_bucket", "call_type", "agent_name",
+)
+
 
-def _is_rolled_up(df: DataFrame) -> bool:
-    return PREFIX + "rows" in df.columns
+def _when(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} ELSE 0 END"
 
 
-def call_measures(df: DataFrame) -> dict[str, Column]:
+def call_measures(columns: Sequence[str]) -> dict[str, str]:
     """Measures of call-mart rows, by name without prefix.
 
     A column that the data does not have contributes nothing (talk times and
     so their means stay NULL).
     """
-    have = set(df.columns)
+    have = set(columns)
     inbound, selling = scopes.top_funnel(have), scopes.order_revenue(have)
 
-    def amount(column: str) -> Column:
-        return F.coalesce(F.col(column), F.lit(0)) if column in have else F.lit(0)
-
-    def where(condition: Column, value: Column) -> Column:
-        return F.when(condition, value).otherwise(F.lit(0))
+    def amount(column: str) -> str:
+        return f"coalesce({column}, 0)" if column in have else "0"
 
     revenue = amount("total_revenue" if "total_revenue" in have else "gcv_fo")
     measures = {
-        "rows": F.lit(1),
-        "calls": inbound.cast("long"),
-        "contact": where(inbound, amount("ib_contact_calls")),
-        "credit": where(inbound, amount("credit_calls_flag")),
-        "passed": where(inbound, amount("passed_credit_call_flag")),
-        "failed": where(inbound, amount("failed_credit_call_flag")),
-        "passed_sale": where(inbound, amount("passed_credit_sale_flag")),
-        "failed_sale": where(inbound, amount("failed_credit_sale_flag")),
-        "orders": where(selling, amount("orders")),
-        "top_product": where(selling, amount("tpsales_flag")),
-        "revenue": where(selling, revenue),
-        "inbound_orders": where(inbound, amount("orders")),
-        "inbound_top_product": where(inbound, amount("tpsales_flag")),
+        "rows": "1",
+        "calls": _when(inbound, "1"),
+        "contact": _when(inbound, amount("ib_contact_calls")),
+        "credit": _when(inbound, amount("credit_calls_flag")),
+        "passed": _when(inbound, amount("passed_credit_call_flag")),
+        "failed": _when(inbound, amount("failed_credit_call_flag")),
+        "passed_sale": _when(inbound, amount("passed_credit_sale_flag")),
+        "failed_sale": _when(inbound, amount("failed_credit_sale_flag")),
+        "orders": _when(selling, amount("orders")),
+        "top_product": _when(selling, amount("tpsales_flag")),
+        "revenue": _when(selling, revenue),
+        "inbound_orders": _when(inbound, amount("orders")),
+        "inbound_top_product": _when(inbound, amount("tpsales_flag")),
     }
-    talked = F.col("talk_time_minutes") if "talk_time_minutes" in have else F.lit(None).cast("double")
-    ordered = F.col("orders") if "orders" in have else F.lit(None).cast("long")
-    for name, condition in {
-        "talk": inbound, "sold": inbound & (ordered > 0), "unsold": inbound & (ordered == 0),
-    }.items():
-        counts = condition & talked.isNotNull()
-        measures[name + "_minutes"] = F.when(counts, talked).otherwise(F.lit(0.0))
-        measures[name + "_calls"] = F.when(counts, F.lit(1)).otherwise(F.lit(0))
+    talked = "talk_time_minutes" if "talk_time_minutes" in have else "CAST(NULL AS DOUBLE)"
+    ordered = "orders" if "orders" in have else "CAST(NULL AS BIGINT)"
+    for name, condition in {"talk": "true", "sold": f"{ordered} > 0", "unsold": f"{ordered} = 0"}.items():
+        timed = f"{inbound} AND {condition} AND {talked} IS NOT NULL"
+        measures[name + "_minutes"] = _when(timed, talked)
+        measures[name + "_calls"] = _when(timed, "1")
     return measures
 
 
-def lift_measures(df: DataFrame) -> dict[str, Column]:
+def lift_measures(columns: Sequence[str]) -> dict[str, str]:
     """Measures of lift facts. Unlike in the call mart a credit call has failed
     when it did not pass, an unknown outcome included."""
-    have = set(df.columns)
+    have = set(columns)
     inbound, selling = scopes.top_funnel(have), scopes.order_revenue(have)
 
-    def col(column: str) -> Column:
-        return F.col(column) if column in have else F.lit(None).cast("double")
-
-    def amount(column: str) -> Column:
-        return F.coalesce(col(column), F.lit(0))
-
-    def where(condition: Column, value: Column) -> Column:
-        return F.when(condition, value).otherwise(F.lit(0))
-
-    passed = inbound & (col("passed_credit_call_ind") == 1)
-    if {"credit_calls_ind", "passed_credit_call_ind"} <= have:
-        failed = (
-            inbound & (col("credit_calls_ind") == 1)
-            & ~col("passed_credit_call_ind").eqNullSafe(F.lit(1))
-        )
-    else:
-        failed = F.lit(False)
-    sold = col("order_orders") > 0
-    one = F.lit(1)
+    def amount(column: str) -> str:
+        return f"coalesce({column}, 0)" if column in have else "0"
+
+    passed = failed = "false"
+    if "passed_credit_call_ind" in have:
+        passed = f"{inbound} AND passed_credit_call_ind = 1"
+        if "credit_calls_ind" in have:
+            failed = f"{inbound} AND credit_calls_ind = 1 AND NOT (passed_credit_call_ind <=> 1)"
+    sold = "order_orders > 0" if "order_orders" in have else "false"
     return {
-        "rows": one,
-        "calls": inbound.cast("long"),
-        "orders": where(selling, amount("order_orders")),
-        "revenue": where(selling, amount("gcv_revenue")),
-        "talk_minutes": where(inbound, amount("talk_time_minutes").cast("double")),
-        "contact": where(inbound, amount("ib_contact_calls")),
-        "credit": where(inbound, amount("credit_calls_ind")),
-        "passed": where(passed, one),
-        "failed": where(failed, one),
-        "passed_sale": where(passed & sold, one),
-        "failed_sale": where(failed & sold, one),
+        "rows": "1",
+        "calls": _when(inbound, "1"),
+        "orders": _when(selling, amount("order_orders")),
+        "revenue": _when(selling, amount("gcv_revenue")),
+        "talk_minutes": _when(inbound, f"CAST({amount('talk_time_minutes')} AS DOUBLE)"),
+        "contact": _when(inbound, amount("ib_contact_calls")),
+        "credit": _when(inbound, amount("credit_calls_ind")),
+        "passed": _when(passed, "1"),
+        "failed": _when(failed, "1"),
+        "passed_sale": _when(f"{passed} AND {sold}", "1"),
+        "failed_sale": _when(f"{failed} AND {sold}", "1"),
     }
 
 
-def _summarise(df: DataFrame, keys: Sequence[Column | str], measures: dict[str, Column]) -> DataFrame:
-    sums = [total(c).alias(PREFIX + n) for n, c in measures.items()]
-    return df.groupBy(*keys).agg(*sums) if keys else df.agg(*sums)
-
+def _stored(df: DataFrame) -> dict[str, str] | None:
+    """Measures that ``df`` already holds as columns, if it is a rollup."""
+    if PREFIX + "rows" not in df.columns:
+        return None
+    return {c.removeprefix(PREFIX): c for c in df.columns if c.startswith(PREFIX)}
 
-def summarise(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """Sums of all call measures per ``keys``; one row if there are no keys."""
-    return _summarise(df, keys, current_measures(df))
 
-
-def summarise_lift(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """Sums of all lift measures per ``keys``; one row if there are no keys."""
-    return _summarise(df, keys, _stored(df) if _is_rolled_up(df) else lift_measures(df))
+def current_measures(df: DataFrame) -> dict[str, str]:
+    """Measures of ``df``, which may hold calls or a rollup of calls."""
+    return _stored(df) or call_measures(df.columns)
 
 
-def _stored(df: DataFrame) -> dict[str, Column]:
-    return {c.removeprefix(PREFIX): F.col(c) for c in df.columns if c.startswith(PREFIX)}
+def _summed(df: DataFrame, keys: Sequence[str], measures: dict[str, str]) -> DataFrame:
+    sums = [F.expr(f"{total(x)} AS {PREFIX}{n}") for n, x in measures.items()]
+    return df.groupBy(*[F.expr(k) for k in keys]).agg(*sums) if keys else df.agg(*sums)
 
 
-def current_measures(df: DataFrame) -> dict[str, Column]:
-    """Measures of ``df``, which may hold calls or a rollup of calls."""
-    return _stored(df) if _is_rolled_up(df) else call_measures(df)
+def summarise(df: DataFrame, *keys: str) -> DataFrame:
+    """Sums of all call measures per ``keys`` (columns or expressions with a
+    name); one row if there are no keys."""
+    return _summed(df, keys, current_measures(df))
 
 
-# The dimensions a rollup keeps: all that reports filter or group by.
-ROLLUP_KEYS = (
-    "call_date_est", "membership", "center_location", "marketing_bucket",
-    "moverSwitcher", "tenure_bucket", "call_type", "agent_name",
-)
+def summarise_lift(df: DataFrame, *keys: str) -> DataFrame:
+    """Sums of all lift measures per ``keys``; one row if there are no keys."""
+    return _summed(df, keys, _stored(df) or lift_measures(df.columns))
 
 
 def daily_rollup(calls: DataFrame, keys: Sequence[str] = ROLLUP_KEYS) -> DataFrame:
     """Calls added up per day and dimension: one scan that all reports can share."""
     return summarise(calls, *[k for k in keys if k in calls.columns])
-
-
-def sums() -> "Sums":
-    return Sums()
-
-
-class Sums:
-    """Attribute access to summed measures: ``sums().calls``."""
-
-    def __getattr__(self, name: str) -> Column:
-        return F.col(PREFIX + name)

@@ -2,112 +2,129 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from dialtone.config import COST_PER_MINUTE
-from dialtone.functions.rates import safe_rate, safe_ratio
-from dialtone.operators.measures import Sums, sums
+from dialtone.functions.rates import double, safe_rate, safe_ratio
 
 
-@dataclass(frozen=True)
-class Metric:
-    """A named value of a group of calls and how it is displayed."""
+class Metric(NamedTuple):
+    """A value of a group of calls, as an expression over the group's summed
+    measures, and how it is displayed."""
 
     kind: str
-    of: Callable[[Sums], Column]
-
-    def value(self) -> Column:
-        return self.of(sums()).cast("double")
+    value: str
 
 
 Registry = Mapping[str, Metric]
 
+
+def _sum(kind: str, measure: str) -> Metric:
+    return Metric(kind, double("m_" + measure))
+
+
+def _rate(kind: str, num: str, den: str) -> Metric:
+    return Metric(kind, safe_rate("m_" + num, "m_" + den))
+
+
+def _ratio(kind: str, num: str, den: str) -> Metric:
+    return Metric(kind, safe_ratio("m_" + num, "m_" + den))
+
+
 # The funnel counts orders and revenue of inbound and manually dialled calls,
 # everything else of inbound calls only.
 FUNNEL: Registry = {
-    "Calls": Metric("count", lambda s: s.calls),
-    "CiContact": Metric("pct", lambda s: safe_rate(s.contact, s.calls)),
-    "CiCredit": Metric("pct", lambda s: safe_rate(s.credit, s.calls)),
-    "PCR": Metric("pct", lambda s: safe_rate(s.passed, s.credit)),
-    "PCC": Metric("pct", lambda s: safe_rate(s.passed_sale, s.passed)),
-    "FCC": Metric("pct", lambda s: safe_rate(s.failed_sale, s.failed)),
-    "NC": Metric("pct", lambda s: safe_rate(s.orders, s.calls)),
-    "TPM": Metric("pct", lambda s: safe_rate(s.top_product, s.orders)),
-    "Revenue": Metric("dollar", lambda s: s.revenue),
-    "RPNC": Metric("dollar", lambda s: safe_rate(s.revenue, s.calls)),
-    "RPO": Metric("dollar", lambda s: safe_rate(s.revenue, s.orders)),
-    "Talk Time": Metric("decimal", lambda s: safe_rate(s.talk_minutes, s.talk_calls)),
-    "Sold Talk Time": Metric("decimal", lambda s: safe_rate(s.sold_minutes, s.sold_calls)),
-    "Unsold Talk Time": Metric("decimal", lambda s: safe_rate(s.unsold_minutes, s.unsold_calls)),
+    "Calls": _sum("count", "calls"),
+    "CiContact": _rate("pct", "contact", "calls"),
+    "CiCredit": _rate("pct", "credit", "calls"),
+    "PCR": _rate("pct", "passed", "credit"),
+    "PCC": _rate("pct", "passed_sale", "passed"),
+    "FCC": _rate("pct", "failed_sale", "failed"),
+    "NC": _rate("pct", "orders", "calls"),
+    "TPM": _rate("pct", "top_product", "orders"),
+    "Revenue": _sum("dollar", "revenue"),
+    "RPNC": _rate("dollar", "revenue", "calls"),
+    "RPO": _rate("dollar", "revenue", "orders"),
+    "Talk Time": _rate("decimal", "talk_minutes", "talk_calls"),
+    "Sold Talk Time": _rate("decimal", "sold_minutes", "sold_calls"),
+    "Unsold Talk Time": _rate("decimal", "unsold_minutes", "unsold_calls"),
 }
 
 # The trend takes both sides of every percentage from inbound calls, so its net
 # conversion and top-product mix differ from the funnel's NC and TPM.
 TREND: Registry = {
-    "Net Conversion": Metric("pct", lambda s: safe_rate(s.inbound_orders, s.calls)),
-    "Total Revenue": Metric("dollar", lambda s: s.revenue),
-    "Rev / Call": Metric("dollar", lambda s: safe_rate(s.revenue, s.calls)),
-    "Rev / Order": Metric("dollar", lambda s: safe_rate(s.revenue, s.orders)),
-    "Top Product Mix": Metric("pct", lambda s: safe_rate(s.inbound_top_product, s.inbound_orders)),
-    "Contact Rate": Metric("pct", lambda s: safe_rate(s.contact, s.calls)),
-    "Credit Rate": Metric("pct", lambda s: safe_rate(s.credit, s.calls)),
-    "Passed Credit Rate": Metric("pct", lambda s: safe_rate(s.passed, s.credit)),
-    "Passed Credit Conv.": Metric("pct", lambda s: safe_rate(s.passed_sale, s.passed)),
-    "Failed Credit Conv.": Metric("pct", lambda s: safe_rate(s.failed_sale, s.failed)),
-    "Talk Time": Metric("decimal", lambda s: safe_rate(s.talk_minutes, s.talk_calls)),
-    "Calls": Metric("count", lambda s: s.calls),
+    "Net Conversion": _rate("pct", "inbound_orders", "calls"),
+    "Total Revenue": _sum("dollar", "revenue"),
+    "Rev / Call": _rate("dollar", "revenue", "calls"),
+    "Rev / Order": _rate("dollar", "revenue", "orders"),
+    "Top Product Mix": _rate("pct", "inbound_top_product", "inbound_orders"),
+    "Contact Rate": _rate("pct", "contact", "calls"),
+    "Credit Rate": _rate("pct", "credit", "calls"),
+    "Passed Credit Rate": _rate("pct", "passed", "credit"),
+    "Passed Credit Conv.": _rate("pct", "passed_sale", "passed"),
+    "Failed Credit Conv.": _rate("pct", "failed_sale", "failed"),
+    "Talk Time": _rate("decimal", "talk_minutes", "talk_calls"),
+    "Calls": _sum("count", "calls"),
 }
 
 TOTALS: Registry = {
-    "n_calls": Metric("count", lambda s: s.calls),
-    "contact_rate": Metric("pct", lambda s: safe_rate(s.contact, s.calls)),
-    "credit_rate": Metric("pct", lambda s: safe_rate(s.credit, s.calls)),
-    "pass_credit_rate": Metric("pct", lambda s: safe_rate(s.passed, s.credit)),
-    "fail_credit_rate": Metric("pct", lambda s: safe_rate(s.failed, s.credit)),
-    "pass_credit_conv": Metric("pct", lambda s: safe_rate(s.passed_sale, s.passed)),
-    "fail_credit_conv": Metric("pct", lambda s: safe_rate(s.failed_sale, s.failed)),
-    "net_conversion": Metric("pct", lambda s: safe_rate(s.orders, s.calls)),
-    "top_product_mix": Metric("pct", lambda s: safe_rate(s.top_product, s.orders)),
-    "total_revenue": Metric("dollar", lambda s: s.revenue),
-    "rev_per_call": Metric("dollar", lambda s: safe_rate(s.revenue, s.calls)),
-    "rev_per_order": Metric("dollar", lambda s: safe_rate(s.revenue, s.orders)),
-    "talk_time": Metric("decimal", lambda s: safe_rate(s.talk_minutes, s.talk_calls)),
-    "talk_time_sold": Metric("decimal", lambda s: safe_rate(s.sold_minutes, s.sold_calls)),
-    "talk_time_unsold": Metric("decimal", lambda s: safe_rate(s.unsold_minutes, s.unsold_calls)),
+    "n_calls": _sum("count", "calls"),
+    "contact_rate": _rate("pct", "contact", "calls"),
+    "credit_rate": _rate("pct", "credit", "calls"),
+    "pass_credit_rate": _rate("pct", "passed", "credit"),
+    "fail_credit_rate": _rate("pct", "failed", "credit"),
+    "pass_credit_conv": _rate("pct", "passed_sale", "passed"),
+    "fail_credit_conv": _rate("pct", "failed_sale", "failed"),
+    "net_conversion": _rate("pct", "orders", "calls"),
+    "top_product_mix": _rate("pct", "top_product", "orders"),
+    "total_revenue": _sum("dollar", "revenue"),
+    "rev_per_call": _rate("dollar", "revenue", "calls"),
+    "rev_per_order": _rate("dollar", "revenue", "orders"),
+    "talk_time": _rate("decimal", "talk_minutes", "talk_calls"),
+    "talk_time_sold": _rate("decimal", "sold_minutes", "sold_calls"),
+    "talk_time_unsold": _rate("decimal", "unsold_minutes", "unsold_calls"),
 }
 
 WEEK_CARDS: Registry = {
-    "Rev / Call": Metric("dollar", lambda s: safe_rate(s.revenue, s.calls)),
-    "Net Conversion": Metric("pct", lambda s: safe_rate(s.orders, s.calls)),
-    "Rev / Order": Metric("dollar", lambda s: safe_rate(s.revenue, s.orders)),
-    "Calls Into Credit": Metric("pct", lambda s: safe_rate(s.credit, s.calls)),
-    "Talk Time": Metric("decimal", lambda s: safe_rate(s.talk_minutes, s.talk_calls)),
+    "Rev / Call": _rate("dollar", "revenue", "calls"),
+    "Net Conversion": _rate("pct", "orders", "calls"),
+    "Rev / Order": _rate("dollar", "revenue", "orders"),
+    "Calls Into Credit": _rate("pct", "credit", "calls"),
+    "Talk Time": _rate("decimal", "talk_minutes", "talk_calls"),
+}
+
+AGENT: Registry = {
+    "net_conv": _rate("pct", "orders", "calls"),
+    "top_product_mix": _rate("pct", "top_product", "orders"),
+    "total_revenue": _sum("dollar", "revenue"),
+    "rev_per_call": _rate("dollar", "revenue", "calls"),
+    "rev_per_order": _rate("dollar", "revenue", "orders"),
+    "talk_time": _rate("decimal", "talk_minutes", "talk_calls"),
+    "sold_talk_time": _rate("decimal", "sold_minutes", "sold_calls"),
 }
 
 # Lift divides unless the denominator is exactly zero; talk time is minutes per
 # inbound call, not a mean over calls with a known time.
 LIFT: Registry = {
-    "contact_rate": Metric("pct", lambda s: safe_ratio(s.contact, s.calls)),
-    "credit_rate": Metric("pct", lambda s: safe_ratio(s.credit, s.calls)),
-    "pass_credit_rate": Metric("pct", lambda s: safe_ratio(s.passed, s.credit)),
-    "pass_credit_conv": Metric("pct", lambda s: safe_ratio(s.passed_sale, s.passed)),
-    "fail_credit_conv": Metric("pct", lambda s: safe_ratio(s.failed_sale, s.failed)),
-    "nc": Metric("pct", lambda s: safe_ratio(s.orders, s.calls)),
-    "rpo": Metric("dollar", lambda s: safe_ratio(s.revenue, s.orders)),
-    "rpnc": Metric("dollar", lambda s: safe_ratio(s.revenue, s.calls)),
-    "tt": Metric("decimal", lambda s: safe_ratio(s.talk_minutes, s.calls)),
-    "cm_call": Metric(
-        "dollar",
-        lambda s: safe_ratio(s.revenue, s.calls) - COST_PER_MINUTE * safe_ratio(s.talk_minutes, s.calls),
-    ),
+    "contact_rate": _ratio("pct", "contact", "calls"),
+    "credit_rate": _ratio("pct", "credit", "calls"),
+    "pass_credit_rate": _ratio("pct", "passed", "credit"),
+    "pass_credit_conv": _ratio("pct", "passed_sale", "passed"),
+    "fail_credit_conv": _ratio("pct", "failed_sale", "failed"),
+    "nc": _ratio("pct", "orders", "calls"),
+    "rpo": _ratio("dollar", "revenue", "orders"),
+    "rpnc": _ratio("dollar", "revenue", "calls"),
+    "tt": _ratio("decimal", "talk_minutes", "calls"),
+    "cm_call": Metric("dollar", safe_ratio("m_revenue", "m_calls")
+                      + f" - {COST_PER_MINUTE}D * " + safe_ratio("m_talk_minutes", "m_calls")),
 }
 LIFT_VOLUMES: Registry = {
-    "net_call": Metric("count", lambda s: s.calls),
-    "orders": Metric("count", lambda s: s.orders),
-    "revenue": Metric("dollar", lambda s: s.revenue),
+    "net_call": _sum("count", "calls"),
+    "orders": _sum("count", "orders"),
+    "revenue": _sum("dollar", "revenue"),
 }
 
 # Display names of the lift KPIs and the five that head the report.
@@ -133,16 +150,12 @@ def chosen(registry: Registry, names: Iterable[str] | None) -> Registry:
 
 def wide(summed: DataFrame, registry: Registry, *keys: str) -> DataFrame:
     """One column per metric next to the keys."""
-    return summed.select(*keys, *[m.value().alias(n) for n, m in registry.items()])
+    return summed.selectExpr(*keys, *[f"{m.value} AS `{n}`" for n, m in registry.items()])
 
 
 def long(summed: DataFrame, registry: Registry, *keys: str) -> DataFrame:
     """One row per metric: keys, position, metric, kind, value."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(i).alias("position"), F.lit(n).alias("metric"),
-            F.lit(m.kind).alias("kind"), m.value().alias("value"),
-        )
-        for i, (n, m) in enumerate(registry.items(), 1)
-    ])
-    return summed.select(*keys, F.inline(rows))
+    rows = ", ".join(
+        f"struct({i} AS position, '{n}' AS metric, '{m.kind}' AS kind, {m.value} AS value)"
+        for i, (n, m) in enumerate(registry.items(), 1))
+    return summed.selectExpr(*keys, f"inline(array({rows}))")

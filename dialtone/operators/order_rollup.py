@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dialtone.config import ORDER_TIME_ZONE, PREPAID_PRODUCT
 
 
-def effective_order_time(local: Column, utc: Column, zone: str = ORDER_TIME_ZONE) -> Column:
+def effective_order_time(local: str, utc: str, zone: str = ORDER_TIME_ZONE) -> str:
     """Local order time, or the UTC time moved to the local zone."""
-    return F.coalesce(
-        local.cast("timestamp_ntz"),
-        F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz")),
-    )
+    moved = f"convert_timezone('UTC', '{zone}', CAST({utc} AS TIMESTAMP_NTZ))"
+    return f"coalesce(CAST({local} AS TIMESTAMP_NTZ), {moved})"
 
 
 def orders_since(orders: DataFrame, from_date: date, zone: str = ORDER_TIME_ZONE) -> DataFrame:
@@ -23,11 +21,10 @@ def orders_since(orders: DataFrame, from_date: date, zone: str = ORDER_TIME_ZONE
     The exact rule wraps the columns in functions, which no file scan can use,
     so a bound on the raw columns that is one day wider goes with it.
     """
-    local, utc = F.col("order_date_est"), F.col("order_date_utc")
-    early = F.lit(from_date - timedelta(days=1)).cast("timestamp_ntz")
-    coarse = (local >= early) | (utc >= early)
-    exact = F.to_date(effective_order_time(local, utc, zone)) >= F.lit(from_date)
-    return orders.filter(coarse & exact)
+    early = f"TIMESTAMP_NTZ '{from_date - timedelta(days=1)}'"
+    coarse = f"(order_date_est >= {early} OR order_date_utc >= {early})"
+    exact = f"CAST({effective_order_time('order_date_est', 'order_date_utc', zone)} AS DATE) >= DATE '{from_date}'"
+    return orders.filter(f"{coarse} AND {exact}")
 
 
 def in_scope(orders: DataFrame, calls: DataFrame, key: str = "call_id") -> DataFrame:
@@ -37,12 +34,9 @@ def in_scope(orders: DataFrame, calls: DataFrame, key: str = "call_id") -> DataF
 
 def order_rollup(orders: DataFrame, prepaid_product: str = PREPAID_PRODUCT) -> DataFrame:
     """Per call: distinct orders, expected value, and whether a line was prepaid."""
-    value = F.coalesce(F.col("undiscounted_gcv"), F.lit(0)) * F.coalesce(
-        F.col("predicted_activation_rate"), F.lit(0)
-    )
-    prepaid = F.when(F.col("product_name") == prepaid_product, 1).otherwise(0)
-    return orders.groupBy("call_id").agg(
-        F.countDistinct("order_id").alias("order_count"),
-        F.sum(value).alias("order_value"),
-        F.max(prepaid).alias("has_prepaid"),
+    value = "coalesce(undiscounted_gcv, 0) * coalesce(predicted_activation_rate, 0)"
+    return orders.withColumn("_prepaid", F.col("product_name") == prepaid_product).groupBy("call_id").agg(
+        F.expr("count(DISTINCT order_id) AS order_count"),
+        F.expr(f"sum({value}) AS order_value"),
+        F.expr("max(int(coalesce(_prepaid, false))) AS has_prepaid"),
     )

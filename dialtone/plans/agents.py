@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dialtone.functions import formats
-from dialtone.functions.rates import safe_rate
-from dialtone.operators import filters
-from dialtone.operators.measures import PREFIX, summarise, sums
+from dialtone.operators import filters, metrics as m
+from dialtone.operators.measures import PREFIX, summarise
 
 AGENT = "agent_name"
 # Output name of each modal column, and the sortable columns.
@@ -28,7 +27,7 @@ def agent_scorecard(calls: DataFrame, search: str = "") -> DataFrame:
     those few rows. The most frequent value wins, among equals the smallest,
     and an agent without any value has none.
     """
-    named = filters.name_matches(calls, AGENT, search).filter(F.col(AGENT).isNotNull())
+    named = filters.name_matches(calls, AGENT, search).filter(f"{AGENT} IS NOT NULL")
     modal = {n: c for n, c in MODAL.items() if c in calls.columns}
     cells = summarise(named, AGENT, *modal.values())
     summed = [c for c in cells.columns if c.startswith(PREFIX)]
@@ -37,67 +36,45 @@ def agent_scorecard(calls: DataFrame, search: str = "") -> DataFrame:
     views = cells.groupingSets(
         [[AGENT], *[[AGENT, c] for c in modal.values()]], AGENT, *modal.values()
     ).agg(
-        *[F.sum(c).alias(c) for c in summed],
-        *[F.grouping(c).alias("_not_" + n) for n, c in modal.items()],
+        *[F.expr(f"sum({c}) AS {c}") for c in summed],
+        *[F.expr(f"grouping({c}) = 0 AS _by_{n}") for n, c in modal.items()],
     )
-    is_total = F.lit(True)
-    for n in modal:
-        is_total = is_total & (F.col("_not_" + n) == 1)
-
-    def mode(name: str, column: str) -> Column:
-        counted = (F.col("_not_" + name) == 0) & F.col(column).isNotNull()
-        best = F.min(F.when(counted, F.struct(-F.col(PREFIX + "rows"), F.col(column).alias("v"))))
-        return best["v"].alias(name)
-
+    is_total = "NOT (" + " OR ".join(["false", *[f"_by_{n}" for n in modal]]) + ")"
     per_agent = views.groupBy(AGENT).agg(
-        *[F.max(F.when(is_total, F.col(c))).alias(c) for c in summed],
-        *[mode(n, c) for n, c in modal.items()],
-    )
-    s = sums()
-    return per_agent.select(
-        F.col(AGENT).alias("agent"),
-        s.calls.cast("long").alias("calls"),
-        *[F.col(n) if n in modal else F.lit(formats.MISSING).alias(n) for n in MODAL],
-        safe_rate(s.orders, s.calls).alias("net_conv"),
-        safe_rate(s.top_product, s.orders).alias("top_product_mix"),
-        s.revenue.cast("double").alias("total_revenue"),
-        safe_rate(s.revenue, s.calls).alias("rev_per_call"),
-        safe_rate(s.revenue, s.orders).alias("rev_per_order"),
-        safe_rate(s.talk_minutes, s.talk_calls).alias("talk_time"),
-        safe_rate(s.sold_minutes, s.sold_calls).alias("sold_talk_time"),
+        *[F.expr(f"max({c}) FILTER (WHERE {is_total}) AS {c}") for c in summed],
+        *[
+            F.expr(f"min(struct(-m_rows AS n, {c} AS v)) FILTER (WHERE _by_{n} AND {c} IS NOT NULL).v AS {n}")
+            for n, c in modal.items()
+        ],
     )
+    labels = [n if n in modal else f"'{formats.MISSING}' AS {n}" for n in MODAL]
+    return m.wide(per_agent, m.AGENT, f"{AGENT} AS agent", "CAST(m_calls AS BIGINT) AS calls", *labels)
 
 
 def sort_agents(scorecard: DataFrame, by: str = "Calls", ascending: bool = False) -> DataFrame:
     """Scorecard ordered by one of its columns; missing values last either way."""
     column = F.col(SORTABLE[by])
-    order = column.asc_nulls_last() if ascending else column.desc_nulls_last()
-    return scorecard.orderBy(order, "agent")
+    return scorecard.orderBy(column.asc_nulls_last() if ascending else column.desc_nulls_last(), "agent")
 
 
 def show_agents(scorecard: DataFrame) -> DataFrame:
     """Display texts of the scorecard."""
-    def text(column: str, of) -> Column:
-        return formats.or_missing(of(F.col(column))).alias(column)
-
-    return scorecard.select(
-        "agent", text("calls", formats.as_count), "center", "membership", "tenure",
-        text("net_conv", formats.as_pct), text("top_product_mix", formats.as_pct),
-        text("total_revenue", formats.as_dollars), text("rev_per_call", formats.as_dollars),
-        text("rev_per_order", formats.as_dollars),
-        text("talk_time", lambda c: formats.as_decimal(c, 1)),
-        text("sold_talk_time", lambda c: formats.as_decimal(c, 1)),
+    def text(column: str, shown: str) -> str:
+        return f"{formats.or_missing(shown)} AS {column}"
+
+    return scorecard.selectExpr(
+        "agent", text("calls", formats.as_count("calls")), *MODAL,
+        *[text(c, formats.as_pct(c)) for c in ("net_conv", "top_product_mix")],
+        *[text(c, formats.as_dollars(c)) for c in ("total_revenue", "rev_per_call", "rev_per_order")],
+        *[text(c, formats.as_decimal(c, 1)) for c in ("talk_time", "sold_talk_time")],
     )
 
 
 def roster_summary(scorecard: DataFrame) -> DataFrame:
     """Number of agents and plain means of their rates, missing ones left out."""
-    return scorecard.agg(
-        F.count(F.lit(1)).alias("agents"),
-        F.avg("net_conv").alias("avg_net_conv"),
-        F.avg("rev_per_call").alias("avg_rev_per_call"),
-        F.avg("talk_time").alias("avg_talk_time"),
-    )
+    return scorecard.selectExpr(
+        "count(*) AS agents", "avg(net_conv) AS avg_net_conv",
+        "avg(rev_per_call) AS avg_rev_per_call", "avg(talk_time) AS avg_talk_time")
 
 
 def agent_distribution(
@@ -106,22 +83,16 @@ def agent_distribution(
     """Histogram of agents: equal-width bins from the smallest to the largest
     value of each measure. Empty bins have no row; if all agents have the same
     value there is one bin."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("x")) for c in measures])
-    values = scorecard.select(F.inline(pairs)).filter("x is not null")
+    pairs = ", ".join(f"struct('{c}' AS measure, {c} AS x)" for c in measures)
+    values = scorecard.selectExpr(f"inline(array({pairs}))").filter("x IS NOT NULL")
     # one row per measure name, so this side is always tiny
-    span = F.broadcast(values.groupBy("measure").agg(F.min("x").alias("low"), F.max("x").alias("high")))
-    width = (F.col("high") - F.col("low")) / bins
-    position = F.width_bucket(F.col("x"), F.col("low"), F.col("high"), F.lit(bins))
-    number = F.when(F.col("low") == F.col("high"), F.lit(1)).otherwise(F.least(position, F.lit(bins)))
+    span = F.broadcast(values.groupBy("measure").agg(F.expr("min(x) AS low"), F.expr("max(x) AS high")))
     return (
         values.join(span, "measure")
-        .groupBy("measure", number.cast("int").alias("bin"), "low", width.alias("width"))
-        .agg(F.count(F.lit(1)).alias("agents"))
-        .select(
-            "measure", "bin",
-            (F.col("low") + (F.col("bin") - 1) * F.col("width")).alias("bin_from"),
-            (F.col("low") + F.col("bin") * F.col("width")).alias("bin_to"),
-            "agents",
-        )
+        .selectExpr(
+            "measure", "low", f"(high - low) / {bins} AS width",
+            f"CAST(if(low = high, 1, least(width_bucket(x, low, high, {bins}), {bins})) AS INT) AS bin")
+        .groupBy("measure", "bin", "low", "width").agg(F.expr("count(*) AS agents"))
+        .selectExpr("measure", "bin", "low + (bin - 1) * width AS bin_from", "low + bin * width AS bin_to", "agents")
         .orderBy("measure", "bin")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialtone import config as fixed
 from dialtone.config import ExtractConfig
-from dialtone.functions import periods
+from dialtone.functions.periods import period_start, weekday_name
 from dialtone.operators import classify, filters, lookups
 from dialtone.operators.anchor import anchor_times
 from dialtone.operators.dedup import latest_version, uniqueness_report
@@ -67,10 +67,10 @@ def anchor_membership(scoped: DataFrame, registered: DataFrame, cfg: ExtractConf
         flagged,
         bucket_seconds=cfg.anchor_bucket_seconds,
         carried={
-            "registered_anchors": F.col("registered").cast("int"),
-            "other_anchors": (~F.col("registered")).cast("int"),
+            "registered_anchors": "int(registered)",
+            "other_anchors": "int(NOT registered)",
         },
-    ).select(F.col("short_call_id").alias("call_id"), "registered_anchors", "other_anchors")
+    ).selectExpr("short_call_id AS call_id", "registered_anchors", "other_anchors")
 
 
 def call_mart(
@@ -100,7 +100,7 @@ def call_mart(
             src.calls,
             {"call_id": "call_id"},
             {"call_type": classify.call_type(
-                F.col("permalease_call_ind"), F.col("remote_number_call"), cfg.non_lease_numbers)},
+                "permalease_call_ind", "remote_number_call", cfg.non_lease_numbers)},
             "call_copies",
         ),
         "call_id",
@@ -110,7 +110,7 @@ def call_mart(
         lookups.counted(
             src.intents,
             {"call_id": "call_id"},
-            {"moverSwitcher": classify.mover_switcher(F.col("movingSwitchingExtracted"))},
+            {"moverSwitcher": F.expr(classify.mover_switcher("movingSwitchingExtracted"))},
             "intent_copies",
         ),
         "call_id",
@@ -121,69 +121,68 @@ def call_mart(
         "employeeid",
     )
     calls = lookups.attach(
-        calls.withColumn("mcid", F.coalesce("marketing_code_id", F.lit(0))),
+        calls.selectExpr("*", "coalesce(marketing_code_id, 0) AS mcid"),
         lookups.counted(src.marketing, {"mcid": "mcid"}, {"bucket": "marketing_bucket"}, "bucket_copies"),
         "mcid",
     )
 
-    name = F.coalesce("agent_name", "employee_name")
     calls = calls.filter(
-        filters.name_allowed(name, cfg.excluded_agents)
+        filters.name_allowed(F.expr("coalesce(agent_name, employee_name)"), cfg.excluded_agents)
         & filters.center_allowed(F.col("center_location"), cfg.excluded_centers)
     )
 
     # A short call takes the membership of its anchor, once per anchor call.
-    is_short = F.col("talk_time_seconds") <= fixed.SHORT_CALL_SECONDS
-    own = F.when(~is_short | F.col("talk_time_seconds").isNull(), F.col("registered")).otherwise(False)
-    matched = is_short & F.col("registered_anchors").isNotNull()
-    sides = F.array(
-        F.struct(F.lit(labels.treatment).alias("membership"),
-                 F.when(matched, F.col("registered_anchors")).otherwise(own.cast("long")).alias("anchor_copies")),
-        F.struct(F.lit(labels.control).alias("membership"),
-                 F.when(matched, F.col("other_anchors")).otherwise((~own).cast("long")).alias("anchor_copies")),
-    )
-    calls = calls.select("*", F.inline(sides)).filter("anchor_copies > 0")
-    copies = F.col("anchor_copies")
-    for c in ("call_copies", "intent_copies", "agent_copies", "bucket_copies"):
-        copies = copies * F.coalesce(F.col(c), F.lit(1))
-    calls = lookups.repeat_rows(calls, copies)
-
-    day = F.to_date("call_datetime_est")
-    passed, credit, sold = (
-        F.col("passed_credit_call_ind"), F.col("credit_calls_ind"), F.col("credit_sold_calls_ind")
-    )
-    orders = F.coalesce("order_count", F.lit(0))
-    value = F.coalesce("order_value", F.lit(0))
-    talked = classify.minutes(F.col("talk_time_seconds"))
-    return calls.select(
+    calls = calls.selectExpr(
+        "*",
+        f"coalesce(talk_time_seconds <= {fixed.SHORT_CALL_SECONDS}, false) AS is_short",
+    ).selectExpr(
+        "*",
+        "CASE WHEN NOT is_short THEN int(registered) ELSE coalesce(registered_anchors, 0) END AS treatment_copies",
+        "CASE WHEN NOT is_short THEN int(NOT registered) ELSE coalesce(other_anchors, 1) END AS control_copies",
+    ).selectExpr(
+        "*",
+        "inline(array(struct(true AS treated, treatment_copies AS copies),"
+        " struct(false AS treated, control_copies AS copies)))",
+    ).filter("copies > 0")
+    lookup_copies = [f"coalesce({c}, 1)" for c in ("call_copies", "intent_copies", "agent_copies", "bucket_copies")]
+    calls = lookups.repeat_rows(calls, " * ".join(["copies", *lookup_copies]))
+
+    passed, credit, sold = "passed_credit_call_ind", "credit_calls_ind", "credit_sold_calls_ind"
+    day, talked = "call_date_est", classify.minutes("talk_time_seconds")
+    membership = F.when(F.col("treated"), labels.treatment).otherwise(labels.control)
+    return calls.withColumns({
+        "call_date_est": F.expr("CAST(call_datetime_est AS DATE)"),
+        "orders": F.expr("coalesce(order_count, 0)"),
+        "membership": membership,
+    }).selectExpr(
         "call_id",
-        F.col("call_datetime_est").alias("call_time_est"),
-        day.alias("call_date_est"),
-        periods.week_start(day).alias("week_start"),
-        periods.month_start(day).alias("month_start"),
+        "call_datetime_est AS call_time_est",
+        day,
+        period_start(day, "Weekly") + " AS week_start",
+        period_start(day, "Monthly") + " AS month_start",
         "pc",
-        periods.weekday_name(day).alias("day_of_week"),
-        classify.tenure_bucket(F.col("hire_date"), day).alias("tenure_bucket"),
-        F.coalesce("bucket", F.lit(fixed.BUCKET_OTHER)).alias("marketing_bucket"),
-        F.coalesce("call_type", F.lit(fixed.CALL_TYPE_SITE)).alias("call_type"),
-        F.coalesce("call_direction", F.lit(fixed.UNKNOWN)).alias("call_direction"),
+        weekday_name(day) + " AS day_of_week",
+        classify.tenure_bucket("hire_date", day) + " AS tenure_bucket",
+        f"coalesce(bucket, '{fixed.BUCKET_OTHER}') AS marketing_bucket",
+        f"coalesce(call_type, '{fixed.CALL_TYPE_SITE}') AS call_type",
+        f"coalesce(call_direction, '{fixed.UNKNOWN}') AS call_direction",
         "membership",
-        name.alias("agent_name"),
-        F.coalesce("center_location", F.lit(fixed.UNKNOWN)).alias("center_location"),
-        F.coalesce("moverSwitcher", F.lit(fixed.INTENT_NONE)).alias("moverSwitcher"),
-        F.coalesce("ib_contact_calls", F.lit(0)).alias("ib_contact_calls"),
-        classify.credit_flag(credit).alias("credit_calls_flag"),
-        classify.passed_credit_call(passed, credit).alias("passed_credit_call_flag"),
-        classify.failed_credit_call(passed, credit).alias("failed_credit_call_flag"),
-        classify.passed_credit_sale(sold, passed).alias("passed_credit_sale_flag"),
-        classify.failed_credit_sale(sold, passed, orders).alias("failed_credit_sale_flag"),
-        orders.alias("orders"),
-        value.alias("gcv_fo"),
-        value.alias("total_revenue"),
-        talked.alias("talk_time_minutes"),
-        F.when(orders > 0, talked).alias("talk_time_minutes_sold"),
-        F.when(orders == 0, talked).alias("talk_time_minutes_unsold"),
-        classify.top_product(day, F.col("total_points"), F.col("has_prepaid")).alias("tpsales_flag"),
+        "coalesce(agent_name, employee_name) AS agent_name",
+        f"coalesce(center_location, '{fixed.UNKNOWN}') AS center_location",
+        f"coalesce(moverSwitcher, '{fixed.INTENT_NONE}') AS moverSwitcher",
+        "coalesce(ib_contact_calls, 0) AS ib_contact_calls",
+        f"coalesce({credit}, 0) AS credit_calls_flag",
+        classify.passed_credit_call(passed, credit) + " AS passed_credit_call_flag",
+        classify.failed_credit_call(passed, credit) + " AS failed_credit_call_flag",
+        classify.passed_credit_sale(sold, passed) + " AS passed_credit_sale_flag",
+        classify.failed_credit_sale(sold, passed, "orders") + " AS failed_credit_sale_flag",
+        "orders",
+        "coalesce(order_value, 0) AS gcv_fo",
+        "coalesce(order_value, 0) AS total_revenue",
+        f"{talked} AS talk_time_minutes",
+        f"CASE WHEN orders > 0 THEN {talked} END AS talk_time_minutes_sold",
+        f"CASE WHEN orders = 0 THEN {talked} END AS talk_time_minutes_unsold",
+        classify.top_product(day, "total_points", "has_prepaid") + " AS tpsales_flag",
     )
 
 

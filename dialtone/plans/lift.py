@@ -11,14 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dialtone.config import CallFilters, Labels, LiftWindow
 from dialtone.functions import formats
 from dialtone.functions.rates import relative_delta, weighted_average
 from dialtone.operators import filters, metrics as m
 from dialtone.operators.measures import summarise_lift
-from dialtone.schemas import to_date_lenient
 
 WEEK_PATTERN = "M/d/yyyy"
 CELLS = ("pre_treatment", "pre_control", "post_treatment", "post_control")
@@ -100,31 +99,21 @@ def _cells(
     scope: DataFrame, labels: Labels, group_by: str | None, registry: m.Registry
 ) -> DataFrame:
     """Per week, dimension and KPI: the four cell values, which cells have rows,
-    and the post inbound calls."""
+    the deltas between them and the post inbound calls."""
     keys = ["week_key", *([group_by] if group_by else [])]
     known = scope.filter(F.col("cohort").isin(labels.treatment, labels.control)).na.drop(subset=keys)
-    summed = summarise_lift(known, *keys, "period", "cohort")
-    rows = m.long(summed, registry, *keys, "period", "cohort", "m_calls")
-
-    def cell(name: str) -> Column:
-        when, who = name.split("_")
-        period = "post" if when == "post" else "pre_weekly"
-        return (F.col("period") == period) & (F.col("cohort") == getattr(labels, who))
-
+    side = F.when(F.col("cohort") == labels.treatment, "treatment").otherwise("control")
+    summed = summarise_lift(
+        known.withColumn("cell", F.concat(F.expr("if(period = 'post', 'post_', 'pre_')"), side)), *keys, "cell")
+    rows = m.long(summed, registry, *keys, "cell", "m_calls")
     return rows.groupBy(*keys, "position", "metric", "kind").agg(
-        *[F.max(F.when(cell(c), F.col("value"))).alias(c) for c in CELLS],
-        *[F.coalesce(F.max(cell(c)), F.lit(False)).alias("has_" + c) for c in CELLS],
-        F.coalesce(F.sum(F.when(F.col("period") == "post", F.col("m_calls"))), F.lit(0)).alias("weight"),
-    )
-
-
-def _deltas(cells: DataFrame) -> DataFrame:
-    return (
-        cells
-        .withColumn("pre_delta", relative_delta(F.col("pre_treatment"), F.col("pre_control")))
-        .withColumn("post_delta", relative_delta(F.col("post_treatment"), F.col("post_control")))
-        .withColumn("swing", F.col("post_delta") - F.col("pre_delta"))
-    )
+        *[F.expr(f"max(value) FILTER (WHERE cell = '{c}') AS {c}") for c in CELLS],
+        *[F.expr(f"count_if(cell = '{c}') > 0 AS has_{c}") for c in CELLS],
+        F.expr("coalesce(sum(m_calls) FILTER (WHERE cell LIKE 'post%'), 0) AS weight"),
+    ).selectExpr(
+        "*", relative_delta("pre_treatment", "pre_control") + " AS pre_delta",
+        relative_delta("post_treatment", "post_control") + " AS post_delta",
+    ).selectExpr("*", "post_delta - pre_delta AS swing")
 
 
 def weekly_lift(scope: DataFrame, labels: Labels = Labels()) -> DataFrame:
@@ -132,19 +121,16 @@ def weekly_lift(scope: DataFrame, labels: Labels = Labels()) -> DataFrame:
 
     The weight of a week is its number of inbound post calls; it may be zero.
     """
-    complete = F.lit(True)
-    for c in CELLS:
-        complete = complete & F.col("has_" + c)
-    cells = _cells(scope, labels, None, m.LIFT).filter(complete)
-    return _deltas(cells).select(
-        F.col("week_key").alias("week"), "position", "metric", "kind", "weight", *AVERAGED)
+    complete = " AND ".join("has_" + c for c in CELLS)
+    return _cells(scope, labels, None, m.LIFT).filter(complete).selectExpr(
+        "week_key AS week", "position", "metric", "kind", "weight", *AVERAGED)
 
 
 def lift_volume(weekly: DataFrame) -> DataFrame:
     """One row: number of weeks compared and their total weight."""
     # every KPI repeats the weeks, so one of them is counted
-    return weekly.filter("position = 1").agg(
-        F.count(F.lit(1)).alias("week_count"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total_weight"))
+    return weekly.filter("position = 1").selectExpr(
+        "count(*) AS week_count", "coalesce(sum(weight), 0) AS total_weight")
 
 
 def lift_summary(weekly: DataFrame) -> DataFrame:
@@ -153,57 +139,47 @@ def lift_summary(weekly: DataFrame) -> DataFrame:
     Each column leaves out the weeks where it is missing itself, so the average
     swing is not in general the difference of the average deltas.
     """
-    averages = weekly.groupBy("position", "metric", "kind").agg(
-        *[weighted_average(F.col(c), F.col("weight")).alias(c) for c in AVERAGED])
+    averages = weekly.groupBy("metric").agg(
+        *[F.expr(f"{weighted_average(c, 'weight')} AS {c}") for c in AVERAGED])
     # a KPI has its row even when no week could be compared
-    every = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(k).alias("metric"),
-                 F.lit(m.LIFT_NAMES[k]).alias("name"), F.lit(metric.kind).alias("kind"))
-        for i, (k, metric) in enumerate(m.LIFT.items(), 1)
-    ])
-    kpis = weekly.sparkSession.range(1).select(F.inline(every))
+    every = ", ".join(
+        f"struct({i} AS position, '{k}' AS metric, '{m.LIFT_NAMES[k]}' AS name, '{kpi.kind}' AS kind)"
+        for i, (k, kpi) in enumerate(m.LIFT.items(), 1))
+    kpis = weekly.sparkSession.range(1).selectExpr(f"inline(array({every}))")
     # one row per KPI, so this side is always tiny
-    averages = F.broadcast(averages.drop("position", "kind"))
-    return kpis.join(averages, "metric", "left").select(
+    return kpis.join(F.broadcast(averages), "metric", "left").select(
         "position", "metric", "name", "kind", *AVERAGED).orderBy("position")
 
 
 def lift_headlines(summary: DataFrame) -> DataFrame:
     """Swing and post delta of the five KPIs that head the report."""
-    place = F.array_position(F.array(*[F.lit(k) for k in m.LIFT_HEADLINES]), F.col("metric"))
+    heads = ", ".join(f"'{k}'" for k in m.LIFT_HEADLINES)
     return (
-        summary.filter(F.col("metric").isin(*m.LIFT_HEADLINES))
-        .select(place.cast("int").alias("position"), "metric", "swing", "post_delta")
+        summary.filter(f"metric IN ({heads})")
+        .selectExpr(f"CAST(array_position(array({heads}), metric) AS INT) AS position", "metric", "swing", "post_delta")
         .orderBy("position")
     )
 
 
 def show_headlines(headlines: DataFrame) -> DataFrame:
     """Display texts of the headline swings."""
-    def points(column: str) -> Column:
-        return F.regexp_replace(formats.as_points(F.col(column)), "%$", "pp")
-
-    return headlines.select(
+    swing, post = formats.as_points("swing", "pp"), formats.as_points("post_delta", "pp")
+    return headlines.selectExpr(
         "position", "metric",
-        formats.or_missing(F.concat(points("swing"), F.lit(" swing"))).alias("swing_shown"),
-        F.when(F.col("swing").isNotNull(), F.concat(F.lit("Post Δ: "), points("post_delta"))).alias("post_shown"),
-    )
+        formats.or_missing(f"concat({swing}, ' swing')") + " AS swing_shown",
+        f"if(swing IS NULL, NULL, concat('Post Δ: ', {post})) AS post_shown")
 
 
 def show_summary(summary: DataFrame) -> DataFrame:
     """Display texts of the summary table and the class of each delta."""
-    kind, metric = F.col("kind"), F.col("metric")
+    deltas = ("pre_delta", "post_delta", "swing")
     texts = [
-        formats.or_missing(formats.as_points(F.col(c))).alias(c + "_shown")
-        if c in ("pre_delta", "post_delta", "swing")
-        else formats.display(F.col(c), kind, dollar_places=1).alias(c + "_shown")
+        (formats.or_missing(formats.as_points(c)) if c in deltas else formats.display(c, "kind", dollar_places=1))
+        + f" AS {c}_shown"
         for c in AVERAGED
     ]
-    classes = [
-        formats.change_class(metric, F.col(c) * 100).alias(c + "_class")
-        for c in ("pre_delta", "post_delta", "swing")
-    ]
-    return summary.select("position", "name", *texts, *classes)
+    classes = [formats.change_class("metric", f"({c} * 100)") + f" AS {c}_class" for c in deltas]
+    return summary.selectExpr("position", "name", *texts, *classes)
 
 
 def lift_trend(
@@ -220,26 +196,20 @@ def lift_trend(
         raise ValueError(f"unknown view {view!r}; one of {', '.join(VIEWS)}")
     if view != "swing":
         scope = scope.filter("period = 'post'")
-    cells = _deltas(_cells(scope, labels, group_by, m.chosen(m.LIFT, metrics)))
-    group = F.col(group_by).cast("string") if group_by else F.lit(None).cast("string")
-
-    def points(label: str, present: str, value: str) -> Column:
-        return F.struct(
-            F.lit(label).alias("cohort"), F.col(present).alias("present"), F.col(value).alias("value"))
-
-    series = [points(labels.treatment, "has_post_treatment",
-                     "post_treatment" if view == "raw" else view)]
+    cells = _cells(scope, labels, group_by, m.chosen(m.LIFT, metrics))
+    treatment = "post_treatment" if view == "raw" else view
+    points = [f"struct('treatment' AS side, has_post_treatment AS present, {treatment} AS value)"]
     if view == "raw":
-        series.append(points(labels.control, "has_post_control", "post_control"))
+        points.append("struct('control' AS side, has_post_control AS present, post_control AS value)")
+    cohort = F.when(F.col("side") == "treatment", labels.treatment).otherwise(labels.control)
     return (
-        cells.select(
-            group.alias("group_value"),
-            F.col("week_key").alias("week"),
-            to_date_lenient(F.col("week_key"), WEEK_PATTERN).alias("week_start"),
-            "position", "metric", "kind", F.inline(F.array(*series)),
-        )
-        .filter("present and week_start is not null")
-        .withColumn("series", F.concat_ws(" — ", "group_value", "cohort"))
-        .select("series", "group_value", "cohort", "week_start", "position", "metric", "kind", "value")
+        cells.selectExpr(
+            f"CAST({group_by or 'NULL'} AS STRING) AS group_value",
+            f"CAST(try_to_timestamp(week_key, '{WEEK_PATTERN}') AS DATE) AS week_start",
+            "position", "metric", "kind", f"inline(array({', '.join(points)}))")
+        .filter("present AND week_start IS NOT NULL")
+        .withColumn("cohort", cohort)
+        .selectExpr("concat_ws(' — ', group_value, cohort) AS series", "group_value", "cohort",
+                    "week_start", "position", "metric", "kind", "value")
         .orderBy("position", "group_value", "cohort", "week_start")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dialtone.functions import formats
 from dialtone.functions.periods import month_key, period_label, period_start
@@ -26,9 +26,9 @@ def kpi_totals(calls: DataFrame) -> DataFrame:
     return m.wide(summarise(calls), m.TOTALS)
 
 
-def _by_period(calls: DataFrame, granularity: str, *keys: Column | str) -> DataFrame:
-    dated = calls.filter(F.col(DAY).isNotNull())
-    return summarise(dated, period_start(F.col(DAY), granularity).alias("period"), *keys)
+def _by_period(calls: DataFrame, granularity: str, *keys: str) -> DataFrame:
+    return summarise(
+        calls.filter(f"{DAY} IS NOT NULL"), period_start(DAY, granularity) + " AS period", *keys)
 
 
 def funnel(calls: DataFrame, granularity: str = "Daily") -> DataFrame:
@@ -37,13 +37,11 @@ def funnel(calls: DataFrame, granularity: str = "Daily") -> DataFrame:
 
 
 def funnel_long(calls: DataFrame, granularity: str = "Daily") -> DataFrame:
-    """Funnel metrics as rows (period, position, metric, kind, value, shown)."""
-    rows = m.long(_by_period(calls, granularity), m.FUNNEL, "period")
-    return (
-        rows.withColumn("label", period_label(F.col("period"), granularity))
-        .withColumn("shown", formats.display(F.col("value"), F.col("kind")))
-        .orderBy("position", "period")
-    )
+    """Funnel metrics as rows (period, position, metric, kind, value, label, shown)."""
+    return m.long(_by_period(calls, granularity), m.FUNNEL, "period").selectExpr(
+        "*", period_label("period", granularity) + " AS label",
+        formats.display("value", "kind") + " AS shown",
+    ).orderBy("position", "period")
 
 
 def funnel_table(
@@ -55,13 +53,11 @@ def funnel_table(
     Without ``periods`` Spark finds them in the data first, which reads it one
     more time. ``shown`` fills the cells with display texts.
     """
-    rows = m.long(_by_period(calls, granularity), m.FUNNEL, "period").select(
-        "position", "metric", F.date_format("period", "yyyy-MM-dd").alias("period"),
-        formats.display(F.col("value"), F.col("kind")).alias("cell") if shown
-        else F.col("value").alias("cell"),
-    )
+    cell = formats.display("value", "kind") if shown else "value"
+    rows = m.long(_by_period(calls, granularity), m.FUNNEL, "period").selectExpr(
+        "position", "metric", "date_format(period, 'yyyy-MM-dd') AS period", f"{cell} AS cell")
     columns = None if periods is None else [p.isoformat() for p in periods]
-    return rows.groupBy("position", "metric").pivot("period", columns).agg(F.first("cell")).orderBy("position")
+    return rows.groupBy("position", "metric").pivot("period", columns).agg(F.expr("first(cell)")).orderBy("position")
 
 
 def week_cards(calls: DataFrame) -> DataFrame:
@@ -72,32 +68,24 @@ def week_cards(calls: DataFrame) -> DataFrame:
     """
     weekly = m.long(_by_period(calls, "Weekly"), m.WEEK_CARDS, "period")
     # a handful of weeks per metric, whatever the number of calls
-    newest = Window.partitionBy("metric").orderBy(F.col("period").desc())
-    ranked = weekly.withColumn("age", F.row_number().over(newest)).filter("age <= 2")
-
-    def of(age: int, column: str) -> Column:
-        return F.max(F.when(F.col("age") == age, F.col(column)))
-
+    ranked = weekly.selectExpr(
+        "*", "row_number() OVER (PARTITION BY metric ORDER BY period DESC) AS age").filter("age <= 2")
     cards = ranked.groupBy("position", "metric", "kind").agg(
-        of(1, "period").alias("week"), of(2, "period").alias("prior_week"),
-        of(1, "value").alias("value"), of(2, "value").alias("prior_value"),
+        F.expr("max(period) FILTER (WHERE age = 1) AS week"),
+        F.expr("max(period) FILTER (WHERE age = 2) AS prior_week"),
+        F.expr("max(value) FILTER (WHERE age = 1) AS value"),
+        F.expr("max(value) FILTER (WHERE age = 2) AS prior_value"),
     )
-    return cards.withColumn("change_pct", pct_change(F.col("prior_value"), F.col("value"))).orderBy("position")
+    return cards.selectExpr("*", pct_change("prior_value", "value") + " AS change_pct").orderBy("position")
 
 
 def show_week_cards(cards: DataFrame) -> DataFrame:
     """Display texts of the week cards; a value of zero shows as missing."""
-    value, kind = F.col("value"), F.col("kind")
-    text = (
-        F.when(kind == "dollar", formats.as_dollars(value))
-        .when(kind == "pct", formats.as_pct(value))
-        .otherwise(F.concat(formats.as_decimal(value, 1), F.lit(" min")))
-    )
-    return cards.select(
-        "position", "metric",
-        formats.or_missing(F.when(value != 0, text)).alias("shown"),
-        F.concat(formats.as_signed_pct(F.col("change_pct")), F.lit(" vs prior wk")).alias("delta"),
-    )
+    text = f"""CASE WHEN value = 0 THEN NULL WHEN kind = 'dollar' THEN {formats.as_dollars('value')}
+        WHEN kind = 'pct' THEN {formats.as_pct('value')} ELSE concat({formats.as_decimal('value', 1)}, ' min') END"""
+    return cards.selectExpr(
+        "position", "metric", formats.or_missing(text) + " AS shown",
+        f"concat({formats.as_signed_pct('change_pct')}, ' vs prior wk') AS delta")
 
 
 def compare_periods(
@@ -109,53 +97,48 @@ def compare_periods(
     The periods may overlap; a call may count in both. Bounds are dates or
     scalar subqueries, and the ends of a period may be swapped.
     """
-    day = F.col(DAY)
-
-    def literal(bound: date | Column) -> Column:
-        return bound if isinstance(bound, Column) else F.lit(bound)
+    by_month = "call_month" in calls.columns
 
     def inside(bounds: Sequence[date | Column]) -> Column:
         if len(bounds) != 2:
             return F.lit(False)
-        low, high = F.least(*map(literal, bounds)), F.greatest(*map(literal, bounds))
-        if "call_month" in calls.columns:
+        ends = [b if isinstance(b, Column) else F.lit(b) for b in bounds]
+        low, high = F.least(*ends), F.greatest(*ends)
+        chosen = F.col(DAY).between(low, high)
+        if by_month:
             # lets a mart partitioned by month skip the other months
-            return day.between(low, high) & F.col("call_month").between(month_key(low), month_key(high))
-        return day.between(low, high)
+            chosen = chosen & F.col("call_month").between(
+                F.date_format(low, "yyyy-MM"), F.date_format(high, "yyyy-MM"))
+        return chosen
 
     measures = current_measures(calls)
-    sides = {"first": F.col("_first"), "second": F.col("_second")}
+    sides = ("first", "second")
     tagged = calls.withColumns({"_first": inside(first), "_second": inside(second)})
-    summed = tagged.filter("_first or _second").agg(*[
-        total(F.when(chosen, c)).alias(f"{side}_{n}") for side, chosen in sides.items() for n, c in measures.items()
+    summed = tagged.filter("_first OR _second").agg(*[
+        F.expr(f"{total(f'CASE WHEN _{side} THEN {x} END')} AS {side}_{n}")
+        for side in sides for n, x in measures.items()
     ])
     # one row unfolded into one per period, so the metrics are written once
-    per_side = F.array(*[
-        F.struct(F.lit(side).alias("side"), *[F.col(f"{side}_{n}").alias(PREFIX + n) for n in measures])
-        for side in sides
-    ])
-    rows = m.long(summed.select(F.inline(per_side)), m.FUNNEL, "side")
-
-    def of(side: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col("value")))
-
+    per_side = ", ".join(
+        f"struct('{side}' AS side, " + ", ".join(f"{side}_{n} AS {PREFIX}{n}" for n in measures) + ")"
+        for side in sides)
+    rows = m.long(summed.selectExpr(f"inline(array({per_side}))"), m.FUNNEL, "side")
+    compared = rows.groupBy("position", "metric", "kind").agg(*[
+        F.expr(f"max(value) FILTER (WHERE side = '{side}') AS {side}_value") for side in sides])
     return (
-        rows.groupBy("position", "metric", "kind")
-        .agg(of("first").alias("first_value"), of("second").alias("second_value"))
-        .withColumn("change_pct", pct_change(F.col("first_value"), F.col("second_value")))
-        .withColumn("change_class", formats.change_class(F.col("metric"), F.col("change_pct")))
+        compared.selectExpr("*", pct_change("first_value", "second_value") + " AS change_pct")
+        .selectExpr("*", formats.change_class("metric", "change_pct") + " AS change_class")
         .orderBy("position")
     )
 
 
 def show_comparison(compared: DataFrame) -> DataFrame:
     """Display texts of a period comparison."""
-    kind = F.col("kind")
-    return compared.select(
+    return compared.selectExpr(
         "position", "metric",
-        formats.display(F.col("first_value"), kind).alias("first_shown"),
-        formats.display(F.col("second_value"), kind).alias("second_shown"),
-        formats.or_missing(formats.as_signed_pct(F.col("change_pct"))).alias("change_shown"),
+        formats.display("first_value", "kind") + " AS first_shown",
+        formats.display("second_value", "kind") + " AS second_shown",
+        formats.or_missing(formats.as_signed_pct("change_pct")) + " AS change_shown",
         "change_class",
     )
 
@@ -165,13 +148,11 @@ def _with_overall(per_group: DataFrame, group_by: str, *keys: str) -> DataFrame:
 
     Calls without a value of the dimension count in the overall row only.
     """
-    summed = [c for c in per_group.columns if c.startswith(PREFIX)]
-    both = per_group.groupingSets(
-        [[*keys, group_by], [*keys]], *keys, group_by
-    ).agg(*[F.sum(c).alias(c) for c in summed], F.grouping(group_by).alias("_overall"))
-    return both.filter((F.col("_overall") == 1) | F.col(group_by).isNotNull()).withColumn(
-        "series", F.when(F.col("_overall") == 1, F.lit(OVERALL)).otherwise(F.col(group_by).cast("string"))
-    ).withColumn("is_overall", F.col("_overall") == 1)
+    sums = [F.expr(f"sum({c}) AS {c}") for c in per_group.columns if c.startswith(PREFIX)]
+    both = per_group.groupingSets([[*keys, group_by], [*keys]], *keys, group_by).agg(
+        *sums, F.expr(f"grouping({group_by}) = 1 AS is_overall"))
+    return both.filter(f"is_overall OR {group_by} IS NOT NULL").selectExpr(
+        "*", f"if(is_overall, '{OVERALL}', CAST({group_by} AS STRING)) AS series")
 
 
 def trend(
@@ -181,13 +162,12 @@ def trend(
     """Metric values over time as rows, overall and per value of a dimension."""
     registry = m.chosen(m.TREND, metrics)
     if group_by is None or group_by not in calls.columns:
-        rows = _by_period(calls, granularity).withColumn("series", F.lit(OVERALL)).withColumn(
-            "is_overall", F.lit(True))
+        rows = _by_period(calls, granularity).selectExpr("*", f"'{OVERALL}' AS series", "true AS is_overall")
     else:
         rows = _with_overall(_by_period(calls, granularity, group_by), group_by, "period")
     return (
         m.long(rows, registry, "series", "is_overall", "period")
-        .withColumn("label", period_label(F.col("period"), granularity))
+        .selectExpr("*", period_label("period", granularity) + " AS label")
         .orderBy("position", "is_overall", "series", "period")
     )
 
@@ -197,11 +177,11 @@ def snapshot(
 ) -> DataFrame:
     """One value per category over the whole range, best first, missing last."""
     registry = m.chosen(m.TREND, metrics)
-    dated = calls.filter(F.col(DAY).isNotNull())
+    dated = calls.filter(f"{DAY} IS NOT NULL")
     if group_by is None or group_by not in calls.columns:
-        rows = summarise(dated).withColumn("category", F.lit(OVERALL))
+        rows = summarise(dated).selectExpr("*", f"'{OVERALL}' AS category")
     else:
-        rows = summarise(dated.filter(F.col(group_by).isNotNull()), group_by).withColumn(
-            "category", F.col(group_by).cast("string"))
+        rows = summarise(
+            dated.filter(f"{group_by} IS NOT NULL"), f"CAST({group_by} AS STRING) AS category")
     return m.long(rows, registry, "category").orderBy(
         "position", F.col("value").desc_nulls_last(), "category")

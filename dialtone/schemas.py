@@ -86,11 +86,6 @@ def to_timestamp_strict(text: Column) -> Column:
     return text.cast("timestamp_ntz")
 
 
-def to_date_lenient(text: Column, pattern: str) -> Column:
-    """Date parse by pattern; what does not match becomes NULL."""
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
-
-
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast the text columns of ``df`` that ``schema`` knows; keep the others.
 

@@ -22,7 +22,7 @@ def write_call_mart(mart: DataFrame, path: str, fmt: str = "parquet") -> None:
     a date are left out. The rows are rebalanced by month first, so that a
     month is a few files of good size and a big month is many.
     """
-    months = mart.filter(F.col("call_date_est").isNotNull()).withColumn(MONTH, month_key(F.col("call_date_est")))
+    months = mart.filter(F.col("call_date_est").isNotNull()).withColumn(MONTH, F.expr(month_key("call_date_est")))
     writer = (
         months.hint("rebalance", F.col(MONTH)).write
         .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH)
@@ -45,7 +45,7 @@ def read_call_mart(
 
 def month_counts(mart: DataFrame) -> DataFrame:
     """Rows per call month, as reported after a write."""
-    month = F.col(MONTH) if MONTH in mart.columns else month_key(F.col("call_date_est"))
+    month = F.expr(MONTH if MONTH in mart.columns else month_key("call_date_est"))
     return (
         mart.filter(F.col("call_date_est").isNotNull())
         .groupBy(month.alias(MONTH)).agg(F.count(F.lit(1)).alias("saved_rows"))
