@@ -62,8 +62,10 @@ def _timeline(
             PARTITION BY {agent} ORDER BY _bucket
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _carry""",
     )
+    # a left join, although no bucket lacks its carry: it puts no extra filter on
+    # one side, so both sides keep the same plan and share one shuffle
     return (
-        local.join(carry, [agent, "_bucket"])
+        local.join(carry, [agent, "_bucket"], "left")
         .selectExpr(agent, at, "coalesce(_local, _carry) AS _anchor")
         .selectExpr(agent, at, "_anchor.*")
     )
@@ -78,8 +80,11 @@ def anchor_times(
     """(short_call_id, anchor_at, carried...) for short calls with an anchor."""
     carried = dict(carried or {})
     timeline = _timeline(calls, agent, at, talk, cutoff, bucket_seconds, carried)
-    short = calls.filter(f"{talk} <= {cutoff} AND {key} IS NOT NULL").selectExpr(
-        f"{key} AS short_call_id", agent, at)
+    # the id hangs on the talk time, so that filters on it stay above the input
+    # and do not keep its two readers from sharing a shuffle
+    short = calls.selectExpr(
+        f"CASE WHEN {talk} <= {cutoff} THEN {key} END AS short_call_id", agent, at
+    ).filter("short_call_id IS NOT NULL")
     return (
         short.join(timeline.filter("anchor_at IS NOT NULL"), [agent, at])
         .select("short_call_id", agent, "anchor_at", *carried)

@@ -34,8 +34,8 @@ class Sources:
     intents: DataFrame
 
 
-# Order of call versions of equal time. A prefix of it may be used with fewer
-# columns and still picks versions that agree in those columns.
+# Order of call versions of equal time. What else a version holds comes after it,
+# so a dedup of these columns alone picks versions that agree in them.
 TIE_BREAK = ("talk_time_seconds", "employeeid")
 
 
@@ -48,7 +48,8 @@ def scoped_calls(src: Sources, cfg: ExtractConfig) -> DataFrame:
 def deduplicated_calls(scoped: DataFrame) -> DataFrame:
     """The newest version of each call."""
     others = sorted(set(scoped.columns) - {"call_id", "call_datetime_est", *TIE_BREAK})
-    return latest_version(scoped, "call_id", "call_datetime_est", [*TIE_BREAK, *others])
+    content = F.expr(f"xxhash64({', '.join(others)})")
+    return latest_version(scoped, "call_id", "call_datetime_est", [*TIE_BREAK, content])
 
 
 def registered_calls(src: Sources, cfg: ExtractConfig) -> DataFrame:
