@@ -16,6 +16,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests")
+    session.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     yield session
     session.stop()
 
