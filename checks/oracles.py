@@ -126,7 +126,7 @@ def _div(num: str, den: str, guard: str = "> 0") -> str:
 
 
 def _r(expr: str, places: int = 6) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {places})"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9::DOUBLE, {places})"
 
 
 def _values(metrics: dict[str, str]) -> str:
@@ -295,7 +295,7 @@ SELECT strftime(call_date_est, '%Y-%m') AS call_month, count(*) AS saved_rows FR
 
 _MONTH_TOTALS = """
 SELECT strftime(o_orderdate, '%Y-%m') AS call_month, o_orderpriority AS marketing_bucket, count(*) AS saved_rows,
-       round(CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE), 2) AS revenue,
+       round(CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) + 1e-9::DOUBLE, 2) AS revenue,
        CAST(sum(CASE WHEN {contact} THEN 1 END) AS BIGINT) AS contacts
 FROM orders GROUP BY 1, 2
 """
@@ -721,7 +721,7 @@ SELECT {_series}'treatment' AS series, {_week}, metric, {_r('post_delta - pre_de
 _SQL["lift_files"] = f"""
 WITH {LIFT}
 SELECT period, week, post_week, cohort, count(*) AS fact_rows,
-       round(CAST(sum(CASE WHEN orders <> 5 THEN CAST(revenue AS DOUBLE) END) AS DOUBLE), 2) AS revenue,
+       round(CAST(sum(CASE WHEN orders <> 5 THEN CAST(revenue AS DOUBLE) END) AS DOUBLE) + 1e-9::DOUBLE, 2) AS revenue,
        CAST(sum(orders) AS DOUBLE) AS order_count, CAST(sum(passed_ind) AS DOUBLE) AS passed_count,
        max(call_time_est) AS last_call
 FROM lift GROUP BY 1, 2, 3, 4

@@ -56,10 +56,11 @@ def queries() -> dict[str, Query]:
 
 
 def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    # scaled, rounded and scaled back, as SQL engines on binary doubles do
+    # Scaled, rounded and scaled back, as SQL engines on binary doubles do; the
+    # small shift keeps sums that differ in their last bit off a rounding edge.
     scale = f"1{'0' * places}D"
     return df.selectExpr(*[
-        f"round(CAST(`{c}` AS DOUBLE) * {scale}) / {scale} AS `{c}`" if c in columns else f"`{c}`"
+        f"round((CAST(`{c}` AS DOUBLE) + 1e-9D) * {scale}) / {scale} AS `{c}`" if c in columns else f"`{c}`"
         for c in df.columns])
 
 
