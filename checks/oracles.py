@@ -491,6 +491,16 @@ WITH {CALLS}, s AS (SELECT 'Overall' AS category, {SUMS} FROM treated)
 SELECT category, v.metric, {_r('v."value"')} AS "value" FROM s, {_values(TREND)}
 """
 
+_SQL["snapshot_shown"] = f"""
+WITH {CALLS}, s AS (SELECT moverSwitcher AS category, {SUMS} FROM treated WHERE moverSwitcher IS NOT NULL GROUP BY 1)
+SELECT category, v.metric, coalesce(
+  CASE WHEN v."value" IS NULL THEN NULL
+       WHEN v.metric = 'Calls' THEN format('{{:,}}', CAST(v."value" AS BIGINT))
+       WHEN v.metric LIKE '%Rev%' THEN format('${{:,.0f}}', v."value")
+       ELSE format('{{:.1f}}%', v."value" * 100) END, '—') AS shown
+FROM s, {_values(TREND)} WHERE v.metric <> 'Talk Time'
+"""
+
 # --- agents ---------------------------------------------------------------------
 
 

@@ -361,6 +361,13 @@ for _name, _column in DIMENSIONS.items():
     query(f"snapshot_by_{_name}")(_snapshot(_column))
 
 
+@query("snapshot_shown")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # display texts of the metrics that need no floating-point sum
+    report = overview.snapshot(_treated(spark, sf_dir), group_by="Mover / Switcher")
+    return overview.show_snapshot(report).filter("metric <> 'Talk Time'")
+
+
 # --- agents ------------------------------------------------------------------
 
 _CARD = ("net_conv", "top_product_mix", "total_revenue", "rev_per_call", "rev_per_order",

@@ -24,7 +24,7 @@ def as_pct(value: str) -> str:
 
 
 def as_dollars(value: str, places: int = 2) -> str:
-    return f"concat('$', {_number(value, '#,##0.' + '0' * places)})"
+    return f"concat('$', {_number(value, '#,##0' + ('.' + '0' * places if places else ''))})"
 
 
 def as_decimal(value: str, places: int = 2) -> str:

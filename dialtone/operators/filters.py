@@ -24,6 +24,23 @@ LIFT_DIMENSIONS = {
     "call_type": "call_type",
 }
 
+# The names under which users pick a dimension to group by.
+CALL_GROUPS = {
+    "Center": "center_location",
+    "Marketing Bucket": "marketing_bucket",
+    "Mover / Switcher": "moverSwitcher",
+    "Tenure Bucket": "tenure_bucket",
+    "Call Type": "call_type",
+    "None (Overall)": None,
+}
+LIFT_GROUPS = {
+    "None (Overall)": None,
+    "Marketing Bucket": "marketing_bucket",
+    "Mover / Switcher": "mover_switcher",
+    "Tenure Bucket": "tenure_bucket",
+    "Call Type": "call_type",
+}
+
 
 def since(df: DataFrame, column: str, lower: date) -> DataFrame:
     """Lower bound; a plain literal comparison, so it reaches the file scan.

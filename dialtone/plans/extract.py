@@ -178,8 +178,8 @@ def call_mart(
         classify.passed_credit_sale(sold, passed) + " AS passed_credit_sale_flag",
         classify.failed_credit_sale(sold, passed, "orders") + " AS failed_credit_sale_flag",
         "orders",
-        "coalesce(order_value, 0) AS gcv_fo",
-        "coalesce(order_value, 0) AS total_revenue",
+        "CAST(coalesce(order_value, 0) AS DECIMAL(28,8)) AS gcv_fo",
+        "CAST(coalesce(order_value, 0) AS DECIMAL(28,8)) AS total_revenue",
         f"{talked} AS talk_time_minutes",
         f"CASE WHEN orders > 0 THEN {talked} END AS talk_time_minutes_sold",
         f"CASE WHEN orders = 0 THEN {talked} END AS talk_time_minutes_unsold",
@@ -188,8 +188,12 @@ def call_mart(
 
 
 def newest_first(mart: DataFrame) -> DataFrame:
-    """Presentation order of the call mart; not needed to write it."""
-    return mart.orderBy(F.col("call_time_est").desc())
+    """Presentation order of the call mart; not needed to write it.
+
+    The call id orders calls of one instant, so that even very many of them
+    spread over several sort partitions.
+    """
+    return mart.orderBy(F.col("call_time_est").desc(), "call_id")
 
 
 def lookup_uniqueness(src: Sources) -> DataFrame:

@@ -192,6 +192,7 @@ def lift_trend(
     control, ``swing`` how far that moved from the week's baseline. A point
     exists where the post cell has rows; a missing counterpart makes it NULL.
     """
+    group_by = filters.LIFT_GROUPS.get(group_by, group_by)
     if view not in VIEWS:
         raise ValueError(f"unknown view {view!r}; one of {', '.join(VIEWS)}")
     if view != "swing":

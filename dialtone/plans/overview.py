@@ -15,6 +15,7 @@ from dialtone.functions import formats
 from dialtone.functions.periods import month_key, period_label, period_start
 from dialtone.functions.rates import pct_change, total
 from dialtone.operators import metrics as m
+from dialtone.operators.filters import CALL_GROUPS
 from dialtone.operators.measures import PREFIX, current_measures, summarise
 
 DAY = "call_date_est"
@@ -159,8 +160,11 @@ def trend(
     calls: DataFrame, granularity: str = "Daily", metrics: Iterable[str] | None = None,
     group_by: str | None = None,
 ) -> DataFrame:
-    """Metric values over time as rows, overall and per value of a dimension."""
-    registry = m.chosen(m.TREND, metrics)
+    """Metric values over time as rows, overall and per value of a dimension.
+
+    ``group_by`` is a column or the name it has for users.
+    """
+    registry, group_by = m.chosen(m.TREND, metrics), CALL_GROUPS.get(group_by, group_by)
     if group_by is None or group_by not in calls.columns:
         rows = _by_period(calls, granularity).selectExpr("*", f"'{OVERALL}' AS series", "true AS is_overall")
     else:
@@ -176,7 +180,7 @@ def snapshot(
     calls: DataFrame, metrics: Iterable[str] | None = None, group_by: str | None = None
 ) -> DataFrame:
     """One value per category over the whole range, best first, missing last."""
-    registry = m.chosen(m.TREND, metrics)
+    registry, group_by = m.chosen(m.TREND, metrics), CALL_GROUPS.get(group_by, group_by)
     dated = calls.filter(f"{DAY} IS NOT NULL")
     if group_by is None or group_by not in calls.columns:
         rows = summarise(dated).selectExpr("*", f"'{OVERALL}' AS category")
@@ -185,3 +189,10 @@ def snapshot(
             dated.filter(f"{group_by} IS NOT NULL"), f"CAST({group_by} AS STRING) AS category")
     return m.long(rows, registry, "category").orderBy(
         "position", F.col("value").desc_nulls_last(), "category")
+
+
+def show_snapshot(snapped: DataFrame) -> DataFrame:
+    """Display texts of a snapshot: whole dollars, minutes with one decimal."""
+    text = f"""CASE kind WHEN 'pct' THEN {formats.as_pct('value')} WHEN 'dollar' THEN {formats.as_dollars('value', 0)}
+        WHEN 'decimal' THEN {formats.as_decimal('value', 1)} ELSE {formats.as_count('value')} END"""
+    return snapped.selectExpr("category", "metric", formats.or_missing(text) + " AS shown")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _LONG, _INT, _STR = T.LongType(), T.IntegerType(), T.StringType()
 _NTZ, _DATE, _DBL = T.TimestampNTZType(), T.DateType(), T.DoubleType()
-_MONEY, _RATE = T.DecimalType(18, 2), T.DecimalType(4, 2)
+_SECONDS, _MONEY, _RATE = T.DecimalType(18, 2), T.DecimalType(18, 4), T.DecimalType(18, 8)
+_EXPECTED_VALUE = T.DecimalType(28, 8)
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -19,7 +20,7 @@ AGENT_CALLS = _struct(
     call_id=_LONG, call_datetime_est=_NTZ, agent_name=_STR, employeeid=_LONG,
     call_direction=_STR, center_location=_STR, ib_contact_calls=_INT,
     credit_calls_ind=_INT, passed_credit_call_ind=_INT, credit_sold_calls_ind=_INT,
-    conversion_exclude_ind=_INT, talk_time_seconds=_MONEY, total_points=_DBL,
+    conversion_exclude_ind=_INT, talk_time_seconds=_SECONDS, total_points=_DBL,
     marketing_code_id=_INT, pc=_STR, hire_date=_DATE,
 )
 SESSIONS = _struct(call_id=_LONG, session_start_date=_DATE)
@@ -41,8 +42,8 @@ CALL_MART = _struct(
     agent_name=_STR, center_location=_STR, moverSwitcher=_STR,
     ib_contact_calls=_INT, credit_calls_flag=_INT, passed_credit_call_flag=_INT,
     failed_credit_call_flag=_INT, passed_credit_sale_flag=_INT,
-    failed_credit_sale_flag=_INT, orders=_LONG, gcv_fo=T.DecimalType(28, 4),
-    total_revenue=T.DecimalType(28, 4), talk_time_minutes=_DBL,
+    failed_credit_sale_flag=_INT, orders=_LONG, gcv_fo=_EXPECTED_VALUE,
+    total_revenue=_EXPECTED_VALUE, talk_time_minutes=_DBL,
     talk_time_minutes_sold=_DBL, talk_time_minutes_unsold=_DBL, tpsales_flag=_INT,
 )
 

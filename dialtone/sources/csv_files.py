@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from fnmatch import fnmatchcase
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -20,7 +21,7 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Sorted paths that match a pattern; none at all is an error.
 
     Only names are read. Spark does the listing, so any file system it knows
-    works, and folders that match stand for the files in them.
+    works. A folder that matches, such as one written by Spark, is one entry.
     """
     try:
         found = spark.read.format("binaryFile").load(pattern).select("path").collect()
@@ -30,21 +31,28 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
         raise
     if not found:
         raise FileNotFoundError(f"no files match {pattern}")
-    return sorted(row.path for row in found)
+    name = pattern.rstrip("/").rsplit("/", 1)[-1]
+
+    def entry(path: str) -> str:
+        parts = path.split("/")
+        matching = [i for i, part in enumerate(parts) if fnmatchcase(part, name)]
+        return "/".join(parts[: matching[0] + 1]) if matching else path
+
+    return sorted({entry(row.path) for row in found})
 
 
 def read_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """CSV files put together by column name, every column as text.
 
-    Files with equal headers are read together; a column that a file does not
-    have is NULL in its rows.
+    Entries with equal headers are read together; a column that one does not
+    have is NULL in its rows. The header of an entry is taken from its first
+    file, and a file inside it that has another one fails the job.
     """
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for path in paths:
         by_header[tuple(spark.read.option("header", True).csv(path).columns)].append(path)
     parts = [
-        spark.read.option("header", True).option("enforceSchema", False)
-        .option("multiLine", False).option("escape", '"')
+        spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
         .schema(T.StructType([T.StructField(c, T.StringType(), True) for c in header]))
         .csv(same)
         for header, same in by_header.items()
