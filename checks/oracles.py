@@ -281,7 +281,12 @@ SELECT * REPLACE (
   {_r('gcv_fo', 4)} AS gcv_fo, {_r('total_revenue', 4)} AS total_revenue,
   {_r('talk_time_minutes')} AS talk_time_minutes, {_r('talk_time_minutes_sold')} AS talk_time_minutes_sold,
   {_r('talk_time_minutes_unsold')} AS talk_time_minutes_unsold)
-FROM mart ORDER BY call_time_est DESC
+FROM mart
+"""
+_SQL["call_mart_newest_first"] = f"""
+WITH {_PLAIN_MART}
+SELECT call_id, call_time_est, membership, agent_name, tenure_bucket, marketing_bucket
+FROM mart ORDER BY call_time_est DESC, call_id
 """
 _SQL["call_mart_fan_out"] = f"""
 WITH {_FAN_OUT_MART}

@@ -134,8 +134,13 @@ def _mart(spark: SparkSession, sf_dir: str, fan_out: bool = False) -> DataFrame:
 @query("call_mart")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart = _rounded(_mart(spark, sf_dir), "gcv_fo", "total_revenue", places=4)
-    return extract.newest_first(_rounded(
-        mart, "talk_time_minutes", "talk_time_minutes_sold", "talk_time_minutes_unsold"))
+    return _rounded(mart, "talk_time_minutes", "talk_time_minutes_sold", "talk_time_minutes_unsold")
+
+
+@query("call_mart_newest_first")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.newest_first(_mart(spark, sf_dir).select(
+        "call_id", "call_time_est", "membership", "agent_name", "tenure_bucket", "marketing_bucket"))
 
 
 @query("call_mart_fan_out")
