@@ -40,7 +40,7 @@ SELECTED = CallFilters(
 )
 WINDOW = LiftWindow(
     pre_start=date(2024, 1, 3), pre_end=date(2024, 1, 12),
-    post_start=date(2024, 1, 17), post_end=date(2024, 1, 28),
+    post_from=date(2024, 1, 17), post_to=date(2024, 1, 28),
 )
 
 
@@ -427,7 +427,7 @@ def _weekly(spark: SparkSession, sf_dir: str, window: LiftWindow | None = None,
 @query("lift_active_weeks")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = adapter.lift(spark, sf_dir)
-    weeks = lift.active_weeks(facts, WINDOW.post_start, WINDOW.post_end)
+    weeks = lift.active_weeks(facts, WINDOW.post_from, WINDOW.post_to)
     return lift.baseline_of(facts, weeks).groupBy("post_week", "week").agg(
         F.count(F.lit(1)).alias("baseline_rows"))
 

@@ -84,11 +84,34 @@ class CallFilters:
 
 @dataclass(frozen=True)
 class LiftWindow:
-    """Where a centre's lift files are and which dates count as its baseline."""
+    """Which lift rows to compare.
+
+    The baseline dates bound the fixed baseline. The post dates are what a user
+    picked; open ends take all post rows there are.
+    """
 
     pre_start: date
     pre_end: date
-    post_start: date | None = None
-    post_end: date | None = None
-    file_base: str | None = None
+    post_from: date | None = None
+    post_to: date | None = None
     excluded_week: str | None = None
+
+
+@dataclass(frozen=True)
+class LiftCentre:
+    """Where a centre's lift files are, and its announced test dates.
+
+    The announced post dates are for display: which post rows count is decided
+    by the rows themselves and by the user's choice.
+    """
+
+    file_base: str
+    pre_start: date
+    pre_end: date
+    post_start: date
+    post_end: date
+
+    def window(
+        self, post_from: date | None = None, post_to: date | None = None, excluded_week: str | None = None
+    ) -> LiftWindow:
+        return LiftWindow(self.pre_start, self.pre_end, post_from, post_to, excluded_week)

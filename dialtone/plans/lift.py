@@ -59,7 +59,7 @@ def weekly_scope(
     rows = lift.filter(is_post | (F.col("period") == "pre_weekly"))
     if window is not None:
         rows = rows.filter(~is_post | filters.day_within(
-            rows, "call_datetime_est", window.post_start, window.post_end))
+            rows, "call_datetime_est", window.post_from, window.post_to))
     rows = rows.withColumn("week_key", F.when(is_post, F.col("week")).otherwise(F.col("post_week")))
     rows = filters.without_value(rows, "week_key", window.excluded_week if window else None)
     return filters.assigned(filters.apply_lift_filters(rows, selected))

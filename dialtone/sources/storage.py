@@ -8,17 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_temporary: dict[str, str] = {}
+
+
+def _named_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in ``spark.checkpoint.dir``.
 
     Where none is named, as in tests on one machine, a temporary folder is
-    used, and remembered for the session.
+    used, one per application.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir")
+    named = _named_folder(spark)
     if not named:
-        named = tempfile.mkdtemp(prefix="dialtone-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in _temporary:
+            _temporary[application] = tempfile.mkdtemp(prefix="dialtone-")
+        named = _temporary[application]
     return named.rstrip("/")
 
 

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 import pytest
 
-from dialtone.config import CallFilters, Labels, LiftWindow
+from dialtone.config import CallFilters, Labels, LiftCentre, LiftWindow
 from dialtone.plans import lift
 from tests.helpers import by, lift_facts
 
@@ -110,11 +110,11 @@ def test_excluding_a_week_keeps_rows_without_week(spark):
 def test_window_and_filters(spark):
     late = dict(call_datetime_est=datetime(2024, 1, 20, 23, 59))
     facts = lift_facts(spark, *four(mover_switcher="mover"), *[{**r, **late} for r in four(W2, mover_switcher="switcher")])
-    window = LiftWindow(date(2024, 1, 1), date(2024, 1, 2), post_start=date(2024, 1, 17), post_end=date(2024, 1, 20))
+    window = LiftWindow(date(2024, 1, 1), date(2024, 1, 2), post_from=date(2024, 1, 17), post_to=date(2024, 1, 20))
     assert {r.week for r in lift.weekly_lift(lift.weekly_scope(facts, window)).collect()} == {W2}
     chosen = CallFilters(mover_switcher=("mover",), center_location=("ignored here",))
     assert {r.week for r in lift.weekly_lift(lift.weekly_scope(facts, None, chosen)).collect()} == {W1}
-    assert [r.week for r in lift.active_weeks(facts, window.post_start, window.post_end).collect()] == [W2]
+    assert [r.week for r in lift.active_weeks(facts, window.post_from, window.post_to).collect()] == [W2]
 
 
 def test_baseline_join_changes_nothing_in_the_comparison(spark):
@@ -167,3 +167,15 @@ def test_no_control_at_all_gives_missing_deltas(spark):
 def test_week_labels_need_no_padding(spark):
     facts = lift_facts(spark, cell("post", "treatment", "1/5/2024"))
     assert lift.lift_trend(lift.weekly_scope(facts), metrics=["nc"]).first().week_start == date(2024, 1, 5)
+
+
+def test_announced_post_dates_do_not_filter(spark):
+    centre = LiftCentre("base", date(2024, 1, 1), date(2024, 1, 8), date(2030, 1, 1), date(2030, 2, 1))
+    facts = lift_facts(spark, *four())
+    assert lift.weekly_lift(lift.weekly_scope(facts, centre.window())).count() == 10
+    assert lift.weekly_lift(lift.weekly_scope(facts, centre.window(post_from=date(2024, 1, 17)))).count() == 0
+
+
+def test_equal_weights_give_the_plain_mean(spark):
+    summary = by(lift.lift_summary(weekly(spark, *four(), *four(W2, (1, 2, 6, 4)))), "metric")
+    assert summary["rpnc"]["post_delta"] == pytest.approx((-0.25 + 0.5) / 2)

@@ -222,3 +222,16 @@ def test_filter_options_and_bounds(spark):
     options = [(r.dimension, r.value) for r in filters.filter_options(some, ("center_location", "call_type", "absent")).collect()]
     assert options == [("call_type", "Permalease"), ("call_type", "Site Session"), ("center_location", "N")]
     assert [r[0] for r in filters.distinct_values(some, "center_location").collect()] == ["N"]
+
+
+def test_same_period_twice_changes_by_nothing(spark, sf_dir):
+    week = (date(2024, 1, 8), date(2024, 1, 14))
+    for r in overview.compare_periods(adapter.calls(spark, sf_dir), week, week).collect():
+        assert r.change_pct == (None if not r.first_value else 0)
+
+
+def test_groups_add_up_to_overall(spark, sf_dir):
+    rows = overview.trend(adapter.calls(spark, sf_dir), "Weekly", ["Calls"], "Call Type").collect()
+    for period in {r.period for r in rows}:
+        of = [r for r in rows if r.period == period]
+        assert sum(r.value for r in of if not r.is_overall) == sum(r.value for r in of if r.is_overall) > 0

@@ -138,6 +138,12 @@ def test_shared_folder_is_the_configured_one(spark):
     assert sorted(r.id for r in storage.staged(spark.range(3)).collect()) == [0, 1, 2]
 
 
+def test_shared_folder_without_a_name(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_named_folder", lambda _: None)
+    assert storage.shared_folder(spark) == storage.shared_folder(spark)
+    assert sorted(r.id for r in storage.staged(spark.range(2)).collect()) == [0, 1]
+
+
 def test_sources_have_their_declared_columns(spark, tmp_path):
     path = str(tmp_path / "agents")
     spark.sql("SELECT 'x' AS extra, 7 AS employeeid").write.parquet(path)
