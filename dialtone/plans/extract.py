@@ -90,6 +90,8 @@ def call_mart(
 
     calls = lookups.member_flag(deduplicated_calls(scoped), registered, "call_id", "registered")
     calls = lookups.attach(calls, anchor_membership(scoped, registered, cfg), "call_id")
+    # order lines of calls out of scope find no call here, so they need no
+    # semi-join of their own, which would read and shuffle the calls once more
     calls = lookups.attach(
         calls,
         order_rollup(orders_since(src.orders, cfg.from_date, cfg.order_time_zone), cfg.prepaid_product),

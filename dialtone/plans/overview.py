@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialtone.functions import formats
-from dialtone.functions.periods import month_key, period_label, period_start
+from dialtone.functions.periods import period_label, period_start
 from dialtone.functions.rates import pct_change, total
 from dialtone.operators import metrics as m
 from dialtone.operators.filters import CALL_GROUPS
