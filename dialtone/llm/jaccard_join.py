@@ -13,7 +13,10 @@ a set gives one key common to its scheme. `slack` is the one with the fewest exp
 
 Keys meet in buckets of bounded size, reduced to one document per key and batch before the shuffle. Of each
 key, every document is first paired with the smallest one only; only where the verified links leave documents
-of a key in different components are the other pairs made. Each candidate is verified on the whole sets.
+of a key in different components are the other pairs made. A parity bitmap of each set, of about a bit an
+element, bounds a pair's difference from below and drops most false candidates; each pair left is verified on
+the whole sets. Sets and keys are made anew from the texts where they are needed: keeping them would take more
+room than the texts.
 
 Defined results: a null or blank text has an empty set and links with nothing. Rows with the same id are one
 document, linked by any of its texts. Rows without an id have no component. Shingles are compared by 64-bit
@@ -125,65 +128,101 @@ def all_keys(elements: np.ndarray) -> np.ndarray:
     return np.concatenate([keys_under(elements, b) for b in ({band, band - 1} if band else {0})])
 
 
+def parity_bits(elements: np.ndarray) -> bytes:
+    """A bitmap in which every element flips one bit; two bitmaps differ in no more bits than the sets in elements."""
+    width = max(64, 1 << (len(elements) - 1).bit_length()) if len(elements) else 64
+    at = (mixed(elements, 0x2B) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the sets' symmetric difference; the wider bitmap is folded to the narrower one."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         sets = [shingle_set(t) for t in part["text"]]
-        with np.errstate(over="ignore"):
-            marks = [(mixed(s, 0x3D).sum(dtype=np.uint64), mixed(s, 0x99).sum(dtype=np.uint64)) for s in sets]
-        keys = [all_keys(s) for s in sets]
+        marks = [(mixed(s, 0x3D).sum(dtype=np.uint64), mixed(s, 0x99).sum(dtype=np.uint64)) for s in sets]
         yield pd.DataFrame({
             "doc_id": part["doc_id"], "n": [len(s) for s in sets],
             "h1": np.array([m[0] for m in marks], np.uint64).view(np.int64),
             "h2": np.array([m[1] for m in marks], np.uint64).view(np.int64),
-            "n_keys": [len(k) for k in keys], "keys": [k.tobytes() for k in keys],
+            "bits": [parity_bits(s) for s in sets],
         })
 
 
 def _bucketed(buckets: int):
     """Keys of a batch, sorted into buckets; of documents that share a key one goes to the key's bucket, and all of
-    them go by another way, as rows already known to share it."""
+    them go by another way, as rows already known to share it. A bucket's keys are 48 further bits of the key."""
+
+    def packed(keys: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes, int]:
+        rest = (keys // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        least = int(docs.min())
+        wide = int(docs.max()) - least >= 1 << 32
+        return rest.tobytes(), (docs - least).astype("<i8" if wide else "<u4").tobytes(), least
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            whole = whole.drop_duplicates(["h1", "h2"])  # equal sets are linked without a key
+            seen: set[bytes] = set()
             for start in range(0, len(whole), 1000):
-                part = whole.iloc[start : start + 1000]
-                keys = np.frombuffer(b"".join(part["keys"]), np.uint64)
-                docs = np.repeat(part["doc_id"].to_numpy(np.int64), part["n_keys"].to_numpy(np.int64))
+                found, ids = [], []
+                for doc, text in zip(whole["doc_id"].iloc[start : start + 1000], whole["text"].iloc[start : start + 1000]):
+                    elements = shingle_set(text)
+                    mark = xxhash.xxh3_128_digest(elements.tobytes())
+                    if len(elements) and mark not in seen:  # equal sets are linked without a key
+                        seen.add(mark)
+                        found.append(all_keys(elements))
+                        ids.append(doc)
+                if not found:
+                    continue
+                docs = np.repeat(np.array(ids, np.int64), [len(k) for k in found])
+                keys = np.concatenate(found)
                 order = np.lexsort((docs, keys))
                 keys, docs = keys[order], docs[order]
-                first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
-                shared = ~first | np.r_[~first[1:], False] if len(keys) else first
-                if shared.any():
-                    salt = buckets + int(docs[0] % buckets)
-                    yield pd.DataFrame({"bucket": [salt], "keys": [keys[shared].tobytes()], "docs": [docs[shared].tobytes()]})
-                keys, docs = keys[first], docs[first]
+                first = np.r_[True, keys[1:] != keys[:-1]]
+                shared = ~first | np.r_[~first[1:], False]
                 bucket = (keys % np.uint64(buckets)).astype(np.int64)
+                out = []
+                if shared.any():
+                    for b in np.unique(bucket[shared]):
+                        of = shared & (bucket == b)
+                        out.append((buckets + int(ids[0] % buckets), int(b), *packed(keys[of], docs[of])))
+                keys, docs, bucket = keys[first], docs[first], bucket[first]
                 order = np.argsort(bucket, kind="stable")
                 keys, docs, bucket = keys[order], docs[order], bucket[order]
-                ids, at = np.unique(bucket, return_index=True)
-                ends = np.r_[at[1:], len(bucket)]
-                yield pd.DataFrame({
-                    "bucket": ids, "keys": [keys[a:b].tobytes() for a, b in zip(at, ends)],
-                    "docs": [docs[a:b].tobytes() for a, b in zip(at, ends)],
-                })
+                names, at = np.unique(bucket, return_index=True)
+                for b, x, y in zip(names, at, np.r_[at[1:], len(bucket)]):
+                    out.append((int(b), int(b), *packed(keys[x:y], docs[x:y])))
+                yield pd.DataFrame(out, columns=["place", "bucket", "keys", "docs", "least"])
 
     return run
 
 
-def _shared_keys(buckets: int):
-    """Of a bucket, the (key, document) rows whose key has several documents."""
+PACKED = "place long, bucket long, keys binary, docs binary, least long"
+
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(part["keys"]), np.uint64)
-        docs = np.frombuffer(b"".join(part["docs"]), np.int64)
-        if key[0] < buckets:
+def _shared_keys(buckets: int):
+    """Of a place, the (bucket, key, document) rows whose key has several documents."""
+
+    def run(place: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        keys, docs, names = [], [], []
+        for bucket, k, d, least in zip(part["bucket"], part["keys"], part["docs"], part["least"]):
+            rest = np.zeros((len(k) // 6, 8), np.uint8)
+            rest[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
+            keys.append(rest.reshape(-1).view("<u8").astype(np.int64))
+            docs.append(np.frombuffer(d, "<u4" if len(d) == 4 * len(rest) else "<i8").astype(np.int64) + least)
+            names.append(np.full(len(rest), bucket))
+        keys, docs, names = map(np.concatenate, (keys, docs, names))
+        if place[0] < buckets:
             order = np.argsort(keys, kind="stable")
-            keys, docs = keys[order], docs[order]
+            keys, docs, names = keys[order], docs[order], names[order]
             same = keys[1:] == keys[:-1]
             shared = np.r_[same, False] | np.r_[False, same]
-            keys, docs = keys[shared], docs[shared]
-        return pd.DataFrame({"key": keys.view(np.int64), "doc": docs})
+            keys, docs, names = keys[shared], docs[shared], names[shared]
+        return pd.DataFrame({"bucket": names, "key": keys, "doc": docs})
 
     return run
 
@@ -232,13 +271,25 @@ def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.join(other, "b").join(one, "a").where(common * OF >= union * NEEDED).select("a", "b").distinct()
 
 
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        kept = [
+            x is None or y is None or least_difference(x, y) <= most_different(n, m)
+            for x, y, n, m in zip(part["bits_a"], part["bits_b"], part["n_a"], part["n_b"])
+        ]
+        yield part.loc[kept, ["a", "b"]]
+
+
 def _comparable(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of documents as distinct pairs of representatives whose sizes let them link."""
+    """Pairs of documents as distinct pairs of representatives whose sizes and bitmaps let them link."""
     side = lambda k: names.select(
         F.col("doc_id").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("least").alias(f"least_{k}"), F.col("most").alias(f"most_{k}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("rep_a <> rep_b")
     fits = f"{OF} * most_a >= {NEEDED} * least_b AND {OF} * most_b >= {NEEDED} * least_a"
-    return pairs.where(fits).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    pairs = pairs.where(fits).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    bits = lambda k: names.where("rep = doc_id").select(
+        F.col("doc_id").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("most").alias(f"n_{k}"))
+    return pairs.join(bits("a"), "a").join(bits("b"), "b").mapInPandas(_near, "a long, b long")
 
 
 def near_duplicate_classes(documents: DataFrame) -> DataFrame:
@@ -247,49 +298,47 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     component_id is the smallest id reachable by links of a shingle Jaccard similarity of 0.8 or more.
     """
     rows = documents.select("doc_id", "text")
-    marks = "n int, h1 long, h2 long"
-    described = staged(rows.mapInPandas(_described, f"doc_id long, {marks}, n_keys int, keys binary"), "keys")
-    sized = described.select("doc_id", "n", "h1", "h2")
+    sized = staged(rows.mapInPandas(_described, "doc_id long, n int, h1 long, h2 long, bits binary"), "marks")
     known = sized.where("doc_id IS NOT NULL AND n > 0")
 
     # Equal sets: each is named by its smallest document; an id with several texts stands for itself.
     single = known.groupBy("doc_id").agg(
         F.count("*").alias("texts"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+        F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("bits").alias("bits"))
     same = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     equal = known.join(same, ["h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     alone = single.where("texts = 1")
     reps = alone.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    names = alone.join(reps, ["h1", "h2"]).select("doc_id", "rep", "least", "most").unionByName(
-        single.where("texts > 1").select("doc_id", F.col("doc_id").alias("rep"), "least", "most"))
+    names = alone.join(reps, ["h1", "h2"]).select("doc_id", "rep", "least", "most", "bits").unionByName(
+        single.where("texts > 1").select("doc_id", F.col("doc_id").alias("rep"), "least", "most", F.lit(None).alias("bits")))
     names = staged(names, "names")
 
     # Keys that several documents share.
-    total = described.agg(F.sum("n_keys")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_KEYS))
-    packed = described.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "h1", "h2", "n_keys", "keys")
-    packed = packed.mapInPandas(_bucketed(buckets), "bucket long, keys binary, docs binary")
-    shared = packed.groupBy("bucket").applyInPandas(_shared_keys(buckets), "key long, doc long")
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, total // (2 * BUCKET_KEYS))  # a set has about half as many keys as elements
+    packed = rows.where("doc_id IS NOT NULL").mapInPandas(_bucketed(buckets), PACKED)
+    shared = packed.groupBy("place").applyInPandas(_shared_keys(buckets), "bucket long, key long, doc long")
     shared = staged(shared.distinct(), "shared")
+    key = ["bucket", "key"]
 
     # First each document of a key with the key's smallest one.
-    centre = shared.groupBy("key").agg(F.min("doc").alias("a"))
-    star = shared.join(centre, "key").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+    centre = shared.groupBy(*key).agg(F.min("doc").alias("a"))
+    star = shared.join(centre, key).where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
     star = staged(_comparable(star, names), "pairs")
     links = staged(equal.unionByName(_verified(star, documents)), "found")
     classes = components(links)
 
     # Then the other pairs of a key, where its documents are still in different components.
     member = (
-        shared.join(names.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("key", F.col("rep").alias("node")).distinct()
-        .join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        shared.join(names.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(*key, F.col("rep").alias("node")).distinct()
+        .join(classes, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component"))
     )
     member = staged(member, "members")
-    split = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    open_ = member.join(split, "key")
-    one = open_.select("key", F.col("node").alias("a"), F.col("component").alias("c1"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("c2"))
-    rest = one.join(other, "key").where("c1 < c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    split = member.groupBy(*key).agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select(*key)
+    open_ = member.join(split, key)
+    one = open_.select(*key, F.col("node").alias("a"), F.col("component").alias("c1"))
+    other = open_.select(*key, F.col("node").alias("b"), F.col("component").alias("c2"))
+    rest = one.join(other, key).where("c1 < c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = staged(_comparable(rest, names).join(star, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = staged(_verified(rest, documents), "found")

@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialtone.llm import jaccard_join, quality_network
+import public_tokenizers
+
+from dialtone.llm import jaccard_join, piece_encoding, quality_network, secret_scans, source_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digests(table(spark, sf_dir, "documents"), secret_scans.new_ledger(spark))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position")
+
+
+def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_encoding.encoding_digests(documents, model).select("doc_id", "digest.*")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -28,8 +45,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_jaccard_join, op9_quality_classifier)}
+    return {f.__name__: f for f in (
+        op2_secret_scans, op6_source_mixing, op7_piece_encoding, op8_ngram_jaccard_join, op9_quality_classifier,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from dialtone.llm.sql import ORACLES
+
+    return dict(ORACLES)

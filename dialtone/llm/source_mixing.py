@@ -97,7 +97,7 @@ def mix_sources(documents: DataFrame, mix: Curriculum = Curriculum()) -> DataFra
 
     def position(offset: Column, words: str) -> Column:
         t = reached(offset, F.col("target"), F.col("slope"))
-        return F.when(F.col(words) > 0, F.col("linear") * t + F.col("square") * t * t)
+        return F.when(F.col(words) > 0, F.round(F.col("linear") * t + F.col("square") * t * t, 3))
 
     return placed.select(
         "doc_id", "size", "source_size", "target", (F.col("first_words") + F.col("repeat_words")).alias("taken"),
