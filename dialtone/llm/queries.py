@@ -8,17 +8,45 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from dialtone.llm import jaccard_join, piece_encoding, quality_network, secret_scans, source_mixing
+from dialtone.llm import (
+    jaccard_join, license_scans, piece_encoding, pitman_yor, pivot_search, quality_network, secret_scans, source_mixing,
+    spot_signatures, token_counts,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scans.scan_documents(table(spark, sf_dir, "documents"))
+    labels = F.array_union("base_labels", F.transform("matches", lambda m: m["label"]))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    share = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base_labels")).alias("base_labels"),
+        joined(labels).alias("labels"), share.alias("score"),
+    )
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digests(table(spark, sf_dir, "documents"), secret_scans.new_ledger(spark))
 
 
+def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count_tokens(documents, model).select("doc_id", "counts.*")
+
+
+def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position")
@@ -44,9 +72,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_secret_scans, op6_source_mixing, op7_piece_encoding, op8_ngram_jaccard_join, op9_quality_classifier,
+        op1_license_scans, op2_secret_scans, op3_pivot_search, op4_token_counts, op5_spot_signatures,
+        op6_source_mixing, op7_piece_encoding, op8_ngram_jaccard_join, op9_quality_classifier,
+        op10_pitman_yor,
     )}
 
 
