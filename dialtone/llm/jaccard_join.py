@@ -12,10 +12,11 @@ link then share a key, a short and a full set do so by the full set's own count.
 a set gives one key common to its scheme. `slack` is the one with the fewest expected keys. No pair is lost.
 
 Keys meet in buckets of bounded size, reduced to one document per key and batch before the shuffle. Of each
-key, every document is first paired with the smallest one only; only where the verified links leave documents
-of a key in different components are the other pairs made. A parity bitmap of each set, of about a bit an
-element, bounds a pair's difference from below and drops most false candidates; each pair left is verified on
-the whole sets. Sets and keys are made anew from the texts where they are needed: keeping them would take more
+key, every document is first paired with the smallest one only. Where the verified links leave documents of a
+key in different components, their pairs are looked at in blocks of bounded size: a parity bitmap of each set, of
+a few bits an element, bounds a pair's difference from below, and of the pairs that may still link each document
+gives its nearest few, then more of those left, at last all. Pairs inside a component need no look. Each pair
+given is verified on the whole sets. Sets and keys are made anew from the texts where they are needed: keeping them would take more
 room than the texts.
 
 Defined results: a null or blank text has an empty set and links with nothing. Rows with the same id are one
@@ -40,6 +41,8 @@ from dialtone.llm.workspace import staged
 SHINGLE = 5
 NEEDED, OF = 80, 100  # a pair links when OF * intersection >= NEEDED * union
 BUCKET_KEYS, FILTER_BITS = 250_000, 1 << 22
+BLOCK, PLACE_ROWS = 1_000, 5_000  # documents of a key in a block, rows in a place
+NEAREST = (4, 64, None)  # pairs a document gives of a key, round by round
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -130,7 +133,7 @@ def all_keys(elements: np.ndarray) -> np.ndarray:
 
 def parity_bits(elements: np.ndarray) -> bytes:
     """A bitmap in which every element flips one bit; two bitmaps differ in no more bits than the sets in elements."""
-    width = max(64, 1 << (len(elements) - 1).bit_length()) if len(elements) else 64
+    width = max(64, 2 << (len(elements) - 1).bit_length()) if len(elements) else 64
     at = (mixed(elements, 0x2B) & np.uint64(width - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
 
@@ -292,6 +295,61 @@ def _comparable(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.join(bits("a"), "a").join(bits("b"), "b").mapInPandas(_near, "a long, b long")
 
 
+def _nearest_pairs(nearest: int | None):
+    """Pairs of a place's rows that share key and blocks, are in different components and may link."""
+
+    def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["bucket", "key", "block_a", "block_b"], kind="stable").reset_index(drop=True)
+        marks = part[["bucket", "key", "block_a", "block_b"]].to_numpy(np.int64)
+        starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)])
+        node, component, size = (part[c].to_numpy(np.int64) for c in ("node", "component", "n"))
+        side, bits, out = part["own"].to_numpy(np.int64), part["bits"].to_numpy(), []
+        for begin, end in zip(starts, np.r_[starts[1:], len(part)]):
+            if (component[begin:end] == component[begin]).all():
+                continue
+            own = bits[begin:end]
+            known = np.array([x is not None for x in own])
+            width = min((len(x) for x in own if x is not None), default=8)
+            maps = np.zeros((end - begin, width), np.uint8)
+            for row, x in zip(maps, own):
+                if x is not None:
+                    row[:] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0)
+            maps = maps.view(np.uint64)
+            c, n, v, s = component[begin:end], size[begin:end], node[begin:end], side[begin:end]
+            two = marks[begin, 2] != marks[begin, 3]  # of two blocks, a row meets those of the other one
+            for i in range(end - begin):
+                met = np.flatnonzero((c != c[i]) & (v > v[i]) & ((s != s[i]) if two else True))
+                if not len(met):
+                    continue
+                total = n[met] + n[i]
+                union_part = NEEDED + OF
+                most = total - 2 * -(-NEEDED * total // union_part)
+                fits = OF * np.minimum(n[met], n[i]) >= NEEDED * np.maximum(n[met], n[i])
+                far = np.bitwise_count(maps[met] ^ maps[i]).sum(axis=1, dtype=np.int64)
+                loose = ~known[met] | (not known[i])
+                far[loose] = 0
+                met, far = met[(far <= most) & (fits | loose)], far[(far <= most) & (fits | loose)]
+                if nearest is not None and len(met) > nearest:
+                    met = met[np.argpartition(far, nearest)[:nearest]]
+                out.append(np.column_stack([np.full(len(met), v[i]), v[met]]))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    return run
+
+
+def _open_pairs(rows: DataFrame, key: list[str], nearest: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of rows of a key that may link, from blocks of a bounded number of its rows."""
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select(*key, "node", "component", "n", "bits", "own", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"))
+    rows = staged(rows, "open")
+    places = max(1, -(-rows.count() // PLACE_ROWS))
+    place = F.pmod(F.xxhash64(*key, "block_a", "block_b"), F.lit(places)).alias("place")
+    return rows.select("*", place).groupBy("place").applyInPandas(_nearest_pairs(nearest), "a long, b long").distinct()
+
+
 def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of `documents`.
 
@@ -329,21 +387,21 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     classes = components(links)
 
     # Then the other pairs of a key, where its documents are still in different components.
-    member = (
-        shared.join(names.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(*key, F.col("rep").alias("node")).distinct()
-        .join(classes, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component"))
-    )
-    member = staged(member, "members")
-    split = member.groupBy(*key).agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select(*key)
-    open_ = member.join(split, key)
-    one = open_.select(*key, F.col("node").alias("a"), F.col("component").alias("c1"))
-    other = open_.select(*key, F.col("node").alias("b"), F.col("component").alias("c2"))
-    rest = one.join(other, key).where("c1 < c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = staged(_comparable(rest, names).join(star, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = staged(_verified(rest, documents), "found")
-        if not more.isEmpty():
-            classes = components(links.unionByName(more))
+    nodes = names.where("rep = doc_id").select(F.col("rep").alias("node"), F.col("most").alias("n"), "bits")
+    member = shared.join(names.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(*key, F.col("rep").alias("node")).distinct()
+    member, tried = staged(member, "members"), star
+    for nearest in NEAREST:
+        labelled = member.join(classes, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component"))
+        split = labelled.groupBy(*key).agg(F.count("*").alias("held"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+        open_ = labelled.join(split.where("c1 <> c2").select(*key, "held"), key).join(nodes, "node")
+        more = staged(_open_pairs(open_, key, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        new = staged(_verified(more, documents), "found")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            classes = components(links)
     return (
         sized.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
