@@ -295,51 +295,74 @@ def _comparable(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.join(bits("a"), "a").join(bits("b"), "b").mapInPandas(_near, "a long, b long")
 
 
+def _folded(bits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of `width` bytes of the rows that have this width or twice as much, and each row's place among them."""
+    lengths = np.array([-1 if x is None else len(x) for x in bits])
+    rows = np.flatnonzero((lengths == width) | (lengths == 2 * width))
+    maps = np.zeros((len(rows), width), np.uint8)
+    for out, at in zip(maps, rows):
+        out[:] = np.bitwise_xor.reduce(np.frombuffer(bits[at], np.uint8).reshape(-1, width), axis=0)
+    place = np.full(len(bits), -1)
+    place[rows] = np.arange(len(rows))
+    return maps.view(np.uint64), place
+
+
 def _nearest_pairs(nearest: int | None):
-    """Pairs of a place's rows that share key and blocks, are in different components and may link."""
+    """Pairs of a place's rows that share key and blocks, are in different components and may link. Of each
+    document the nearest few; keys that have more give a row without a pair."""
 
     def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["bucket", "key", "block_a", "block_b"], kind="stable").reset_index(drop=True)
         marks = part[["bucket", "key", "block_a", "block_b"]].to_numpy(np.int64)
-        starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)])
-        node, component, size = (part[c].to_numpy(np.int64) for c in ("node", "component", "n"))
-        side, bits, out = part["own"].to_numpy(np.int64), part["bits"].to_numpy(), []
-        for begin, end in zip(starts, np.r_[starts[1:], len(part)]):
-            if (component[begin:end] == component[begin]).all():
-                continue
-            own = bits[begin:end]
-            known = np.array([x is not None for x in own])
-            width = min((len(x) for x in own if x is not None), default=8)
-            maps = np.zeros((end - begin, width), np.uint8)
-            for row, x in zip(maps, own):
-                if x is not None:
-                    row[:] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0)
-            maps = maps.view(np.uint64)
-            c, n, v, s = component[begin:end], size[begin:end], node[begin:end], side[begin:end]
-            two = marks[begin, 2] != marks[begin, 3]  # of two blocks, a row meets those of the other one
-            for i in range(end - begin):
-                met = np.flatnonzero((c != c[i]) & (v > v[i]) & ((s != s[i]) if two else True))
-                if not len(met):
-                    continue
-                total = n[met] + n[i]
-                union_part = NEEDED + OF
-                most = total - 2 * -(-NEEDED * total // union_part)
-                fits = OF * np.minimum(n[met], n[i]) >= NEEDED * np.maximum(n[met], n[i])
-                far = np.bitwise_count(maps[met] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                loose = ~known[met] | (not known[i])
-                far[loose] = 0
-                met, far = met[(far <= most) & (fits | loose)], far[(far <= most) & (fits | loose)]
-                if nearest is not None and len(met) > nearest:
-                    met = met[np.argpartition(far, nearest)[:nearest]]
-                out.append(np.column_stack([np.full(len(met), v[i]), v[met]]))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        group = np.cumsum(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)])
+        two = marks[:, 2] != marks[:, 3]  # of two blocks, a row meets those of the other one
+        node, component, size, own = (part[c].to_numpy(np.int64) for c in ("node", "component", "n", "own"))
+        bits = part["bits"].to_numpy()
+        lengths = np.array([0 if x is None else len(x) for x in bits])
+        maps = {w: _folded(bits, w) for w in np.unique(lengths[lengths > 0]).tolist()}
+        found = []
+        for step in range(1, int(np.bincount(group).max())):
+            i = np.flatnonzero(group[step:] == group[:-step])
+            j = i + step
+            total = size[i] + size[j]
+            fits = OF * np.minimum(size[i], size[j]) >= NEEDED * np.maximum(size[i], size[j])
+            width = np.minimum(lengths[i], lengths[j])
+            kept = (component[i] != component[j]) & (fits | (width == 0)) & (~two[i] | (own[i] != own[j]))
+            i, j, total, width = i[kept], j[kept], total[kept], width[kept]
+            most = total - 2 * -(-NEEDED * total // (NEEDED + OF))
+            far = np.zeros(len(i), np.int64)
+            for w in np.unique(width[width > 0]).tolist():
+                of = np.flatnonzero(width == w)
+                bitmap, place = maps[w]
+                far[of] = np.bitwise_count(bitmap[place[i[of]]] ^ bitmap[place[j[of]]]).sum(axis=1, dtype=np.int64)
+            near = (far <= most) | (width == 0)
+            found.append(np.column_stack([i[near], j[near], far[near]]))
+        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+        more = np.empty(0, np.int64)
+        if nearest is not None and len(pairs):
+            pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 0]))]
+            first = np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]
+            start = np.maximum.accumulate(np.where(first, np.arange(len(pairs)), 0))
+            few = np.arange(len(pairs)) - start < nearest
+            more = np.unique(group[pairs[~few, 0]])
+            pairs = pairs[few]
+        x, y = node[pairs[:, 0]], node[pairs[:, 1]]
+        distinct = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+        open_keys = np.unique(marks[np.searchsorted(group, more), :2], axis=0)
+        return pd.DataFrame({
+            "a": np.r_[distinct[:, 0], np.zeros(len(open_keys), np.int64)],
+            "b": np.r_[distinct[:, 1], np.zeros(len(open_keys), np.int64)],
+            "bucket": np.r_[np.zeros(len(distinct), np.int64), open_keys[:, 0]],
+            "key": np.r_[np.zeros(len(distinct), np.int64), open_keys[:, 1]],
+            "more": np.r_[np.zeros(len(distinct), bool), np.ones(len(open_keys), bool)],
+        })
 
     return run
 
 
 def _open_pairs(rows: DataFrame, key: list[str], nearest: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of rows of a key that may link, from blocks of a bounded number of its rows."""
+    """(a, b, bucket, key, more): pairs of rows of a key that may link, and keys that have more of them, from blocks
+    of a bounded number of a key's rows."""
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -347,7 +370,8 @@ def _open_pairs(rows: DataFrame, key: list[str], nearest: int | None) -> DataFra
     rows = staged(rows, "open")
     places = max(1, -(-rows.count() // PLACE_ROWS))
     place = F.pmod(F.xxhash64(*key, "block_a", "block_b"), F.lit(places)).alias("place")
-    return rows.select("*", place).groupBy("place").applyInPandas(_nearest_pairs(nearest), "a long, b long").distinct()
+    kinds = "a long, b long, bucket long, key long, more boolean"
+    return rows.select("*", place).groupBy("place").applyInPandas(_nearest_pairs(nearest), kinds)
 
 
 def near_duplicate_classes(documents: DataFrame) -> DataFrame:
@@ -394,14 +418,19 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
         labelled = member.join(classes, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component"))
         split = labelled.groupBy(*key).agg(F.count("*").alias("held"), F.min("component").alias("c1"), F.max("component").alias("c2"))
         open_ = labelled.join(split.where("c1 <> c2").select(*key, "held"), key).join(nodes, "node")
-        more = staged(_open_pairs(open_, key, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        new = staged(_verified(more, documents), "found")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            classes = components(links)
+        looked = staged(_open_pairs(open_, key, nearest), "looked")
+        found = looked.where("NOT more").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        found = staged(found, "pairs")
+        if not found.isEmpty():
+            tried = tried.unionByName(found)
+            new = staged(_verified(found, documents), "found")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                classes = components(links)
+        rest = looked.where("more").select(*key).distinct()
+        if rest.isEmpty():
+            break  # every pair that may link was given
+        member = staged(member.join(rest, key), "members")
     return (
         sized.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
