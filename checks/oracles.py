@@ -142,9 +142,11 @@ SUMS = """
   coalesce(sum(orders) FILTER (sell), 0) AS orders, sum(top_product) FILTER (sell) AS tp,
   coalesce(sum(revenue) FILTER (sell), 0) AS revenue,
   sum(orders) FILTER (ib) AS ib_orders, sum(top_product) FILTER (ib) AS ib_tp,
-  avg(minutes) FILTER (ib) AS talk, avg(minutes) FILTER (ib AND orders > 0) AS sold,
-  avg(minutes) FILTER (ib AND orders = 0) AS unsold
-"""
+""" + ", ".join(
+    # exact sums, so that shown digits do not depend on the order of the rows
+    f"CAST(sum(CAST(minutes AS DECIMAL(28,10))) FILTER ({rows}) AS DOUBLE) / nullif(count(minutes) FILTER ({rows}), 0) AS {name}"
+    for name, rows in {"talk": "ib", "sold": "ib AND orders > 0", "unsold": "ib AND orders = 0"}.items()
+) + "\n"
 
 FUNNEL = {
     "Calls": "n", "CiContact": _div("contact", "n"), "CiCredit": _div("credit", "n"),
@@ -196,6 +198,10 @@ FROM versions WHERE started >= TIMESTAMP '2024-01-12' AND k <> 99
 _SQL["anchor_times"] = f"WITH {VERSIONS.format(at=_EXACT)} {ANCHORS} SELECT * FROM anchor_times"
 _SQL["anchor_calls"] = f"WITH {VERSIONS.format(at=_EXACT)} {ANCHORS} SELECT * FROM anchor_ids"
 _SQL["anchor_calls_tied"] = f"WITH {VERSIONS.format(at=_BY_DAY)} {ANCHORS} SELECT * FROM anchor_ids"
+_SQL["anchor_calls_one"] = f"""
+WITH {VERSIONS.format(at=_BY_DAY)} {ANCHORS}
+SELECT short_call_id, min(anchor_call_id) AS anchor_call_id FROM anchor_ids GROUP BY 1
+"""
 _SQL["registry_membership"] = """
 SELECT event_id AS call_id, CAST(EXISTS (
   SELECT 1 FROM lineitem WHERE l_orderkey = event_id AND l_returnflag = 'A'
@@ -285,9 +291,20 @@ FROM mart
 """
 _SQL["call_mart_newest_first"] = f"""
 WITH {_PLAIN_MART}
-SELECT call_id, call_time_est, membership, agent_name, tenure_bucket, marketing_bucket
+SELECT * REPLACE (
+  {_r('gcv_fo', 4)} AS gcv_fo, {_r('total_revenue', 4)} AS total_revenue,
+  {_r('talk_time_minutes')} AS talk_time_minutes, {_r('talk_time_minutes_sold')} AS talk_time_minutes_sold,
+  {_r('talk_time_minutes_unsold')} AS talk_time_minutes_unsold)
 FROM mart ORDER BY call_time_est DESC, call_id
 """
+_SQL["mart_from_tables"] = _SQL["call_mart"]
+_SQL["call_mart_one"] = f"""
+WITH {VERSIONS.format(at=_BY_DAY) + ANCHORS.replace("anchor_ids AS (", "all_anchor_ids AS (")},
+anchor_ids AS (SELECT short_call_id, min(anchor_call_id) AS anchor_call_id FROM all_anchor_ids GROUP BY 1)
+{REGISTERED + ORDER_SUMS + _LINE_ATTRIBUTES + _MART}
+SELECT call_id, membership, call_type, moverSwitcher, count(*) AS copies, CAST(sum(orders) AS BIGINT) AS orders_sum
+FROM mart GROUP BY ALL
+"""
 _SQL["call_mart_fan_out"] = f"""
 WITH {_FAN_OUT_MART}
 SELECT call_id, membership, call_type, moverSwitcher, count(*) AS copies, CAST(sum(orders) AS BIGINT) AS orders_sum
@@ -299,12 +316,14 @@ SELECT strftime(call_date_est, '%Y-%m') AS call_month, count(*) AS saved_rows FR
 """
 
 _MONTH_TOTALS = """
-SELECT strftime(o_orderdate, '%Y-%m') AS call_month, o_orderpriority AS marketing_bucket, count(*) AS saved_rows,
+SELECT strftime(o_orderdate, '%Y-%m') AS call_month,
+       o_orderpriority || chr(10) || '"' || o_orderstatus || '", ok' AS marketing_bucket, count(*) AS saved_rows,
        round(CAST(sum(CAST(o_totalprice AS DECIMAL(28,4))) AS DOUBLE) + 1e-9::DOUBLE, 2) AS revenue,
        CAST(sum(CASE WHEN {contact} THEN 1 END) AS BIGINT) AS contacts
 FROM orders GROUP BY 1, 2
 """
 _SQL["month_files_parquet"] = _MONTH_TOTALS.format(contact="o_orderstatus <> 'P'")
+_SQL["month_refresh_midmonth"] = _SQL["month_files_parquet"]
 _SQL["month_files_csv"] = _MONTH_TOTALS.format(contact="o_orderstatus <> 'P'")
 _SQL["call_files_by_name"] = _MONTH_TOTALS.format(contact="o_orderstatus <> 'P' AND o_orderdate < DATE '1998-01-01'")
 
@@ -390,15 +409,23 @@ SELECT "position", metric, """ + ", ".join(
     for w in ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")) + """
 FROM cells GROUP BY 1, 2
 """
+_SQL["funnel_table_discovered"] = _SQL["funnel_table_weekly"]
+_KIND = """CASE WHEN v.metric = 'Calls' THEN 'count' WHEN v.metric LIKE '%Talk Time' THEN 'decimal'
+            WHEN v.metric IN ('Revenue', 'RPNC', 'RPO') THEN 'dollar' ELSE 'pct' END"""
 _SQL["funnel_shown_weekly"] = f"""
 WITH {CALLS}, s AS (SELECT {_bucket('week')} AS period, {SUMS} FROM treated GROUP BY 1)
-SELECT period, v.metric, coalesce(
+SELECT period, v.metric, {_KIND} AS kind, strftime(period, '%b %d') AS label, coalesce(
   CASE WHEN v."value" IS NULL THEN NULL
        WHEN v.metric = 'Calls' THEN format('{{:,}}', CAST(v."value" AS BIGINT))
        WHEN v.metric IN ('Revenue', 'RPNC', 'RPO') THEN format('${{:,.2f}}', v."value")
+       WHEN v.metric LIKE '%Talk Time' THEN format('{{:.2f}}', v."value")
        ELSE format('{{:.1f}}%', v."value" * 100) END, '—') AS shown
-FROM s, {_values(FUNNEL)} WHERE v.metric NOT LIKE '%Talk Time'
+FROM s, {_values(FUNNEL)}
 """
+_SQL["funnel_from_written_rollup"] = f"""
+WITH {CALLS}, s AS (SELECT {_bucket('week')} AS period, {SUMS} FROM treated
+  WHERE call_date_est BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' GROUP BY 1)
+SELECT period, """ + ", ".join(f'{_r(e)} AS "{n}"' for n, e in FUNNEL.items()) + " FROM s"
 _SQL["funnel_from_extract"] = f"""
 WITH {_PLAIN_MART},
 m AS (SELECT call_date_est, call_direction = 'INBOUND' AS ib, call_direction <> 'OUTBOUND' AS sell,
@@ -468,6 +495,12 @@ def _text(v: str) -> str:
        ELSE format('{{:.1f}}%', {v} * 100) END, '—')"""
 
 
+_SQL["period_comparison_incomplete"] = _comparison(
+    "DATE '2024-01-02' AND DATE '2024-01-01'", "DATE '2024-01-12' AND DATE '2024-01-24'") + f"""
+SELECT "position", metric, {_r('v1')} AS first_value, {_r('v2')} AS second_value, {_r('pct')} AS change_pct,
+       {_CLASS} AS change_class
+FROM classed
+"""
 _SQL["period_comparison_default"] = _comparison(
     "last_day - 13 AND last_day - 7", "last_day - 6 AND last_day") + f"""
 SELECT "position", metric, {_text('v1')} AS first_shown, {_text('v2')} AS second_shown,
@@ -502,8 +535,26 @@ SELECT category, v.metric, coalesce(
   CASE WHEN v."value" IS NULL THEN NULL
        WHEN v.metric = 'Calls' THEN format('{{:,}}', CAST(v."value" AS BIGINT))
        WHEN v.metric LIKE '%Rev%' THEN format('${{:,.0f}}', v."value")
+       WHEN v.metric = 'Talk Time' THEN format('{{:.1f}}', v."value")
        ELSE format('{{:.1f}}%', v."value" * 100) END, '—') AS shown
-FROM s, {_values(TREND)} WHERE v.metric <> 'Talk Time'
+FROM s, {_values(TREND)}
+"""
+_SQL["trend_without_contact"] = f"""
+WITH {CALLS}, s AS (SELECT {_bucket('week')} AS period, {SUMS} FROM treated GROUP BY 1)
+SELECT 'Overall' AS series, period, v.metric, CASE WHEN v.metric <> 'Contact Rate' THEN {_r('v."value"')} END AS "value"
+FROM s, {_values(TREND)}
+"""
+# without a total revenue the ratios take 0, the total takes the order value
+_SQL["trend_without_revenue"] = f"""
+WITH {CALLS}, s AS (SELECT {_bucket('week')} AS period, {SUMS} FROM treated GROUP BY 1)
+SELECT 'Overall' AS series, period, v.metric,
+       {_r("CASE WHEN v.metric LIKE 'Rev / %' THEN v.\"value\" * 0 ELSE v.\"value\" END")} AS "value"
+FROM s, {_values(TREND)}
+"""
+_SQL["week_cards_without_revenue"] = _CARDS.replace("SELECT age, week, v.* FROM", """
+  SELECT age, week, v."position", v.metric, CASE WHEN v.metric LIKE 'Rev%' THEN v."value" * 0 ELSE v."value" END AS "value" FROM""") + f"""
+SELECT "position", metric, week, prior_week, {_r('v1')} AS "value", {_r('v2')} AS prior_value,
+       {_r("CASE WHEN v2 <> 0 THEN (v1 / v2 - 1) * 100.0::DOUBLE END")} AS change_pct FROM cards
 """
 
 # --- agents ---------------------------------------------------------------------
@@ -543,7 +594,15 @@ SELECT agent, format('{{:,}}', calls) AS calls, center, membership, tenure,
        coalesce(format('{{:.1f}}%', top_product_mix * 100), '—') AS top_product_mix,
        coalesce(format('${{:,.2f}}', total_revenue), '—') AS total_revenue,
        coalesce(format('${{:,.2f}}', rev_per_call), '—') AS rev_per_call,
-       coalesce(format('${{:,.2f}}', rev_per_order), '—') AS rev_per_order
+       coalesce(format('${{:,.2f}}', rev_per_order), '—') AS rev_per_order,
+       coalesce(format('{{:.1f}}', talk_time), '—') AS talk_time,
+       coalesce(format('{{:.1f}}', sold_talk_time), '—') AS sold_talk_time
+FROM card
+"""
+_SQL["roster_shown"] = f"""
+WITH {CALLS}, {_scorecard('treated')}
+SELECT format('{{:,}}', count(*)) AS agents, format('{{:.1f}}%', avg(net_conv) * 100) AS avg_net_conv,
+       format('${{:,.2f}}', avg(rev_per_call)) AS avg_rev_per_call, format('{{:.1f}} min', avg(talk_time)) AS avg_talk_time
 FROM card
 """
 _SQL["roster_summary"] = f"""
@@ -717,6 +776,13 @@ SELECT CASE metric WHEN 'rpnc' THEN 1 WHEN 'nc' THEN 2 WHEN 'rpo' THEN 3 WHEN 'c
 FROM summary WHERE metric IN ('rpnc', 'nc', 'rpo', 'credit_rate', 'tt')
 """
 
+_SQL["lift_headlines_shown"] = _SUMMARY + """
+SELECT CASE metric WHEN 'rpnc' THEN 1 WHEN 'nc' THEN 2 WHEN 'rpo' THEN 3 WHEN 'credit_rate' THEN 4 ELSE 5 END AS "position",
+       metric, coalesce(CASE WHEN swing > 0 THEN '+' ELSE '' END || format('{:.1f}pp swing', swing * 100), '—') AS swing_shown,
+       'Post Δ: ' || CASE WHEN post_delta > 0 THEN '+' ELSE '' END || format('{:.1f}pp', post_delta * 100) AS post_shown
+FROM summary WHERE metric IN ('rpnc', 'nc', 'rpo', 'credit_rate', 'tt')
+"""
+
 for _name, _column in {"": "", **LIFT_DIMENSIONS}.items():
     _suffix = f"_by_{_name}" if _name else ""
     _series = f"{_column} || ' — ' || " if _name else ""

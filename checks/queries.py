@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import adapter
+from checks.session import test_folder
 from dialtone.config import CallFilters, LiftWindow
 from dialtone.functions import periods, scopes
+from dialtone.jobs import refresh_call_mart, refresh_rollup
 from dialtone.operators import filters, metrics as m
 from dialtone.operators.anchor import anchor_calls, latest_prior_long_call
 from dialtone.operators.dedup import latest_version
@@ -18,7 +21,7 @@ from dialtone.operators.measures import daily_rollup
 from dialtone.operators.order_rollup import in_scope, order_rollup, orders_since
 from dialtone.plans import agents, extract, lift, overview
 from dialtone.sources import csv_files, sinks
-from dialtone.sources.storage import new_folder
+from dialtone.sources.warehouse import SCHEMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -105,6 +108,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_calls(_newest(spark, sf_dir, fan_out=True))
 
 
+@query("anchor_calls_one")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_calls(_newest(spark, sf_dir, fan_out=True), ties="one")
+
+
 @query("registry_membership")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = adapter.extract_sources(spark, sf_dir)
@@ -133,14 +141,35 @@ def _mart(spark: SparkSession, sf_dir: str, fan_out: bool = False) -> DataFrame:
 
 @query("call_mart")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mart = _rounded(_mart(spark, sf_dir), "gcv_fo", "total_revenue", places=4)
+    return _comparable(_mart(spark, sf_dir))
+
+
+def _comparable(mart: DataFrame) -> DataFrame:
+    mart = _rounded(mart, "gcv_fo", "total_revenue", places=4)
     return _rounded(mart, "talk_time_minutes", "talk_time_minutes_sold", "talk_time_minutes_unsold")
 
 
 @query("call_mart_newest_first")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.newest_first(_mart(spark, sf_dir).select(
-        "call_id", "call_time_est", "membership", "agent_name", "tenure_bucket", "marketing_bucket"))
+    return _comparable(extract.newest_first(_mart(spark, sf_dir)))
+
+
+@query("mart_from_tables")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scheduler runs: written source tables, the refresh job, the written mart."""
+    folder, src = test_folder(spark, "tables"), adapter.extract_sources(spark, sf_dir)
+    for role in SCHEMAS:
+        getattr(src, role).write.parquet(f"{folder}/{role}")
+    refresh_call_mart(spark, {role: f"{folder}/{role}" for role in SCHEMAS}, adapter.EXTRACT, f"{folder}/mart")
+    return _comparable(sinks.read_call_mart(spark, f"{folder}/mart").drop(sinks.MONTH))
+
+
+@query("call_mart_one")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = replace(adapter.EXTRACT, anchor_ties="one")
+    mart = extract.call_mart(adapter.extract_sources(spark, sf_dir, True), one)
+    return mart.groupBy("call_id", "membership", "call_type", "moverSwitcher").agg(
+        F.count(F.lit(1)).alias("copies"), F.sum("orders").alias("orders_sum"))
 
 
 @query("call_mart_fan_out")
@@ -159,7 +188,7 @@ def _order_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of many months: an order per call, dated by its order date."""
     return adapter.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("call_id"), F.to_date("o_orderdate").alias("call_date_est"),
-        F.col("o_orderpriority").alias("marketing_bucket"),
+        F.expr("""concat(o_orderpriority, chr(10), '"', o_orderstatus, '", ok')""").alias("marketing_bucket"),
         F.col("o_totalprice").cast("decimal(28,4)").alias("total_revenue"),
         F.when(F.col("o_orderstatus") != "P", F.lit(1)).alias("ib_contact_calls"))
 
@@ -173,21 +202,30 @@ def _month_totals(mart: DataFrame) -> DataFrame:
 
 @query("month_files_parquet")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, mart = new_folder(spark, "mart"), _order_mart(spark, sf_dir)
+    path, mart = test_folder(spark, "mart"), _order_mart(spark, sf_dir)
     sinks.write_call_mart(mart, path)
     return _month_totals(sinks.read_call_mart(spark, path, schema=mart.schema))
 
 
+@query("month_refresh_midmonth")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, mart = test_folder(spark, "mart"), _order_mart(spark, sf_dir)
+    seam = date(1997, 6, 17)
+    sinks.write_call_mart(mart.filter(F.col("call_date_est") < F.lit(date(1997, 8, 1))), path)
+    sinks.write_call_mart(mart.filter(F.col("call_date_est") >= F.lit(seam)), path, since=seam)
+    return _month_totals(sinks.read_call_mart(spark, path, schema=mart.schema))
+
+
 @query("month_files_csv")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, mart = new_folder(spark, "mart-csv"), _order_mart(spark, sf_dir)
+    path, mart = test_folder(spark, "mart-csv"), _order_mart(spark, sf_dir)
     sinks.write_call_mart(mart, path, "csv")
     return _month_totals(sinks.read_call_mart(spark, path, "csv", schema=mart.schema))
 
 
 @query("call_files_by_name")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, mart = new_folder(spark, "calls"), _order_mart(spark, sf_dir)
+    folder, mart = test_folder(spark, "calls"), _order_mart(spark, sf_dir)
     early = F.col("call_date_est") < F.lit(date(1998, 1, 1))
     # the later file has its columns in another order and lacks one
     sinks.export_report(mart.filter(early), f"{folder}/agent_calls_1.csv")
@@ -199,7 +237,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("report_export_tsv")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "report")
+    path = test_folder(spark, "report")
     report = overview.funnel_long(_treated(spark, sf_dir), "Weekly").select("period", "metric", "kind", "value")
     sinks.export_report(report, path, "tsv", single_file=True)
     back = spark.read.option("header", True).option("sep", "\t").schema(report.schema).csv(path)
@@ -290,11 +328,24 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(report, *[w.isoformat() for w in weeks])
 
 
+@query("funnel_table_discovered")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = overview.funnel_table(_treated(spark, sf_dir), "Weekly")
+    return _rounded(report, *[c for c in report.columns if c not in ("position", "metric")])
+
+
 @query("funnel_shown_weekly")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # display texts of the metrics that need no floating-point sum
-    report = overview.funnel_long(_treated(spark, sf_dir), "Weekly")
-    return report.filter("kind <> 'decimal'").select("period", "metric", "shown")
+    return overview.funnel_long(_treated(spark, sf_dir), "Weekly").select("period", "metric", "kind", "label", "shown")
+
+
+@query("funnel_from_written_rollup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, calls = test_folder(spark, "mart"), adapter.calls(spark, sf_dir)
+    sinks.write_call_mart(calls, path)
+    rollup = refresh_rollup(spark, path, f"{path}-daily", schema=calls.schema)
+    some = filters.apply_call_filters(rollup, CallFilters(start=date(2024, 1, 8), end=date(2024, 1, 21)))
+    return _rounded(overview.funnel(some, "Weekly"), *m.FUNNEL)
 
 
 @query("funnel_from_rollup")
@@ -328,6 +379,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compared, "first_value", "second_value", "change_pct").drop("kind")
 
 
+@query("period_comparison_incomplete")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = overview.compare_periods(_treated(spark, sf_dir), (date(2024, 1, 4),), (date(2024, 1, 12), date(2024, 1, 24)))
+    return _rounded(compared, "first_value", "second_value", "change_pct").drop("kind")
+
+
 @query("period_comparison_default")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _treated(spark, sf_dir)
@@ -368,9 +425,29 @@ for _name, _column in DIMENSIONS.items():
 
 @query("snapshot_shown")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # display texts of the metrics that need no floating-point sum
-    report = overview.snapshot(_treated(spark, sf_dir), group_by="Mover / Switcher")
-    return overview.show_snapshot(report).filter("metric <> 'Talk Time'")
+    return overview.show_snapshot(overview.snapshot(_treated(spark, sf_dir), group_by="Mover / Switcher"))
+
+
+@query("trend_without_contact")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = overview.trend(_treated(spark, sf_dir).drop("ib_contact_calls"), "Weekly")
+    return _rounded(report, "value").select("series", "period", "metric", "value")
+
+
+def _without_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _treated(spark, sf_dir).withColumn("gcv_fo", F.col("total_revenue")).drop("total_revenue")
+
+
+@query("trend_without_revenue")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = overview.trend(_without_revenue(spark, sf_dir), "Weekly")
+    return _rounded(report, "value").select("series", "period", "metric", "value")
+
+
+@query("week_cards_without_revenue")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = overview.week_cards(_without_revenue(spark, sf_dir))
+    return _rounded(cards, "value", "prior_value", "change_pct").drop("kind")
 
 
 # --- agents ------------------------------------------------------------------
@@ -398,8 +475,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agent_shown")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    card = agents.show_agents(agents.agent_scorecard(_treated(spark, sf_dir)))
-    return card.drop("talk_time", "sold_talk_time")
+    return agents.show_agents(agents.agent_scorecard(_treated(spark, sf_dir)))
+
+
+@query("roster_shown")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agents.show_roster(agents.roster_summary(agents.agent_scorecard(_treated(spark, sf_dir))))
 
 
 @query("roster_summary")
@@ -493,6 +574,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(heads, "swing", "post_delta")
 
 
+@query("lift_headlines_shown")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.show_headlines(lift.lift_headlines(lift.lift_summary(_weekly(spark, sf_dir))))
+
+
 def _lift_trend(view: str, group_by: str | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         scope = lift.weekly_scope(adapter.lift(spark, sf_dir))
@@ -509,7 +595,7 @@ for _view in lift.VIEWS:
 
 @query("lift_files")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, facts = new_folder(spark, "lift") + "/centre", adapter.lift(spark, sf_dir)
+    base, facts = test_folder(spark, "lift") + "/centre", adapter.lift(spark, sf_dir)
     # an unreadable number must come back as missing
     facts = facts.withColumn("gcv_revenue", F.when(
         F.col("order_orders") == 5, F.lit("n.a.")).otherwise(F.col("gcv_revenue").cast("string")))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
+from dialtone.sources.storage import new_folder
+
 
 def local_session(name: str, cpus: str | None = None) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
@@ -21,3 +26,16 @@ def local_session(name: str, cpus: str | None = None) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def test_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that writes; where the session names no shared folder, as on one machine, a
+    temporary one becomes it."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        folder = tempfile.mkdtemp(prefix="dialtone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return new_folder(spark, name)
+
+
+test_folder.__test__ = False  # not a test, whatever its name

@@ -58,6 +58,11 @@ class ExtractConfig:
     prepaid_product: str = PREPAID_PRODUCT
     order_time_zone: str = ORDER_TIME_ZONE
     anchor_bucket_seconds: int = 3600
+    # Calls from this day on may be anchors of short calls from from_date on; without it only calls
+    # from from_date on are, as in one run over all data. An incremental run sets it some days back.
+    anchor_from: date | None = None
+    # "all": a short call is repeated for each of its tied anchors; "one": the smallest id among them counts.
+    anchor_ties: str = "all"
 
 
 @dataclass(frozen=True)

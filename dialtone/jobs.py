@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from dialtone.config import ExtractConfig
-from dialtone.operators.measures import daily_rollup
+from dialtone.operators.measures import ROLLUP_KEYS, daily_rollup
 from dialtone.plans.extract import call_mart
+from dialtone.schemas import CALL_MART
 from dialtone.sources import sinks
 from dialtone.sources.storage import staged
 from dialtone.sources.warehouse import load_sources
@@ -20,21 +22,35 @@ def refresh_call_mart(
 ) -> DataFrame:
     """Run the extract, write it by month and return the rows of each month.
 
-    The counts are read from the written files, so the extract runs once. With
-    ``stage`` the scoped call versions are written to the shared folder first,
+    A refresh from the middle of a month keeps the days of that month that are
+    stored already. The counts are read from the written files, so the extract
+    runs once. With ``stage`` the scoped call versions are written to the shared folder first,
     which pays off when reading the source twice is expensive.
     """
     mart = call_mart(load_sources(spark, locations), cfg, stage=staged if stage else None)
-    sinks.write_call_mart(mart, path, fmt)
+    sinks.write_call_mart(mart, path, fmt, since=cfg.from_date)
     written = sinks.read_call_mart(spark, path, fmt, schema=mart.schema)
     return sinks.month_counts(written.filter(F.col(sinks.MONTH) >= f"{cfg.from_date:%Y-%m}"))
 
 
-def refresh_rollup(spark: SparkSession, mart_path: str, rollup_path: str) -> DataFrame:
-    """Write the daily rollup of a written mart and return it.
+def refresh_rollup(
+    spark: SparkSession, mart_path: str, rollup_path: str, from_date: date | None = None, fmt: str = "parquet",
+    schema: T.StructType = CALL_MART,
+) -> DataFrame:
+    """Write the daily rollup of a written mart by month and return it.
 
     All overview and agent reports give the same results on the rollup, which
     has a row per day and combination of dimensions however many calls there are.
+    With ``from_date`` only the months from its month on are read and replaced.
     """
-    daily_rollup(sinks.read_call_mart(spark, mart_path)).write.mode("overwrite").parquet(rollup_path)
-    return spark.read.parquet(rollup_path)
+    mart = sinks.read_call_mart(spark, mart_path, fmt, schema)
+    if from_date is not None:
+        mart = mart.filter(F.col(sinks.MONTH) >= f"{from_date:%Y-%m}")
+    rollup = daily_rollup(mart, [sinks.MONTH, *ROLLUP_KEYS])
+    (
+        rollup.hint("rebalance", F.col(sinks.MONTH)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(sinks.MONTH).parquet(rollup_path)
+    )
+    types = {f.name: f for f in rollup.schema.fields}
+    month = types.pop(sinks.MONTH)
+    return spark.read.schema(T.StructType([*types.values(), month])).parquet(rollup_path)

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialtone.config import SHORT_CALL_SECONDS
 
+# What becomes of long calls of an agent that start together.
+TIES = ("all", "one")
+
 
 def _bucket(calls: DataFrame, at: str, seconds: int) -> str:
     """Number of the time bucket; never falls while ``at`` rises."""
@@ -33,12 +36,12 @@ def _bucket(calls: DataFrame, at: str, seconds: int) -> str:
 
 def _timeline(
     calls: DataFrame, agent: str, at: str, talk: str, cutoff: int,
-    bucket_seconds: int, carried: Mapping[str, str],
+    bucket_seconds: int, carried: Mapping[str, str], combine: str,
 ) -> DataFrame:
     """One row per agent and instant with the anchor as of that instant.
 
-    Columns: agent, at, anchor_at and, summed over the long calls that start
-    at anchor_at, one column per entry of ``carried``.
+    Columns: agent, at, anchor_at and, combined (``sum`` or ``min``) over the
+    long calls that start at anchor_at, one column per entry of ``carried``.
     """
     is_long = f"{talk} > {cutoff}"
     instants = (
@@ -46,7 +49,7 @@ def _timeline(
         .groupBy(agent, F.expr(f"{_bucket(calls, at, bucket_seconds)} AS _bucket"), at)
         .agg(
             F.expr(f"max({is_long}) AS _has_long"),
-            *[F.expr(f"sum(CASE WHEN {is_long} THEN {x} END) AS {n}") for n, x in carried.items()],
+            *[F.expr(f"{combine}(CASE WHEN {is_long} THEN {x} END) AS {n}") for n, x in carried.items()],
         )
     )
     state = "struct(" + ", ".join([f"{at} AS anchor_at", *carried]) + ")"
@@ -75,11 +78,11 @@ def anchor_times(
     calls: DataFrame, *, key: str = "call_id", agent: str = "employeeid",
     at: str = "call_datetime_est", talk: str = "talk_time_seconds",
     cutoff: int = SHORT_CALL_SECONDS, bucket_seconds: int = 3600,
-    carried: Mapping[str, str] | None = None,
+    carried: Mapping[str, str] | None = None, combine: str = "sum",
 ) -> DataFrame:
     """(short_call_id, anchor_at, carried...) for short calls with an anchor."""
     carried = dict(carried or {})
-    timeline = _timeline(calls, agent, at, talk, cutoff, bucket_seconds, carried)
+    timeline = _timeline(calls, agent, at, talk, cutoff, bucket_seconds, carried, combine)
     # the id hangs on the talk time, so that filters on it stay above the input
     # and do not keep its two readers from sharing a shuffle
     short = calls.selectExpr(
@@ -99,13 +102,21 @@ def latest_prior_long_call(calls: DataFrame, **columns) -> DataFrame:
 def anchor_calls(
     calls: DataFrame, *, key: str = "call_id", agent: str = "employeeid",
     at: str = "call_datetime_est", talk: str = "talk_time_seconds",
-    cutoff: int = SHORT_CALL_SECONDS, **options,
+    cutoff: int = SHORT_CALL_SECONDS, ties: str = "all", **options,
 ) -> DataFrame:
-    """(short_call_id, anchor_call_id): every long call at the anchor time.
+    """(short_call_id, anchor_call_id): the long calls at the anchor time.
 
-    Calls of one agent that start together all count as the anchor, so a short
-    call may appear several times.
+    With ``ties="all"`` calls of one agent that start together all count as the
+    anchor, so a short call may appear several times: as many rows as tied long
+    calls times short ones. ``ties="one"`` takes the smallest id of them.
     """
+    if ties not in TIES:
+        raise ValueError(f"ties is one of {TIES}")
+    if ties == "one":
+        smallest = {"anchor_call_id": key}
+        return anchor_times(
+            calls, key=key, agent=agent, at=at, talk=talk, cutoff=cutoff, carried=smallest, combine="min", **options,
+        ).select("short_call_id", "anchor_call_id")
     times = anchor_times(calls, key=key, agent=agent, at=at, talk=talk, cutoff=cutoff, **options)
     longs = calls.filter(f"{talk} > {cutoff}").selectExpr(
         agent, f"{at} AS anchor_at", f"{key} AS anchor_call_id")

@@ -77,11 +77,10 @@ def treatment_only(df: DataFrame, labels: Labels = Labels()) -> DataFrame:
 def day_within(df: DataFrame, column: str, start: date | None, end: date | None) -> Column:
     """Whether the day of ``column`` lies in an inclusive, half-open or open range.
 
-    Ends in the wrong order are swapped. On a mart partitioned by month the
-    condition also prunes partitions.
+    Ends in the wrong order leave nothing. On a mart partitioned by month the
+    condition also prunes partitions. Half-open ranges extend what the reports
+    offer, where a range has both ends or none.
     """
-    if start is not None and end is not None and start > end:
-        start, end = end, start
     day = F.col(column)
     if df.schema[column].dataType.typeName() != "date":
         day = F.to_date(day)
@@ -104,10 +103,11 @@ def between_days(df: DataFrame, column: str, start: date | None, end: date | Non
 
 
 def period_slice(df: DataFrame, column: str, bounds: Sequence[date]) -> DataFrame:
-    """Rows of a chosen period; an incompletely chosen period has none."""
+    """Rows of a chosen period; an incompletely chosen period has none, and ends
+    in the wrong order are swapped."""
     if len(bounds) != 2:
         return df.filter(F.lit(False))
-    return between_days(df, column, bounds[0], bounds[1])
+    return between_days(df, column, min(bounds), max(bounds))
 
 
 def any_of(df: DataFrame, selections: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -174,12 +174,24 @@ def default_comparison(df: DataFrame, column: str = "call_date_est") -> DataFram
 
 
 def in_default_window(df: DataFrame, column: str = "call_date_est") -> DataFrame:
-    """Rows of the default window, found by a scalar subquery in the same job."""
-    window = default_window(df, column)
+    """Rows of the default window, found by a scalar subquery in the same job.
+
+    On a mart partitioned by month the newest month that has days is found from
+    the partition values and gives the last day; the rows are then taken from
+    its month and the one before it, so other months are not read.
+    """
     day = F.to_date(column)
-    return df.filter(
-        day.between(window.select("window_start").scalar(), window.select("window_end").scalar())
-    )
+    if "call_month" not in df.columns or column != "call_date_est":
+        window = default_window(df, column)
+        return df.filter(
+            day.between(window.select("window_start").scalar(), window.select("window_end").scalar()))
+    newest = df.select(F.max("call_month").alias("m")).select("m").scalar()
+    recent = df.filter(F.col("call_month") == newest)
+    # the first day of the data limits nothing here: no row lies before it
+    last = recent.agg(F.max(day).alias("last_day"))
+    first = last.selectExpr("date_sub(last_day, 6) AS d")
+    months = (F.col("call_month") >= first.select(F.date_format("d", "yyyy-MM")).scalar()) & (F.col("call_month") <= newest)
+    return df.filter(months & day.between(first.select("d").scalar(), last.select("last_day").scalar()))
 
 
 def filter_options(

@@ -33,7 +33,8 @@ def call_measures(columns: Sequence[str]) -> dict[str, str]:
     """Measures of call-mart rows, by name without prefix.
 
     A column that the data does not have contributes nothing (talk times and
-    so their means stay NULL).
+    so their means stay NULL). ``revenue`` falls back on the order value where
+    the data has no total revenue, ``stated_revenue`` does not.
     """
     have = set(columns)
     inbound, selling = scopes.top_funnel(have), scopes.order_revenue(have)
@@ -54,10 +55,12 @@ def call_measures(columns: Sequence[str]) -> dict[str, str]:
         "orders": _when(selling, amount("orders")),
         "top_product": _when(selling, amount("tpsales_flag")),
         "revenue": _when(selling, revenue),
+        "stated_revenue": _when(selling, amount("total_revenue")),
         "inbound_orders": _when(inbound, amount("orders")),
         "inbound_top_product": _when(inbound, amount("tpsales_flag")),
     }
-    talked = "talk_time_minutes" if "talk_time_minutes" in have else "CAST(NULL AS DOUBLE)"
+    # decimals, so that a sum is the same in whatever order it is taken
+    talked = "CAST(" + ("talk_time_minutes" if "talk_time_minutes" in have else "NULL") + " AS DECIMAL(28,10))"
     ordered = "orders" if "orders" in have else "CAST(NULL AS BIGINT)"
     for name, condition in {"talk": "true", "sold": f"{ordered} > 0", "unsold": f"{ordered} = 0"}.items():
         timed = f"{inbound} AND {condition} AND {talked} IS NOT NULL"

@@ -58,8 +58,8 @@ FUNNEL: Registry = {
 TREND: Registry = {
     "Net Conversion": _rate("pct", "inbound_orders", "calls"),
     "Total Revenue": _sum("dollar", "revenue"),
-    "Rev / Call": _rate("dollar", "revenue", "calls"),
-    "Rev / Order": _rate("dollar", "revenue", "orders"),
+    "Rev / Call": _rate("dollar", "stated_revenue", "calls"),
+    "Rev / Order": _rate("dollar", "stated_revenue", "orders"),
     "Top Product Mix": _rate("pct", "inbound_top_product", "inbound_orders"),
     "Contact Rate": _rate("pct", "contact", "calls"),
     "Credit Rate": _rate("pct", "credit", "calls"),
@@ -70,6 +70,14 @@ TREND: Registry = {
     "Calls": _sum("count", "calls"),
 }
 
+# The column that the numerator of a trend percentage is summed from: without it the metric is
+# unknown, while the funnel counts such a column as zero.
+TREND_NUMERATORS = {
+    "Net Conversion": "orders", "Top Product Mix": "tpsales_flag", "Contact Rate": "ib_contact_calls",
+    "Credit Rate": "credit_calls_flag", "Passed Credit Rate": "passed_credit_call_flag",
+    "Passed Credit Conv.": "passed_credit_sale_flag", "Failed Credit Conv.": "failed_credit_sale_flag",
+}
+
 TOTALS: Registry = {
     "n_calls": _sum("count", "calls"),
     "contact_rate": _rate("pct", "contact", "calls"),
@@ -89,9 +97,9 @@ TOTALS: Registry = {
 }
 
 WEEK_CARDS: Registry = {
-    "Rev / Call": _rate("dollar", "revenue", "calls"),
+    "Rev / Call": _rate("dollar", "stated_revenue", "calls"),
     "Net Conversion": _rate("pct", "orders", "calls"),
-    "Rev / Order": _rate("dollar", "revenue", "orders"),
+    "Rev / Order": _rate("dollar", "stated_revenue", "orders"),
     "Calls Into Credit": _rate("pct", "credit", "calls"),
     "Talk Time": _rate("decimal", "talk_minutes", "talk_calls"),
 }
@@ -148,6 +156,15 @@ def chosen(registry: Registry, names: Iterable[str] | None) -> Registry:
     return registry if names is None else {n: registry[n] for n in names}
 
 
+def trend_of(columns: Iterable[str], registry: Registry) -> Registry:
+    """``registry`` for data of these columns; a rollup holds what its calls had."""
+    have = set(columns)
+    if "m_rows" in have:
+        return registry
+    unknown = {n for n, c in TREND_NUMERATORS.items() if c not in have}
+    return {n: m._replace(value=double("NULL")) if n in unknown else m for n, m in registry.items()}
+
+
 def wide(summed: DataFrame, registry: Registry, *keys: str) -> DataFrame:
     """One column per metric next to the keys."""
     return summed.selectExpr(*keys, *[f"{m.value} AS `{n}`" for n, m in registry.items()])

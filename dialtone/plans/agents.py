@@ -77,6 +77,16 @@ def roster_summary(scorecard: DataFrame) -> DataFrame:
         "avg(rev_per_call) AS avg_rev_per_call", "avg(talk_time) AS avg_talk_time")
 
 
+def show_roster(summary: DataFrame) -> DataFrame:
+    """Display texts of the roster summary."""
+    return summary.selectExpr(
+        f"{formats.or_missing(formats.as_count('agents'))} AS agents",
+        f"{formats.or_missing(formats.as_pct('avg_net_conv'))} AS avg_net_conv",
+        f"{formats.or_missing(formats.as_dollars('avg_rev_per_call'))} AS avg_rev_per_call",
+        formats.or_missing(f"concat({formats.as_decimal('avg_talk_time', 1)}, ' min')") + " AS avg_talk_time",
+    )
+
+
 def agent_distribution(
     scorecard: DataFrame, measures: tuple[str, ...] = ("net_conv", "rev_per_call"), bins: int = BINS
 ) -> DataFrame:

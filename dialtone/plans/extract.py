@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,9 +40,9 @@ class Sources:
 TIE_BREAK = ("talk_time_seconds", "employeeid")
 
 
-def scoped_calls(src: Sources, cfg: ExtractConfig) -> DataFrame:
-    """Call versions inside the extract's scope."""
-    recent = filters.since(src.agent_calls, "call_datetime_est", cfg.from_date)
+def scoped_calls(src: Sources, cfg: ExtractConfig, lower: date | None = None) -> DataFrame:
+    """Call versions inside the extract's scope, or from ``lower`` on."""
+    recent = filters.since(src.agent_calls, "call_datetime_est", lower or cfg.from_date)
     return filters.not_excluded(recent, "conversion_exclude_ind")
 
 
@@ -52,9 +53,9 @@ def deduplicated_calls(scoped: DataFrame) -> DataFrame:
     return latest_version(scoped, "call_id", "call_datetime_est", [*TIE_BREAK, content])
 
 
-def registered_calls(src: Sources, cfg: ExtractConfig) -> DataFrame:
+def registered_calls(src: Sources, cfg: ExtractConfig, lower: date | None = None) -> DataFrame:
     """Distinct calls of the session registry."""
-    recent = filters.since(src.sessions, "session_start_date", cfg.from_date)
+    recent = filters.since(src.sessions, "session_start_date", lower or cfg.from_date)
     return recent.select("call_id").filter("call_id is not null").distinct()
 
 
@@ -64,6 +65,14 @@ def anchor_membership(scoped: DataFrame, registered: DataFrame, cfg: ExtractConf
     narrow = scoped.select("call_id", "call_datetime_est", "employeeid", "talk_time_seconds")
     newest = latest_version(narrow, "call_id", "call_datetime_est", TIE_BREAK)
     flagged = lookups.member_flag(newest, registered, "call_id", "registered")
+    if cfg.anchor_ties == "one":
+        # the tied call of the smallest id, and whether it is registered
+        return anchor_times(
+            flagged, bucket_seconds=cfg.anchor_bucket_seconds, combine="min",
+            carried={"smallest": "struct(call_id, registered)"},
+        ).selectExpr(
+            "short_call_id AS call_id", "int(smallest.registered) AS registered_anchors",
+            "int(NOT smallest.registered) AS other_anchors")
     return anchor_times(
         flagged,
         bucket_seconds=cfg.anchor_bucket_seconds,
@@ -89,7 +98,12 @@ def call_mart(
     labels = cfg.labels
 
     calls = lookups.member_flag(deduplicated_calls(scoped), registered, "call_id", "registered")
-    calls = lookups.attach(calls, anchor_membership(scoped, registered, cfg), "call_id")
+    if cfg.anchor_from is None:
+        anchors = anchor_membership(scoped, registered, cfg)
+    else:
+        lower = min(cfg.anchor_from, cfg.from_date)
+        anchors = anchor_membership(scoped_calls(src, cfg, lower), registered_calls(src, cfg, lower), cfg)
+    calls = lookups.attach(calls, anchors, "call_id")
     # order lines of calls out of scope find no call here, so they need no
     # semi-join of their own, which would read and shuffle the calls once more
     calls = lookups.attach(

@@ -51,9 +51,10 @@ def weekly_scope(
     """Post rows in the window and all weekly baselines, as selected.
 
     Adds ``week_key``, the post week a row counts for. The baselines of weeks
-    without post rows drop out when the cells of a week are compared, after the
-    aggregation, so they need no join with the active weeks here and the facts
-    are read once.
+    without post rows count nowhere. Where a window leaves weeks out, they are
+    dropped before the aggregation, as baselines repeat for every post week and
+    are most of the facts; without one they drop out when the cells of a week
+    are compared, so the facts are read once.
     """
     is_post = F.col("period") == "post"
     rows = lift.filter(is_post | (F.col("period") == "pre_weekly"))
@@ -61,6 +62,9 @@ def weekly_scope(
         rows = rows.filter(~is_post | filters.day_within(
             rows, "call_datetime_est", window.post_from, window.post_to))
     rows = rows.withColumn("week_key", F.when(is_post, F.col("week")).otherwise(F.col("post_week")))
+    if window is not None and (window.post_from is not None or window.post_to is not None):
+        active = active_weeks(lift, window.post_from, window.post_to)
+        rows = rows.join(active.select(F.col("week").alias("week_key")), "week_key", "left_semi").select(*rows.columns)
     rows = filters.without_value(rows, "week_key", window.excluded_week if window else None)
     return filters.assigned(filters.apply_lift_filters(rows, selected))
 

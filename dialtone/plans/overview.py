@@ -164,7 +164,7 @@ def trend(
 
     ``group_by`` is a column or the name it has for users.
     """
-    registry, group_by = m.chosen(m.TREND, metrics), CALL_GROUPS.get(group_by, group_by)
+    registry, group_by = m.trend_of(calls.columns, m.chosen(m.TREND, metrics)), CALL_GROUPS.get(group_by, group_by)
     if group_by is None or group_by not in calls.columns:
         rows = _by_period(calls, granularity).selectExpr("*", f"'{OVERALL}' AS series", "true AS is_overall")
     else:
@@ -180,7 +180,7 @@ def snapshot(
     calls: DataFrame, metrics: Iterable[str] | None = None, group_by: str | None = None
 ) -> DataFrame:
     """One value per category over the whole range, best first, missing last."""
-    registry, group_by = m.chosen(m.TREND, metrics), CALL_GROUPS.get(group_by, group_by)
+    registry, group_by = m.trend_of(calls.columns, m.chosen(m.TREND, metrics)), CALL_GROUPS.get(group_by, group_by)
     dated = calls.filter(f"{DAY} IS NOT NULL")
     if group_by is None or group_by not in calls.columns:
         rows = summarise(dated).selectExpr("*", f"'{OVERALL}' AS category")

@@ -87,6 +87,14 @@ def to_timestamp_strict(text: Column) -> Column:
     return text.cast("timestamp_ntz")
 
 
+def to_count(text: Column, kind: T.DataType) -> Column:
+    """Whole number; a writer that had gaps in the column leaves "1.0" for 1. Anything else fails the job."""
+    number = text.try_cast("double")
+    whole = F.when(number == F.floor(number), number.try_cast(kind))
+    wrong = F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast(kind)
+    return F.when(text.isNotNull(), F.coalesce(F.when(text.rlike("^ *[+-]?[0-9]+ *$"), text.try_cast(kind)), whole, wrong))
+
+
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast the text columns of ``df`` that ``schema`` knows; keep the others.
 
@@ -101,9 +109,7 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
         if known is None or known.dataType == _STR:
             return text.alias(name)
         if isinstance(known.dataType, (T.IntegerType, T.LongType)):
-            # a writer that had gaps in the column leaves "1.0" for 1
-            return F.coalesce(text.try_cast(known.dataType),
-                              text.try_cast("double").try_cast(known.dataType)).alias(name)
+            return to_count(text, known.dataType).alias(name)
         if isinstance(known.dataType, T.DateType):
             return to_timestamp_strict(text).cast("date").alias(name)
         return text.cast(known.dataType).alias(name)
@@ -111,10 +117,12 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[cast(c) for c in df.columns])
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """``df`` with exactly the columns of ``schema``; absent ones are NULL."""
-    present = set(df.columns)
+def conform(df: DataFrame, schema: T.StructType, role: str = "table") -> DataFrame:
+    """``df`` with exactly the columns of ``schema``; an absent one is an error."""
+    absent = [f.name for f in schema.fields if f.name not in df.columns]
+    if absent:
+        raise ValueError(f"{role} lacks: " + ", ".join(absent))
     return df.select(*[
-        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+        F.col(f.name).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ])

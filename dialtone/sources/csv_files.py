@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Sequence
-from fnmatch import fnmatchcase
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -15,30 +16,34 @@ from dialtone.schemas import (
 )
 
 CALL_FILES = "agent_calls_*.csv"
+_OPTIONS = {"header": True, "escape": '"', "multiLine": True, "mode": "FAILFAST"}
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Sorted paths that match a pattern; none at all is an error.
 
     Only names are read. Spark does the listing, so any file system it knows
-    works. A folder that matches, such as one written by Spark, is one entry.
+    works. A folder that matches, such as one written by Spark, is one entry,
+    and only one row per entry comes back, however many files it has.
     """
+    name = pattern.rstrip("/").rsplit("/", 1)[-1]
+    # the path up to its first part that matches, else all of it
+    entry = F.regexp_extract("path", "^(.*?/" + _as_regex(name) + ")(?:/|$)", 1)
     try:
-        found = spark.read.format("binaryFile").load(pattern).select("path").collect()
+        found = spark.read.format("binaryFile").load(pattern).select("path")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no files match {pattern}") from None
         raise
-    if not found:
+    entries = found.select(F.when(entry != "", entry).otherwise(F.col("path")).alias("entry")).distinct().collect()
+    if not entries:
         raise FileNotFoundError(f"no files match {pattern}")
-    name = pattern.rstrip("/").rsplit("/", 1)[-1]
+    return sorted(row.entry for row in entries)
 
-    def entry(path: str) -> str:
-        parts = path.split("/")
-        matching = [i for i, part in enumerate(parts) if fnmatchcase(part, name)]
-        return "/".join(parts[: matching[0] + 1]) if matching else path
 
-    return sorted({entry(row.path) for row in found})
+def _as_regex(name: str) -> str:
+    """A file-name pattern of ``*`` and ``?`` as a regular expression of one path part."""
+    return "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in name)
 
 
 def read_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -46,13 +51,18 @@ def read_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     Entries with equal headers are read together; a column that one does not
     have is NULL in its rows. The header of an entry is taken from its first
-    file, and a file inside it that has another one fails the job.
+    file, and a file inside it that has another one fails the job, as does a row
+    with more or fewer fields than the header. Quoted texts may hold line ends,
+    so a file is read by one task.
     """
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in paths:
-        by_header[tuple(spark.read.option("header", True).csv(path).columns)].append(path)
+    reader = lambda: spark.read.options(**_OPTIONS)
+    with ThreadPoolExecutor(8) as pool:
+        headers = pool.map(lambda path: tuple(reader().csv(path).columns), paths)
+    for path, header in zip(paths, headers):
+        by_header[header].append(path)
     parts = [
-        spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
+        reader().option("enforceSchema", False)
         .schema(T.StructType([T.StructField(c, T.StringType(), True) for c in header]))
         .csv(same)
         for header, same in by_header.items()

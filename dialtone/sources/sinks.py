@@ -2,33 +2,59 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from dialtone.functions.periods import month_key
 from dialtone.schemas import CALL_MART
+from dialtone.sources.storage import staged
 
 MONTH = "call_month"
 # CSV text of a time; the default pattern would drop the microseconds.
 _CSV = {
-    "header": True, "escape": '"',
+    "header": True, "escape": '"', "multiLine": True, "mode": "FAILFAST",
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
 }
 
 
-def write_call_mart(mart: DataFrame, path: str, fmt: str = "parquet") -> None:
+# A CSV file is read by one task, as texts may hold line ends.
+_CSV_ROWS = 1_000_000
+
+
+def _earlier_days(spark: SparkSession, path: str, fmt: str, schema: T.StructType, since: date) -> DataFrame | None:
+    """Stored rows of the month of ``since`` from before it, if there is a mart already."""
+    try:
+        stored = read_call_mart(spark, path, fmt, schema)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    earlier = stored.filter((F.col(MONTH) == f"{since:%Y-%m}") & (F.col("call_date_est") < F.lit(since))).drop(MONTH)
+    # the month is overwritten, so it can't be read while that happens
+    return staged(earlier, "kept-days")
+
+
+def write_call_mart(mart: DataFrame, path: str, fmt: str = "parquet", since: date | None = None) -> None:
     """Write the mart in one folder per call month.
 
     Months in ``mart`` are replaced and others stay as they are; calls without
-    a date are left out. The rows are rebalanced by month first, so that a
-    month is a few files of good size and a big month is many.
+    a date are left out. ``since`` says that ``mart`` has no day before it: the
+    stored earlier days of its month are then kept. The rows are rebalanced by
+    month first, so that a month is a few files of good size and a big month is
+    many.
     """
+    if since is not None and since.day > 1:
+        kept = _earlier_days(mart.sparkSession, path, fmt, mart.schema, since)
+        mart = mart if kept is None else mart.unionByName(kept)
     months = mart.filter(F.col("call_date_est").isNotNull()).withColumn(MONTH, F.expr(month_key("call_date_est")))
     writer = (
         months.hint("rebalance", F.col(MONTH)).write
         .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH)
     )
     if fmt == "csv":
-        writer = writer.options(**_CSV)
+        writer = writer.options(**_CSV).option("maxRecordsPerFile", _CSV_ROWS)
     writer.format(fmt).save(path)
 
 
@@ -54,6 +80,7 @@ def month_counts(mart: DataFrame) -> DataFrame:
 
 
 # Field separator of each export format.
+SINGLE_FILE_ROWS = 100_000
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 
 
@@ -61,8 +88,14 @@ def export_report(report: DataFrame, path: str, fmt: str = "csv", single_file: b
     """Write a report with a header row.
 
     A sorted report is written as files that are in order one after another.
-    ``single_file`` is for reports of fixed size, such as one row per metric.
+    ``single_file`` is for reports of fixed size, such as one row per metric:
+    what makes the report still runs in parallel, but it then comes to one task,
+    and a report of more than ``SINGLE_FILE_ROWS`` rows is an error.
     """
     if single_file:
-        report = report.coalesce(1)
+        rows = report.limit(SINGLE_FILE_ROWS + 1).count()
+        if rows > SINGLE_FILE_ROWS:
+            raise ValueError(f"a report of more than {SINGLE_FILE_ROWS} rows is not one file")
+        order = F.monotonically_increasing_id()  # rises from one sorted file to the next
+        report = report.withColumn("_row", order).repartition(1).sortWithinPartitions("_row").drop("_row")
     report.write.mode("overwrite").options(**_CSV).option("sep", SEPARATORS[fmt]).csv(path)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_temporary: dict[str, str] = {}
-
-
 def _named_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
@@ -18,15 +14,12 @@ def _named_folder(spark: SparkSession) -> str | None:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in ``spark.checkpoint.dir``.
 
-    Where none is named, as in tests on one machine, a temporary folder is
-    used, one per application.
+    There is no other choice that every executor can be sure to reach, so a
+    session that names none is an error.
     """
     named = _named_folder(spark)
     if not named:
-        application = spark.sparkContext.applicationId
-        if application not in _temporary:
-            _temporary[application] = tempfile.mkdtemp(prefix="dialtone-")
-        named = _temporary[application]
+        raise ValueError("spark.checkpoint.dir names no folder for intermediate tables")
     return named.rstrip("/")
 
 

@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, location: str) -> DataFrame:
 
 
 def load_sources(spark: SparkSession, locations: Mapping[str, str]) -> Sources:
-    """All inputs, each with exactly its declared columns.
+    """All inputs, each with exactly its declared columns, none of which may be absent.
 
     Only declared columns are selected, so the scans read no others.
     """
@@ -35,5 +35,5 @@ def load_sources(spark: SparkSession, locations: Mapping[str, str]) -> Sources:
     if missing:
         raise ValueError("no location for: " + ", ".join(missing))
     return Sources(**{
-        role: conform(read_table(spark, locations[role]), schema) for role, schema in SCHEMAS.items()
+        role: conform(read_table(spark, locations[role]), schema, role) for role, schema in SCHEMAS.items()
     })

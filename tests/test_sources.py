@@ -8,6 +8,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.errors import PySparkException
 
+from checks.session import test_folder
+
 from dialtone.schemas import AGENTS, conform, typed
 from dialtone.sources import cache, csv_files, sinks, storage, warehouse
 from tests.helpers import calls, plan_text
@@ -93,7 +95,7 @@ def test_date_range_prunes_months(spark, tmp_path):
     back = sinks.read_call_mart(spark, path, schema=mart.schema)
     plan = plan_text(between_days(back, "call_date_est", date(2024, 2, 1), date(2024, 2, 20)))
     assert "PartitionFilters: [isnotnull(call_month" in plan and "PushedFilters: [IsNotNull(call_date_est)" in plan
-    assert between_days(back, "call_date_est", date(2024, 2, 20), date(2024, 2, 1)).count() == 1
+    assert between_days(back, "call_date_est", date(2024, 2, 20), date(2024, 2, 1)).count() == 0
     compared = compare_periods(back, (date(2024, 1, 1), date(2024, 1, 9)), (date(2024, 2, 9), date(2024, 2, 1)))
     assert compared.first().first_value == 1 and compared.first().second_value == 1
     assert "(call_month" in plan_text(compared).split("PartitionFilters")[1]
@@ -131,24 +133,23 @@ def test_cached_load_expires(spark):
 
 
 def test_shared_folder_is_the_configured_one(spark):
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        assert storage.shared_folder(spark) == named.rstrip("/")
+    test_folder(spark, "x")  # names a shared folder if the session has none
+    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert storage.new_folder(spark, "x") != storage.new_folder(spark, "x")
     assert sorted(r.id for r in storage.staged(spark.range(3)).collect()) == [0, 1, 2]
 
 
 def test_shared_folder_without_a_name(spark, monkeypatch):
     monkeypatch.setattr(storage, "_named_folder", lambda _: None)
-    assert storage.shared_folder(spark) == storage.shared_folder(spark)
-    assert sorted(r.id for r in storage.staged(spark.range(2)).collect()) == [0, 1]
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.staged(spark.range(2))
 
 
 def test_sources_have_their_declared_columns(spark, tmp_path):
-    path = str(tmp_path / "agents")
-    spark.sql("SELECT 'x' AS extra, 7 AS employeeid").write.parquet(path)
+    for role, schema in warehouse.SCHEMAS.items():
+        spark.createDataFrame([], schema).selectExpr("*", "'x' AS extra").write.parquet(str(tmp_path / role))
     spark.sql("SELECT 7 AS employeeid, 'Ann' AS employee_name, 1 AS other").createOrReplaceTempView("agents_table")
-    locations = {role: path for role in warehouse.SCHEMAS}
+    locations = {role: str(tmp_path / role) for role in warehouse.SCHEMAS}
     src = warehouse.load_sources(spark, {**locations, "agents": "agents_table"})
     assert src.agents.columns == AGENTS.names and src.agents.first().employee_name == "Ann"
     assert src.orders.columns == warehouse.SCHEMAS["orders"].names
@@ -156,7 +157,80 @@ def test_sources_have_their_declared_columns(spark, tmp_path):
         warehouse.load_sources(spark, {r: p for r, p in locations.items() if r != "agents"})
 
 
+def test_absent_column_is_an_error(spark, tmp_path):
+    for role, schema in warehouse.SCHEMAS.items():
+        df = spark.createDataFrame([], schema)
+        (df.drop("conversion_exclude_ind") if role == "agent_calls" else df).write.parquet(str(tmp_path / role))
+    with pytest.raises(ValueError, match="agent_calls lacks: conversion_exclude_ind"):
+        warehouse.load_sources(spark, {role: str(tmp_path / role) for role in warehouse.SCHEMAS})
+
+
+@pytest.mark.parametrize("row, problem", [
+    ("1,2024-01-05,a,b", "MALFORMED"), ("1.5,2024-01-05,a", "not a whole number: 1.5"), ("oops,2024-01-05,a", "not a whole number: oops")])
+def test_call_files_lose_nothing_silently(spark, tmp_path, row, problem):
+    (tmp_path / "agent_calls_1.csv").write_text(f"orders,call_date_est,agent_name\n{row}\n")
+    with pytest.raises(Exception) as failed:
+        csv_files.load_call_files(spark, str(tmp_path)).collect()
+    assert problem in str(failed.value)
+
+
+def test_call_files_with_texts_of_several_lines(spark, tmp_path):
+    (tmp_path / "agent_calls_1.csv").write_text('orders,call_date_est,agent_name\n2.0,2024-01-05,"Ann ""A"",\nBee"\n,2024-01-06,C\n')
+    rows = csv_files.load_call_files(spark, str(tmp_path)).orderBy("call_date_est").collect()
+    assert [(r.orders, r.agent_name) for r in rows] == [(2, 'Ann "A",\nBee'), (None, "C")]
+
+
+def test_listing_brings_one_row_per_entry(spark, tmp_path):
+    for name in ("agent_calls_1.csv", "agent_calls_2.csv"):
+        spark.range(20).repartition(5).write.option("header", True).csv(str(tmp_path / name))
+    found = csv_files.list_files(spark, f"{tmp_path}/agent_calls_*.csv")
+    assert [f.rsplit("/", 1)[1] for f in found] == ["agent_calls_1.csv", "agent_calls_2.csv"]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_refresh_from_the_middle_of_a_month_keeps_its_start(spark, tmp_path, fmt):
+    test_folder(spark, "x")
+    path, days = str(tmp_path / "mart"), (3, 10, 20)
+    mart = calls(spark, *[dict(call_date_est=date(2024, 1, d), agent_name=f'A "{d}",\nB') for d in days])
+    sinks.write_call_mart(mart, path, fmt)
+    later = calls(spark, dict(call_date_est=date(2024, 1, 15)), dict(call_date_est=date(2024, 2, 1)))
+    sinks.write_call_mart(later, path, fmt, since=date(2024, 1, 12))
+    rows = sinks.read_call_mart(spark, path, fmt, schema=mart.schema).collect()
+    assert sorted((r.call_date_est.month, r.call_date_est.day, r.agent_name) for r in rows) == [
+        (1, 3, 'A "3",\nB'), (1, 10, 'A "10",\nB'), (1, 15, "Ann"), (2, 1, "Ann")]
+
+
+def test_one_file_is_for_small_reports(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SINGLE_FILE_ROWS", 10)
+    with pytest.raises(ValueError):
+        sinks.export_report(spark.range(11), str(tmp_path / "r"), single_file=True)
+
+
+def test_default_window_reads_the_last_months_only(spark, tmp_path):
+    from dialtone.operators.filters import in_default_window
+    path = str(tmp_path / "mart")
+    mart = calls(spark, *[dict(call_date_est=d) for d in (date(2024, 1, 5), date(2024, 2, 26), date(2024, 3, 1), date(2024, 3, 3))])
+    sinks.write_call_mart(mart, path)
+    recent = in_default_window(sinks.read_call_mart(spark, path, schema=mart.schema))
+    assert sorted(r.call_date_est for r in recent.collect()) == [date(2024, 2, 26), date(2024, 3, 1), date(2024, 3, 3)]
+    assert "(call_month" in plan_text(recent).split("PartitionFilters")[1]
+
+
+def test_rollup_is_kept_by_month(spark, tmp_path):
+    from dialtone.jobs import refresh_rollup
+    from dialtone.operators.filters import between_days
+    mart = calls(spark, *[dict(call_date_est=date(2024, m, 5)) for m in (1, 2, 3)])
+    sinks.write_call_mart(mart, str(tmp_path / "mart"))
+    rollup = refresh_rollup(spark, str(tmp_path / "mart"), str(tmp_path / "daily"), schema=mart.schema)
+    plan = plan_text(between_days(rollup, "call_date_est", date(2024, 2, 1), date(2024, 2, 20)))
+    assert "PartitionFilters: [isnotnull(call_month" in plan
+    again = refresh_rollup(spark, str(tmp_path / "mart"), str(tmp_path / "daily"), date(2024, 3, 1), schema=mart.schema)
+    assert again.count() == 3
+
+
 def test_conform_and_typed(spark):
     df = spark.createDataFrame([("7", "None", "u")], "employeeid STRING, employee_name STRING, extra STRING")
     assert typed(df, AGENTS).first() == (7, None, "u")
-    assert conform(df.select("employeeid"), AGENTS).dtypes == [("employeeid", "bigint"), ("employee_name", "string")]
+    assert conform(df, AGENTS).dtypes == [("employeeid", "bigint"), ("employee_name", "string")]
+    with pytest.raises(ValueError, match="employee_name"):
+        conform(df.select("employeeid"), AGENTS)
