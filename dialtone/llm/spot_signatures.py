@@ -31,8 +31,9 @@ LETTERS = r"[^\p{L}\p{N}]+"
 def with_signatures(rows: DataFrame, text: str, name: str, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """`rows` with the sorted distinct 32-bit signatures of a text column."""
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), LETTERS, " "), F.lit(" "))
-    # An anchor, or the last of several in a row, becomes a mark on the content word that follows it.
-    marked = F.regexp_replace(spaced, f"(?: ({'|'.join(anchors)})(?= ))+ ", " $1|")
+    # An anchor, or the last of several in a row, becomes a mark on the content word that follows it. The
+    # possessive loop takes runs of any length without recursion.
+    marked = F.regexp_replace(spaced, f"(?: ({'|'.join(anchors)})(?= ))++ ", " $1|")
     words = F.filter(F.split(marked, " "), lambda w: (w != "") & ~w.endswith("|"))
     rows = rows.withColumn("_words", words)
     rows = rows.withColumn("_plain", F.transform("_words", lambda w: F.substring_index(w, "|", -1)))

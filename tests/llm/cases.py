@@ -18,6 +18,7 @@ ROWS = [
     (9, "token: 'token=secret=abcdefg' 0123456789abcdef0123456789abcdef api-key = x apikey=\"longenough\" é🤖▁x", ""),
     (10, "all rights reserved all rights reserved; general public license", "c"), (None, "of the cat", "a"),
     (11, "a b", "b"), (12, "A  b", "b"), (40, "😀" * 7 + " the end of it all", "a"), (41, "of the and", "a"),
+    (42, "the of " * 20_000 + "cat sat down", "a"),
 ]
 CLASHING = {
     "lang": "en", "n_chars": -1, "signatures": "x", "size": -5, "score": 9.0, "node": 1, "component": 2, "key": 3, "words": "w",
