@@ -20,6 +20,7 @@ HEADLINES = (
     "funnel_from_extract", "week_cards", "period_comparison", "trend_weekly", "trend_by_center",
     "snapshot_by_tenure", "agent_scorecard", "agent_distribution", "lift_weekly", "lift_summary",
     "lift_trend_swing_by_mover",
+    "mart_from_tables", "call_mart_one", "anchor_calls_one", "month_refresh_midmonth", "funnel_from_written_rollup",
 )
 
 

@@ -451,6 +451,8 @@ _SQL["week_cards"] = _CARDS + f"""
 SELECT "position", metric, week, prior_week, {_r('v1')} AS "value", {_r('v2')} AS prior_value,
        {_r("CASE WHEN v2 <> 0 THEN (v1 / v2 - 1) * 100.0::DOUBLE END")} AS change_pct FROM cards
 """
+_SQL["week_cards_selected"] = _SQL["week_cards"].replace(
+    "FROM treated GROUP BY", "FROM calls WHERE " + _SELECTED.replace(" AND call_date_est BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'", "") + " GROUP BY")
 _SQL["week_cards_shown"] = _CARDS + """
 SELECT "position", metric,
        CASE WHEN v1 IS NULL OR v1 = 0 THEN '—'

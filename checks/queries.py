@@ -366,6 +366,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(overview.week_cards(_treated(spark, sf_dir)), "value", "prior_value", "change_pct").drop("kind")
 
 
+@query("week_cards_selected")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = overview.week_cards(filters.undated_calls(adapter.calls(spark, sf_dir), SELECTED))
+    return _rounded(cards, "value", "prior_value", "change_pct").drop("kind")
+
+
 @query("week_cards_shown")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.show_week_cards(overview.week_cards(_treated(spark, sf_dir)))

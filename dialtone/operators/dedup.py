@@ -24,11 +24,6 @@ def latest_version(
     return df.withColumn("_version", F.row_number().over(newest)).filter("_version = 1").drop("_version")
 
 
-def key_copies(df: DataFrame, key: str) -> DataFrame:
-    """Keys that occur more than once, with the number of rows each has."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-
-
 def uniqueness_report(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """One row per table: how far its join key is from being unique.
 

@@ -126,6 +126,12 @@ def apply_call_filters(
     return any_of(calls, {c: getattr(filters, f) for f, c in CALL_DIMENSIONS.items()})
 
 
+def undated_calls(calls: DataFrame, filters: CallFilters, labels: Labels = Labels()) -> DataFrame:
+    """Population of the week cards and of the period comparison, which choose their own days: the selections
+    without the date range."""
+    return apply_call_filters(calls, filters.without_dates(), labels)
+
+
 def apply_lift_filters(lift: DataFrame, filters: CallFilters) -> DataFrame:
     """The same selections on lift facts, which are of one centre already."""
     return any_of(lift, {c: getattr(filters, f) for f, c in LIFT_DIMENSIONS.items()})
@@ -211,8 +217,3 @@ def filter_options(
         .distinct()
         .orderBy("dimension", "value")
     )
-
-
-def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct present values of one column."""
-    return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)

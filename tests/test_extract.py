@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dialtone.config import ExtractConfig
 from dialtone.operators.anchor import anchor_calls, latest_prior_long_call
-from dialtone.operators.dedup import key_copies, latest_version
+from dialtone.operators.dedup import latest_version
 from dialtone.operators.lookups import repeat_rows
 from dialtone.operators.order_rollup import order_rollup, orders_since
 from dialtone.plans import extract
@@ -38,11 +39,6 @@ def test_newest_version_wins_and_missing_time_loses(spark):
     assert {r.k: r.v for r in latest_version(df, "k", "at", ["v"]).collect()} == {1: "c", 2: "d"}
 
 
-def test_key_copies(spark):
-    df = spark.createDataFrame([(1,), (1,), (2,)], "k INT")
-    assert [(r.k, r.copies) for r in key_copies(df, "k").collect()] == [(1, 2)]
-
-
 def test_short_call_takes_membership_of_latest_long_call(spark):
     out = by(mart(spark, agent_calls=[
         call(1, 0), call(2, 10), call(3, 20, talk=30), call(4, 5, talk=10), call(5, -5, talk=1),
@@ -63,6 +59,26 @@ def test_tied_anchors_repeat_the_short_call(spark):
     assert sorted(r.membership for r in rows) == ["control", "treatment"]
 
 
+def test_ties_one_takes_the_smallest_id(spark):
+    registered = [{"call_id": 2, "session_start_date": date(2024, 1, 10)}]
+    tied = dict(agent_calls=[call(1), call(2), call(3, 1, talk=5)], sessions=registered)
+    both = [r.membership for r in mart(spark, **tied).collect() if r.call_id == 3]
+    one = extract.call_mart(sources(spark, **tied), replace(CFG, anchor_ties="one")).collect()
+    assert sorted(both) == ["control", "treatment"] and [r.membership for r in one if r.call_id == 3] == ["control"]
+    with pytest.raises(ValueError, match="ties"):
+        anchor_calls(sources(spark, **tied).agent_calls, ties="some")
+
+
+def test_look_back_feeds_anchors_only(spark):
+    tables = dict(
+        agent_calls=[call(1, -60 * 24 * 12), call(2, 0, talk=5)],
+        sessions=[{"call_id": 1, "session_start_date": date(2023, 12, 29)}])
+    plain = by(mart(spark, **tables), "call_id")
+    back = by(extract.call_mart(sources(spark, **tables), replace(CFG, anchor_from=date(2023, 12, 25))), "call_id")
+    assert set(plain) == set(back) == {2}
+    assert plain[2]["membership"] == "control" and back[2]["membership"] == "treatment"
+
+
 def test_anchor_never_crosses_agents_and_needs_agent_and_time(spark):
     facts = rows_of(spark, AGENT_CALLS,
                     call(1), call(2, 1, talk=5, employeeid=2), call(3, 1, talk=5, employeeid=None),

@@ -115,6 +115,10 @@ def test_window_and_filters(spark):
     chosen = CallFilters(mover_switcher=("mover",), center_location=("ignored here",))
     assert {r.week for r in lift.weekly_lift(lift.weekly_scope(facts, None, chosen)).collect()} == {W1}
     assert [r.week for r in lift.active_weeks(facts, window.post_from, window.post_to).collect()] == [W2]
+    # baselines of weeks that the window leaves out are gone before anything is added up
+    assert {r.week_key for r in lift.weekly_scope(facts, window).collect()} == {W2}
+    turned = LiftWindow(date(2024, 1, 1), date(2024, 1, 2), post_from=date(2024, 1, 20), post_to=date(2024, 1, 17))
+    assert lift.weekly_scope(facts, turned).count() == 0
 
 
 def test_baseline_join_changes_nothing_in_the_comparison(spark):
