@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dialtone.llm.workspace import staged
+from dialtone.llm.workspace import release, staged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")),
             )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         )
-        edges = staged(small, "links")
+        before_edges, edges = edges, staged(small, "links")
+        release(before_edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from dialtone.llm.components import components
-from dialtone.llm.workspace import staged
+from dialtone.llm.workspace import release, staged
 
 SHINGLE = 5
 NEEDED, OF = 80, 100  # a pair links when OF * intersection >= NEEDED * union
@@ -271,7 +271,10 @@ def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     one, other = (sets.select(F.col("doc").alias(k), F.col("elements").alias(f"set_{k}")) for k in "ab")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return pairs.join(other, "b").join(one, "a").where(common * OF >= union * NEEDED).select("a", "b").distinct()
+    linked = pairs.join(other, "b").join(one, "a").where(common * OF >= union * NEEDED).select("a", "b").distinct()
+    linked = staged(linked, "found")
+    release(sets)
+    return linked
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,7 +374,9 @@ def _open_pairs(rows: DataFrame, key: list[str], nearest: int | None) -> DataFra
     places = max(1, -(-rows.count() // PLACE_ROWS))
     place = F.pmod(F.xxhash64(*key, "block_a", "block_b"), F.lit(places)).alias("place")
     kinds = "a long, b long, bucket long, key long, more boolean"
-    return rows.select("*", place).groupBy("place").applyInPandas(_nearest_pairs(nearest), kinds)
+    looked = staged(rows.select("*", place).groupBy("place").applyInPandas(_nearest_pairs(nearest), kinds), "looked")
+    release(rows)
+    return looked
 
 
 def near_duplicate_classes(documents: DataFrame) -> DataFrame:
@@ -414,23 +419,26 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     nodes = names.where("rep = doc_id").select(F.col("rep").alias("node"), F.col("most").alias("n"), "bits")
     member = shared.join(names.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(*key, F.col("rep").alias("node")).distinct()
     member, tried = staged(member, "members"), star
+    release(shared)
     for nearest in NEAREST:
         labelled = member.join(classes, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component"))
         split = labelled.groupBy(*key).agg(F.count("*").alias("held"), F.min("component").alias("c1"), F.max("component").alias("c2"))
         open_ = labelled.join(split.where("c1 <> c2").select(*key, "held"), key).join(nodes, "node")
-        looked = staged(_open_pairs(open_, key, nearest), "looked")
+        looked = _open_pairs(open_, key, nearest)
         found = looked.where("NOT more").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         found = staged(found, "pairs")
         if not found.isEmpty():
             tried = tried.unionByName(found)
-            new = staged(_verified(found, documents), "found")
+            new = _verified(found, documents)
             if not new.isEmpty():
                 links = links.unionByName(new)
                 classes = components(links)
         rest = looked.where("more").select(*key).distinct()
         if rest.isEmpty():
+            release(member, looked)
             break  # every pair that may link was given
-        member = staged(member.join(rest, key), "members")
+        whole, member = member, staged(member.join(rest, key), "members")
+        release(whole, looked)
     return (
         sized.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -25,4 +25,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: what follows starts from files that outlive executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them is in files itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
