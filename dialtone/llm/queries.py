@@ -10,7 +10,7 @@ import public_tokenizers
 
 from dialtone.llm import (
     jaccard_join, license_scans, piece_encoding, pitman_yor, pivot_search, quality_network, secret_scans, source_mixing,
-    spot_signatures, token_counts,
+    spot_signatures, sql, token_counts,
 )
 
 
@@ -85,6 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from dialtone.llm.sql import ORACLES
-
-    return dict(ORACLES)
+    return sql.oracles()

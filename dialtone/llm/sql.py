@@ -65,4 +65,73 @@ SELECT doc_id, size, source_size, target, CAST(first_words + repeat_words AS BIG
 FROM x, z
 """
 
-ORACLES = {"op2_secret_scans": SECRETS, "op6_source_mixing": MIXING}
+# name, text of each licence template, as the operator lists them
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '{_WORD}')"
+
+
+def _licences(phrases: tuple[tuple[str, str], ...], templates: tuple[tuple[str, str], ...], threshold: float) -> str:
+    """Every block against every template, without any filter."""
+    listed = lambda rows: ", ".join(f"('{label}', '{text}')" for label, text in rows)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT nr, doc_id, t, {_words('t')} AS words FROM d),
+p AS (SELECT label, string_split(phrase, ' ') AS parts FROM (VALUES {listed([(b, a) for a, b in phrases])}) v(label, phrase)),
+i AS (SELECT nr, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+f AS (SELECT nr, label, i - 1 AS start FROM i JOIN p ON words[i] = parts[1] AND words[i:i + len(parts) - 1] = parts),
+b AS (SELECT nr, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS base FROM f GROUP BY nr),
+l AS (SELECT label, list_distinct({_words('notice')}) AS parts FROM (VALUES {listed(templates)}) v(label, notice)),
+k AS (
+  SELECT nr, unnest(string_split(t, chr(10))) AS block FROM d
+  UNION ALL SELECT nr, unnest(string_split_regex(t, '\n(?:[\x20\x09\x0B-\x0D]*\n)+')) FROM d),
+m AS (
+  SELECT nr, label, len(list_intersect(parts, words)) / CAST(len(parts) AS DOUBLE) AS share
+  FROM (SELECT nr, list_distinct({_words('block')}) AS words FROM k) JOIN l ON list_has_any(words, parts)
+  WHERE len(list_intersect(parts, words)) >= {threshold} * len(parts) - 1e-9),
+g AS (SELECT nr, max(share) AS share, list(DISTINCT label) AS found FROM m GROUP BY nr)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(found, []))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN b USING (nr) LEFT JOIN g USING (nr)
+"""
+
+
+NEAREST = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+NEAR_COPIES = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+l AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT l.y, r.seen FROM r JOIN l ON l.x = r.node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY 1) USING (doc_id)
+"""
+
+
+def oracles() -> dict[str, str]:
+    from dialtone.llm.license_scans import PHRASES, TEMPLATES, THRESHOLD
+
+    return {
+        "op1_license_scans": _licences(PHRASES, TEMPLATES, THRESHOLD), "op2_secret_scans": SECRETS, "op3_pivot_search": NEAREST,
+        "op6_source_mixing": MIXING, "op8_ngram_jaccard_join": NEAR_COPIES,
+    }

@@ -9,11 +9,14 @@ import pytest
 from checks.compare import connect, rows_of
 from dialtone.llm import secret_scans, source_mixing, spot_signatures
 from dialtone.llm.queries import queries
-from dialtone.llm.sql import ORACLES
+from dialtone.llm.sql import oracles
 
 from tests.llm import cases
 
 
+ORACLES = oracles()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
     df = queries()[name](spark, sf_dir)
