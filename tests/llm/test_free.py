@@ -294,6 +294,39 @@ def test_seating_keeps_every_customer():
             assert 1 <= tables <= count
 
 
+def test_seating_is_the_same_at_every_count():
+    """Numbers of tables by blocks, which large dishes sit in, against the exact distribution by its recurrence."""
+    rng = np.random.default_rng(8)
+    for count, new in ((400, 3.0), (400, 100.0), (500, 600.0)):
+        ways = np.zeros(count + 2)
+        ways[1] = 1.0
+        for c in range(1, count):
+            ways[1 : c + 2] = np.maximum(c - 0.6 * np.arange(1, c + 2), 0) * ways[1 : c + 2] + new * ways[: c + 1]
+            ways /= ways.sum()
+        t = np.arange(count + 2)
+        mean = (ways * t).sum()
+        spread = math.sqrt((ways * (t - mean) ** 2).sum())
+        drawn = [pitman_yor.seat(count, 0.6, new, 1, seed) for seed in range(400)]
+        assert abs(np.mean(drawn) - mean) < 0.25 * spread
+        sizes, blocks = pitman_yor.begun(np.zeros(0, np.int64), count, 0.6, new, rng), []
+        for _ in range(600):
+            sizes = pitman_yor.reseated(sizes, 0.6, new, rng)
+            blocks.append(len(sizes))
+        assert sizes.sum() == count and abs(np.mean(blocks[20:]) - mean) < 0.25 * spread
+
+
+def test_large_words_keep_their_tables_between_sweeps(spark):
+    words = [(b"often", 3000), (b"seldom", 2), (b"", 900)]
+    df = spark.createDataFrame(words, "word binary, c long")
+    samples = pitman_yor._learn(df, 3902, pitman_yor.Settings())
+    assert all(set(s.large) == {b"often", b""} for s in samples)
+    names, counts = [w for w, _ in words] + [b"unseen"], np.array([c for _, c in words] + [0])
+    assert (10 ** pitman_yor.predictive(names, counts, 3902, samples)).sum() == pytest.approx(1)
+    kept = np.array([2000, 900, 100])
+    after = pitman_yor.large_tables([b"often"], np.array([3000]), [kept], 0.0, np.array([1e-12]), pitman_yor.Settings(), 1)[0]
+    assert len(after) <= 3 and after.sum() == 3000 and after.max() > 1000
+
+
 def test_language_model_of_awkward_rows(spark):
     rows = pitman_yor.score_texts(cases.documents(spark)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _, _ in cases.ROWS)
