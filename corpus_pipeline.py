@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dialtone.llm import jaccard_join, piece_encoding, quality_network, secret_scans, source_mixing
-from dialtone.llm.workspace import shared_folder
+from dialtone.llm.workspace import shared_folder, staged
 
 ACCEPTED = 0.7
 
@@ -77,22 +77,24 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass over a document, in training order; the last document of a source is cut to the words
     that the mix takes of it."""
-    mixed = source_mixing.mix_sources(docs)
+    kept = docs.columns
+    docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # in files, so that a row's number stays
+    mixed = source_mixing.mix_sources(docs, key="_row")
     passes = F.array(
         F.struct(F.col("position").alias("_position"), F.col("first_words").alias("_words")),
         F.struct(F.col("repeat_position").alias("_position"), F.col("repeat_words").alias("_words")),
     )
-    takes = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode(F.filter(passes, lambda p: p["_words"] > 0)).alias("_take"))
-    takes = takes.select("_id", "_size", "_take.*").distinct()
+    takes = mixed.select(F.col("_row").alias("_of"), F.explode(F.filter(passes, lambda p: p["_words"] > 0)).alias("_take"))
+    takes = takes.select("_of", "_take.*")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(source_mixing.WORD)).cast("long")
     rows = docs.withColumn("_own", size)
-    rows = rows.join(takes, rows["doc_id"].eqNullSafe(takes["_id"]) & (rows["_own"] == takes["_size"]))
+    rows = rows.join(takes, rows["_row"] == takes["_of"])
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.col("_words") < F.col("_own")
     rows = rows.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.orderBy("_position", "doc_id").select(*docs.columns)
+    return rows.orderBy("_position", "doc_id", "_row").select(*kept)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,12 +68,19 @@ def reached(offset: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - rest) / (F.lit(2.0) * slope))
 
 
-def mix_sources(documents: DataFrame, mix: Curriculum = Curriculum()) -> DataFrame:
+def mix_sources(documents: DataFrame, mix: Curriculum = Curriculum(), key: str | None = None) -> DataFrame:
     """One row per document, range-sorted by its training position: doc_id, size, source_size, target, taken,
-    position, repeat_position, first_words and repeat_words (the words that each pass takes)."""
+    position, repeat_position, first_words and repeat_words (the words that each pass takes).
+
+    `key` names a column of unique numbers that is returned too. With it, rows without an id stand in the order of
+    a hash of their text and key, and so in many buckets; all other rows stand as without it."""
+    own = [key] if key else []
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    if key:
+        unnamed = F.md5(F.concat(F.sha2(F.coalesce("text", F.lit("")), 256), F.lit(" "), F.col(key).cast("string")).cast("binary"))
+        order = F.when(F.col("doc_id").isNull(), unnamed).otherwise(order)
     sizes = staged(documents.select(
-        "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), order.alias("order"),
+        "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), order.alias("order"), *own,
     ), "sizes")
     sizes = sizes.withColumn("bucket", F.substring("order", 1, 3))
     targets = source_targets(sizes, mix)
@@ -83,12 +90,12 @@ def mix_sources(documents: DataFrame, mix: Curriculum = Curriculum()) -> DataFra
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     buckets = buckets.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("below"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
     placed = sizes.withColumn("inner", F.sum("size").over(inside) - F.col("size"))
 
     same = placed["source"].eqNullSafe(buckets["source"]) & (placed["bucket"] == buckets["bucket"])
     placed = placed.join(buckets, same).select(
-        "doc_id", placed["source"], "size", (F.col("inner") + F.col("below")).alias("offset"))
+        "doc_id", placed["source"], "size", *own, (F.col("inner") + F.col("below")).alias("offset"))
     placed = placed.join(targets, placed["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     cut = lambda used: F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - used))
     placed = placed.withColumn("first_words", cut(F.col("offset")))
@@ -103,5 +110,5 @@ def mix_sources(documents: DataFrame, mix: Curriculum = Curriculum()) -> DataFra
         "doc_id", "size", "source_size", "target", (F.col("first_words") + F.col("repeat_words")).alias("taken"),
         position(F.col("offset"), "first_words").alias("position"),
         position(F.col("offset") + F.col("source_size"), "repeat_words").alias("repeat_position"), "first_words", "repeat_words",
-        "offset",
-    ).orderBy(F.col("position").asc_nulls_last(), "offset", "doc_id")
+        "offset", *own,
+    ).orderBy(F.col("position").asc_nulls_last(), "offset", "doc_id", *own)

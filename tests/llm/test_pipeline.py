@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dialtone.llm import quality_network, source_mixing
@@ -80,3 +81,19 @@ def test_stages_on_awkward_rows(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES[1:]:
             out = stage(spark, docs, sf_dir)
             assert len(out.collect()) >= (len(rows) // 2 if rows and name != "mixing" else 0)
+
+
+def test_mix_takes_rows_without_an_id_once_a_pass(spark, sf_dir):
+    rows = [(None, f"a b c{i % 3}", "a") for i in range(30)] + [(i, f"d e f{i}", "b") for i in range(30)]
+    docs = cases.documents(spark, rows, extra=False)
+    taken = Counter()
+    for r in source_mixing.mix_sources(docs.withColumn("k", F.monotonically_increasing_id()), key="k").collect():
+        taken[r.doc_id] += r.taken
+    after = corpus_pipeline.mixing(spark, docs, sf_dir).collect()
+    got = Counter()
+    for r in after:
+        got[r.doc_id] += len(cases.words(r.text))
+    assert got == taken and all(n <= 2 for n in Counter(r.doc_id for r in after if r.doc_id is not None).values())
+    assert got[None] <= 2 * 3 * 30 and sum(r.doc_id is None for r in after) <= 60
+    mixed = source_mixing.mix_sources(docs.withColumn("k", F.monotonically_increasing_id()), key="k").where("doc_id IS NULL")
+    assert mixed.count() == 30 and mixed.select("k").distinct().count() == 30
