@@ -13,8 +13,8 @@ encoding. Stages write what they decide on to Parquet, each stage reading the fi
 Defined results: a null text is an empty one wherever it is looked at, and stays null until it is encoded. An
 empty document passes the quality stage if the network's score of an empty text does, is never a copy of
 another, and is taken 0 words and so leaves in the mixing stage. A document without an id is judged by its text
-and is a copy of nothing. Rows that repeat an id are one document in the copy stage: the first of their texts
-stays. Further columns of ``documents`` are carried along.
+and is a copy of nothing. Rows that repeat an id and its text are one document in the copy stage; different texts of
+an id are documents of their own. Further columns of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -37,14 +37,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_network.score(docs, net, name="_quality").where(F.col("_quality") >= ACCEPTED).drop("_quality")
 
 
+def _texts_apart(docs: DataFrame) -> DataFrame:
+    """Rows with an id, with a number `_key` of each id and text: the id where an id has one text, and for one of them."""
+    rows = docs.where("doc_id IS NOT NULL").withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = staged(rows.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).distinct(), "texts")
+    first = texts.groupBy("_id").agg(F.min("_hash").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    ends = texts.agg(F.min("_id").alias("least"), F.max("_id").alias("most")).first()
+    number = F.monotonically_increasing_id()
+    free = F.lit(ends["most"]) + 1 + number if (ends["most"] or 0) < 1 << 62 else F.lit(ends["least"]) - 1 - number
+    more = staged(texts.join(first, "_id").where("_hash <> _first").select("_id", "_hash", free.alias("_more")), "more")
+    if more.isEmpty():
+        return rows.withColumn("_key", F.col("doc_id")).drop("_text")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    return rows.join(more, same, "left").withColumn("_key", F.coalesce("_more", "doc_id")).drop("_id", "_hash", "_more", "_text")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates."""
-    classes = jaccard_join.near_duplicate_classes(docs)
-    leaders = classes.where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(leaders, docs["doc_id"] == leaders["_kept"], "left_semi")
-    again = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    rows = _texts_apart(docs)
+    classes = jaccard_join.near_duplicate_classes(rows.select(F.col("_key").alias("doc_id"), "text"))
+    ids = rows.select(F.col("_key").alias("doc_id"), F.col("doc_id").alias("_id")).distinct()
+    first = F.min_by("doc_id", F.struct("_id", "doc_id"))
+    leaders = classes.distinct().join(ids, "doc_id").groupBy("component_id").agg(first.alias("_kept")).select("_kept")
+    kept = rows.join(leaders, rows["_key"] == leaders["_kept"], "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key").unionByName(docs.where("doc_id IS NULL"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,10 @@ def test_mix_takes_rows_without_an_id_once_a_pass(spark, sf_dir):
     assert got[None] <= 2 * 3 * 30 and sum(r.doc_id is None for r in after) <= 60
     mixed = source_mixing.mix_sources(docs.withColumn("k", F.monotonically_increasing_id()), key="k").where("doc_id IS NULL")
     assert mixed.count() == 30 and mixed.select("k").distinct().count() == 30
+
+
+def test_different_texts_of_an_id_stay(spark, sf_dir):
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, cases.BASE, "a"), (1, near, "a"), (1, near, "a"), (1, None, "a"), (2, cases.NEAR, "a"), (3, near, "a"), (4, "one two", "b"), (None, near, "b")]
+    after = corpus_pipeline.near_copies(spark, cases.documents(spark, rows, extra=False), sf_dir).collect()
+    assert Counter((r.doc_id, r.text) for r in after) == Counter([(1, cases.BASE), (1, near), (1, None), (4, "one two"), (None, near)])
