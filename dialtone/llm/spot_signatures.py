@@ -29,7 +29,7 @@ LETTERS = r"[^\p{L}\p{N}]+"
 
 
 def with_signatures(rows: DataFrame, text: str, name: str, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
-    """`rows` with the sorted distinct 32-bit signatures of a text column."""
+    """`rows` with the sorted distinct 64-bit signatures of a text column."""
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), LETTERS, " "), F.lit(" "))
     # An anchor, or the last of several in a row, becomes a mark on the content word that follows it. The
     # possessive loop takes runs of any length without recursion.
@@ -38,7 +38,7 @@ def with_signatures(rows: DataFrame, text: str, name: str, anchors: list[str] =
     rows = rows.withColumn("_words", words)
     rows = rows.withColumn("_plain", F.transform("_words", lambda w: F.substring_index(w, "|", -1)))
     following = [lambda i, k=k: F.get("_plain", i + k) for k in range(1, chain)]
-    hashed = lambda *parts: F.xxhash64(*parts).bitwiseAND(0xFFFFFFFF)
+    hashed = F.xxhash64
     spots = F.transform("_words", lambda w, i: F.when(
         w.contains("|") & (i + (chain - 1) < F.size("_words")), hashed(w, *[f(i) for f in following])))
     rows = rows.withColumn("_spots", F.array_sort(F.array_distinct(F.array_compact(spots)))).drop("_words", "_plain")

@@ -121,6 +121,14 @@ def test_fingerprints(spark):
     assert by[6] == by[8] and by[2] == by[3] != by[4]
 
 
+def test_signatures_keep_64_bits(spark):
+    texts = spark.createDataFrame([(i, f"number{i}") for i in range(50)] + [(99, "the cat sat down here of blue seas roll")], "doc_id long, text string")
+    rows = spot_signatures.with_signatures(texts, "text", "signatures").collect()
+    found = [s for r in rows for s in r.signatures]
+    assert len(set(found)) == len(found) and {s >> 32 for s in found} != {0}
+    assert all(s >> 32 for r in rows if r.doc_id == 99 for s in r.signatures)
+
+
 def test_successors_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(spot_signatures, "RANGE_ROWS", 3)
     docs = spark.createDataFrame([(i * i % 101, f"text {i * i % 101}") for i in range(40)], "doc_id long, text string").dropDuplicates(["doc_id"])
