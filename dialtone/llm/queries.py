@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from dialtone.llm import (
-    jaccard_join, license_scans, piece_encoding, pitman_yor, pivot_search, quality_network, secret_scans, source_mixing,
+    exact_dedup, jaccard_join, license_scans, piece_encoding, pitman_yor, pivot_search, quality_network, secret_scans, source_mixing,
     spot_signatures, sql, token_counts,
 )
 
@@ -76,11 +76,15 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scans, op2_secret_scans, op3_pivot_search, op4_token_counts, op5_spot_signatures,
         op6_source_mixing, op7_piece_encoding, op8_ngram_jaccard_join, op9_quality_classifier,
-        op10_pitman_yor,
+        op10_pitman_yor, op11_exact_dedup,
     )}
 
 

@@ -127,6 +127,15 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY 1) USING (doc_id)
 """
 
+EXACT_COPIES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS nr, doc_id, length(coalesce(text, '')) AS n_chars,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS content FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(content) AS text_sha256, n_chars
+FROM d WINDOW w AS (PARTITION BY content ORDER BY n_chars DESC, doc_id NULLS LAST, nr)
+"""
+
 
 def oracles() -> dict[str, str]:
     from dialtone.llm.license_scans import PHRASES, TEMPLATES, THRESHOLD
@@ -134,4 +143,5 @@ def oracles() -> dict[str, str]:
     return {
         "op1_license_scans": _licences(PHRASES, TEMPLATES, THRESHOLD), "op2_secret_scans": SECRETS, "op3_pivot_search": NEAREST,
         "op6_source_mixing": MIXING, "op8_ngram_jaccard_join": NEAR_COPIES,
+        "op11_exact_dedup": EXACT_COPIES,
     }

@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cursor.description], cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op2_secret_scans", "op5_spot_signatures", "op6_source_mixing"])
+@pytest.mark.parametrize("name", ["op2_secret_scans", "op5_spot_signatures", "op6_source_mixing", "op11_exact_dedup"])
 def test_plan_has_no_python(spark, sf_dir, name):
     plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -156,3 +156,60 @@ def test_similar_pairs_equal_brute_force(spark, sf_dir):
     lambda df, spark: spot_signatures.fingerprints(df)])
 def test_empty_tables(spark, made):
     assert made(cases.documents(spark, []), spark).collect() == []
+
+
+# Exact dedup
+
+
+def _exact(rows):
+    import re
+
+    groups = defaultdict(list)
+    for doc, text, _ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), doc is None, doc or 0))
+    out = Counter()
+    for doc, text, _ in rows:
+        content = re.sub(r"[\x20\x09-\x0D]", "", text or "")
+        best = min(groups[content])
+        out[doc, None if best[1] else best[2], len(groups[content]), cases.sha(content), len(text or "")] += 1
+    return out
+
+
+_SPACED = [*cases.ROWS, (50, "a b", "a"), (51, "ab", "a"), (52, "a\tb\r\n", "a"), (53, "ab\x85", "b"), (60, "a b c", "a"), (61, "ab c", "b"),
+           (-7, "ab c", None), (None, "ab c", "a"), (None, None, None), (None, None, None), (70, cases.LONG + " ", "b"), (2**63 - 1, "z", "a"), (-2**63, "z", "a")]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_groups_equal_brute_force(spark, weak):
+    from pyspark.sql import functions as F
+
+    from dialtone.llm import exact_dedup
+
+    digest = (lambda c: F.substring(F.sha2(c, 256), 1, 1)) if weak else exact_dedup.sha256
+    df = cases.documents(spark, _SPACED).repartition(5).withColumns({"digest": F.lit(1), "content": F.lit("c"), "row": F.lit(7), "best": F.lit(0), "name": F.lit("n")})
+    rows = exact_dedup.exact_groups(df, digest).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256, r.n_chars) for r in rows) == _exact(_SPACED)
+    kept = [r for r in rows if r.kept]
+    assert Counter(r.text_sha256 for r in kept) == Counter({r.text_sha256 for r in rows})
+    assert all(r.doc_id == r.keep_id for r in kept)
+    assert exact_dedup.exact_groups(cases.documents(spark, []), digest).collect() == []
+
+
+def test_exact_dedup_combines_before_every_shuffle(spark, sf_dir):
+    from dialtone.llm import exact_dedup
+
+    texts = exact_dedup._texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), exact_dedup.sha256)
+    df = exact_dedup.combined(texts)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 4 and "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert "Python" not in plan
+
+
+def test_a_large_group_is_not_shuffled(spark, monkeypatch):
+    from dialtone.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "HOT", 10)
+    rows = [(i, "same  text" if i % 3 else f"text {i // 6}", "a") for i in range(300)] + [(None, "", "a")] * 60
+    got = exact_dedup.exact_groups(cases.documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256, r.n_chars) for r in got) == _exact(rows)
+    assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
