@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
 from dialtone.llm import (
-    exact_dedup, jaccard_join, license_scans, piece_encoding, pitman_yor, pivot_search, quality_network, secret_scans, source_mixing,
-    spot_signatures, sql, token_counts,
+    exact_dedup, jaccard_join, license_scans, periodic_runs, piece_encoding, pitman_yor, pivot_search, quality_network, secret_scans, source_mixing,
+    spot_signatures, sql, token_counts, whitening,
 )
 
 
@@ -80,11 +82,44 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def looped(n: int, doc_id: int | None) -> np.ndarray | None:
+    """The contract's word order: the words of a tenth of the documents go round in a loop from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    order = np.arange(n)
+    order[a:] = a + (order[a:] - a) % p
+    return order
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), order=looped)
+    # By start and period already, so of equal exponents the first one stays.
+    found = found.withColumn("best", F.expr(
+        "reduce(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), "
+        "(b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)"))
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period AS exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    # null where it is no long
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scans, op2_secret_scans, op3_pivot_search, op4_token_counts, op5_spot_signatures,
         op6_source_mixing, op7_piece_encoding, op8_ngram_jaccard_join, op9_quality_classifier,
-        op10_pitman_yor, op11_exact_dedup,
+        op10_pitman_yor, op11_exact_dedup, op12_periodic_runs,
+        op13_embedding_whitening,
     )}
 
 
