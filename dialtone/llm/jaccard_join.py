@@ -27,7 +27,7 @@ hashes. Columns beside the id and the text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import exp, lgamma, log
 
 import numpy as np
@@ -36,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from dialtone.llm.components import components
-from dialtone.llm.workspace import release, staged
+from dialtone.llm.workspace import release, small_batches, staged
 
 SHINGLE = 5
 NEEDED, OF = 80, 100  # a pair links when OF * intersection >= NEEDED * union
-BUCKET_KEYS, FILTER_BITS = 250_000, 1 << 22
+BUCKET_KEYS = 250_000
+SENT_IDS = 500_000  # ids sent to every task, 16 MB at most
 BLOCK, PLACE_ROWS = 1_000, 5_000  # documents of a key in a block, rows in a place
 NEAREST = (4, 64, None)  # pairs a document gives of a key, round by round
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -168,8 +169,8 @@ def _bucketed(buckets: int):
         return rest.tobytes(), (docs - least).astype("<i8" if wide else "<u4").tobytes(), least
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[bytes] = set()
         for whole in batches:
-            seen: set[bytes] = set()
             for start in range(0, len(whole), 1000):
                 found, ids = [], []
                 for doc, text in zip(whole["doc_id"].iloc[start : start + 1000], whole["text"].iloc[start : start + 1000]):
@@ -230,44 +231,26 @@ def _shared_keys(buckets: int):
     return run
 
 
-def _slot(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def _wanted(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of `ids`, chosen before any text goes to Python: by a copy of the ids in every task up to
+    `SENT_IDS` of them, by a join that shuffles both sides beyond."""
+    few = ids.count() <= SENT_IDS
+    named = ids.select(F.col("doc").alias("doc_id"))
+    return documents.select("doc_id", "text").join(F.broadcast(named) if few else named, "doc_id", "left_semi")
 
 
-def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit filter of a fixed size (half a megabyte) over ids: it misses none of them and lets few others pass."""
-    number = _slot(column) + 1  # the bitmap functions count from 1
-    parts = (
-        ids.groupBy(F.bitmap_bucket_number(number).alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")).collect()
-    )
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in parts:
-        out[r["part"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.reshape(-1)
-
-
-def _sets(documents: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """(doc, elements) of the documents in `ids`, made anew from their texts instead of keeping every set."""
-    shared = documents.sparkSession.sparkContext.broadcast(_filter_of(ids, column))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        for part in batches:
-            slot = part["slot"].to_numpy(np.int64)
-            part = part[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-            for start in range(0, len(part), 500):
-                few = part.iloc[start : start + 500]
-                yield pd.DataFrame({"doc": few["doc_id"], "elements": [shingle_set(t).view(np.int64) for t in few["text"]]})
-
-    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text", _slot("doc_id").alias("slot"))
-    return rows.mapInPandas(run, "doc long, elements array<long>")
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        for start in range(0, len(part), 200):
+            few = part.iloc[start : start + 200]
+            yield pd.DataFrame({"doc": few["doc_id"], "elements": [shingle_set(t).view(np.int64) for t in few["text"]]})
 
 
 def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, compared on their whole sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = staged(_sets(documents, ids, "doc"), "sets")
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    sets = staged(_wanted(documents, ids).mapInPandas(_sets, "doc long, elements array<long>"), "sets")
+    release(ids)
     one, other = (sets.select(F.col("doc").alias(k), F.col("elements").alias(f"set_{k}")) for k in "ab")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
@@ -384,6 +367,11 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
 
     component_id is the smallest id reachable by links of a shingle Jaccard similarity of 0.8 or more.
     """
+    with small_batches(documents.sparkSession):
+        return _classes(documents)
+
+
+def _classes(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "text")
     sized = staged(rows.mapInPandas(_described, "doc_id long, n int, h1 long, h2 long, bits binary"), "marks")
     known = sized.where("doc_id IS NOT NULL AND n > 0")
@@ -412,33 +400,35 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     centre = shared.groupBy(*key).agg(F.min("doc").alias("a"))
     star = shared.join(centre, key).where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
     star = staged(_comparable(star, names), "pairs")
-    links = staged(equal.unionByName(_verified(star, documents)), "found")
-    classes = components(links)
+    verified = _verified(star, documents)
+    links = [staged(equal.unionByName(verified), "found")]
+    release(verified)
+    classes = components(links[0])
 
     # Then the other pairs of a key, where its documents are still in different components.
     nodes = names.where("rep = doc_id").select(F.col("rep").alias("node"), F.col("most").alias("n"), "bits")
     member = shared.join(names.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(*key, F.col("rep").alias("node")).distinct()
-    member, tried = staged(member, "members"), star
+    member, tried = staged(member, "members"), [star]
     release(shared)
     for nearest in NEAREST:
         labelled = member.join(classes, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component"))
         split = labelled.groupBy(*key).agg(F.count("*").alias("held"), F.min("component").alias("c1"), F.max("component").alias("c2"))
         open_ = labelled.join(split.where("c1 <> c2").select(*key, "held"), key).join(nodes, "node")
         looked = _open_pairs(open_, key, nearest)
-        found = looked.where("NOT more").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        found = staged(found, "pairs")
+        found = looked.where("NOT more").select("a", "b").distinct()
+        found = staged(found.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "pairs")
+        tried.append(found)
         if not found.isEmpty():
-            tried = tried.unionByName(found)
-            new = _verified(found, documents)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                classes = components(links)
+            links.append(_verified(found, documents))
+            if not links[-1].isEmpty():
+                classes = components(reduce(DataFrame.unionByName, links))
         rest = looked.where("more").select(*key).distinct()
         if rest.isEmpty():
             release(member, looked)
             break  # every pair that may link was given
         whole, member = member, staged(member.join(rest, key), "members")
         release(whole, looked)
+    release(names, *tried, *links)
     return (
         sized.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
