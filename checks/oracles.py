@@ -202,6 +202,15 @@ _SQL["anchor_calls_one"] = f"""
 WITH {VERSIONS.format(at=_BY_DAY)} {ANCHORS}
 SELECT short_call_id, min(anchor_call_id) AS anchor_call_id FROM anchor_ids GROUP BY 1
 """
+_SQL["anchor_classes"] = f"""
+WITH {VERSIONS.format(at=_BY_DAY)} {ANCHORS},
+short AS (SELECT short_call_id, min(anchor_call_id) AS class FROM anchor_ids GROUP BY 1),
+member AS (
+  SELECT class, anchor_at, short_call_id AS call_id, false AS is_anchor FROM short JOIN anchor_times USING (short_call_id)
+  UNION SELECT class, anchor_at, anchor_call_id, true FROM short JOIN anchor_ids USING (short_call_id) JOIN anchor_times USING (short_call_id))
+SELECT class, agent AS employeeid, anchor_at, call_id, is_anchor FROM member JOIN newest USING (call_id)
+"""
+_SQL["anchor_classes_unfolded"] = _SQL["anchor_calls_tied"]
 _SQL["registry_membership"] = """
 SELECT event_id AS call_id, CAST(EXISTS (
   SELECT 1 FROM lineitem WHERE l_orderkey = event_id AND l_returnflag = 'A'
@@ -298,6 +307,7 @@ SELECT * REPLACE (
 FROM mart ORDER BY call_time_est DESC, call_id
 """
 _SQL["mart_from_tables"] = _SQL["call_mart"]
+_SQL["mart_over_a_seam"] = _SQL["call_mart"]
 _SQL["call_mart_one"] = f"""
 WITH {VERSIONS.format(at=_BY_DAY) + ANCHORS.replace("anchor_ids AS (", "all_anchor_ids AS (")},
 anchor_ids AS (SELECT short_call_id, min(anchor_call_id) AS anchor_call_id FROM all_anchor_ids GROUP BY 1)
@@ -324,6 +334,12 @@ FROM orders GROUP BY 1, 2
 """
 _SQL["month_files_parquet"] = _MONTH_TOTALS.format(contact="o_orderstatus <> 'P'")
 _SQL["month_refresh_midmonth"] = _SQL["month_files_parquet"]
+_SQL["month_refresh_moved_calls"] = _SQL["month_files_parquet"]
+_SQL["default_window_of_mart"] = """
+WITH last AS (SELECT max(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_orderkey % 5 < 2)
+SELECT CAST(o_orderdate AS DATE) AS call_date_est, count(*) AS calls_seen FROM orders, last
+WHERE o_orderkey % 5 < 2 AND o_orderstatus <> 'P' AND o_orderdate > d - 7 GROUP BY 1
+"""
 _SQL["month_files_csv"] = _MONTH_TOTALS.format(contact="o_orderstatus <> 'P'")
 _SQL["call_files_by_name"] = _MONTH_TOTALS.format(contact="o_orderstatus <> 'P' AND o_orderdate < DATE '1998-01-01'")
 
@@ -390,6 +406,7 @@ SELECT period, v."position", v.metric, {_r('v."value"')} AS "value", strftime(pe
 FROM s, {_values(FUNNEL)}
 """
 _SQL["funnel_from_rollup"] = _SQL["funnel_weekly"]
+_SQL["cached_funnel"] = _SQL["funnel_weekly"]
 _SQL["report_export_tsv"] = f"""
 WITH {CALLS}, s AS (SELECT {_bucket('week')} AS period, {SUMS} FROM treated GROUP BY 1)
 SELECT period, v.metric,
@@ -553,6 +570,18 @@ SELECT 'Overall' AS series, period, v.metric,
        {_r("CASE WHEN v.metric LIKE 'Rev / %' THEN v.\"value\" * 0 ELSE v.\"value\" END")} AS "value"
 FROM s, {_values(TREND)}
 """
+_SQL["rollup_trend_without_contact"] = _SQL["trend_without_contact"]
+_SQL["rollup_trend_without_revenue"] = _SQL["trend_without_revenue"]
+# without orders and credit calls: what is divided by them, or counts them, is unknown; the funnel counts zero
+_SQL["rollup_snapshot_without_orders"] = f"""
+WITH {CALLS}, s AS (SELECT center_location AS category, {SUMS} FROM treated WHERE center_location IS NOT NULL GROUP BY 1),
+t AS (SELECT category, v.metric, {_r('v."value"')} AS "value" FROM s, {_values(TREND)})
+SELECT category, metric, CASE WHEN metric NOT IN ('Net Conversion', 'Top Product Mix', 'Rev / Order', 'Credit Rate', 'Passed Credit Rate')
+  THEN "value" END AS "value" FROM t
+UNION ALL SELECT category, 'funnel NC', CASE WHEN "value" > 0 THEN 0.0::DOUBLE END FROM t WHERE metric = 'Calls'
+UNION ALL SELECT category, 'funnel CiCredit', CASE WHEN "value" > 0 THEN 0.0::DOUBLE END FROM t WHERE metric = 'Calls'
+UNION ALL SELECT category, 'funnel PCR', NULL FROM t WHERE metric = 'Calls'
+"""
 _SQL["week_cards_without_revenue"] = _CARDS.replace("SELECT age, week, v.* FROM", """
   SELECT age, week, v."position", v.metric, CASE WHEN v.metric LIKE 'Rev%' THEN v."value" * 0 ELSE v."value" END AS "value" FROM""") + f"""
 SELECT "position", metric, week, prior_week, {_r('v1')} AS "value", {_r('v2')} AS prior_value,
@@ -723,6 +752,7 @@ WITH {LIFT}, {_cell_joins('', 'INNER', '''mover_switcher IN ('mover', 'switcher'
   AND (period <> 'post' OR call_date_est BETWEEN DATE '2024-01-17' AND DATE '2024-01-28')''')}
 SELECT wk AS week, metric, weight, {_WEEKLY_COLUMNS} FROM cells
 """
+_SQL["lift_weekly_from_table"] = _SQL["lift_weekly_windowed"]
 _SQL["lift_weekly_excluding"] = f"""
 WITH {LIFT}, {_cell_joins('', 'INNER')}
 SELECT wk AS week, metric, weight, {_WEEKLY_COLUMNS} FROM cells WHERE wk <> '01/22/2024'

@@ -14,13 +14,14 @@ from dialtone.config import CallFilters, LiftWindow
 from dialtone.functions import periods, scopes
 from dialtone.jobs import refresh_call_mart, refresh_rollup
 from dialtone.operators import filters, metrics as m
-from dialtone.operators.anchor import anchor_calls, latest_prior_long_call
+from dialtone.operators.anchor import anchor_calls, anchor_classes, latest_prior_long_call, pairs_of_classes
 from dialtone.operators.dedup import latest_version
 from dialtone.operators.lookups import member_flag
 from dialtone.operators.measures import daily_rollup
 from dialtone.operators.order_rollup import in_scope, order_rollup, orders_since
 from dialtone.plans import agents, extract, lift, overview
-from dialtone.sources import csv_files, sinks
+from dialtone.sources import csv_files, lift_table, sinks
+from dialtone.sources.cache import CachedLoad
 from dialtone.sources.warehouse import SCHEMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_calls(_newest(spark, sf_dir, fan_out=True), ties="one")
 
 
+@query("anchor_classes")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_classes(_newest(spark, sf_dir, fan_out=True))
+
+
+@query("anchor_classes_unfolded")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_of_classes(anchor_classes(_newest(spark, sf_dir, fan_out=True)))
+
+
 @query("registry_membership")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = adapter.extract_sources(spark, sf_dir)
@@ -164,6 +175,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(sinks.read_call_mart(spark, f"{folder}/mart").drop(sinks.MONTH))
 
 
+@query("mart_over_a_seam")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two refreshes: all days before the seam, then those from it on, with the anchors that the first one kept."""
+    folder, src, seam = test_folder(spark, "seam"), adapter.extract_sources(spark, sf_dir), date(2024, 1, 16)
+    for role in SCHEMAS:
+        getattr(src, role).write.parquet(f"{folder}/{role}")
+    early = src.agent_calls.filter(F.col("call_datetime_est") < F.lit(seam).cast("timestamp_ntz"))
+    early.write.parquet(f"{folder}/early_calls")
+    tables = {role: f"{folder}/{role}" for role in SCHEMAS}
+    refresh_call_mart(
+        spark, {**tables, "agent_calls": f"{folder}/early_calls"}, adapter.EXTRACT, f"{folder}/mart", state_path=f"{folder}/state")
+    later = replace(adapter.EXTRACT, from_date=seam, related_from=adapter.EXTRACT.from_date)
+    refresh_call_mart(spark, tables, later, f"{folder}/mart", stage=True, state_path=f"{folder}/state")
+    return _comparable(sinks.read_call_mart(spark, f"{folder}/mart").drop(sinks.MONTH))
+
+
 @query("call_mart_one")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = replace(adapter.EXTRACT, anchor_ties="one")
@@ -216,6 +243,31 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _month_totals(sinks.read_call_mart(spark, path, schema=mart.schema))
 
 
+@query("month_refresh_moved_calls")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that the first run dated earlier, in the seam's month or one before it, are there once afterwards."""
+    path, mart = test_folder(spark, "mart"), _order_mart(spark, sf_dir)
+    seam, day = date(1997, 6, 17), F.col("call_date_est")
+    moved = F.when(day >= F.lit(seam), F.expr("CASE call_id % 3 WHEN 0 THEN 40 WHEN 1 THEN 3 ELSE 0 END")).otherwise(0)
+    first = mart.withColumn("call_date_est", F.date_sub(day, moved))
+    sinks.write_call_mart(first.filter(day < F.lit(date(1997, 8, 1))), path)
+    later = mart.filter(day >= F.lit(seam))
+    sinks.write_call_mart(later, path, since=seam, replaced=later)
+    return _month_totals(sinks.read_call_mart(spark, path, schema=mart.schema))
+
+
+@query("default_window_of_mart")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default window of a filtered mart, from the notes on its days."""
+    path = test_folder(spark, "mart")
+    mart = _order_mart(spark, sf_dir).withColumn("membership", F.expr("if(call_id % 5 < 2, 'treatment', 'control')"))
+    sinks.write_call_mart(mart, path)
+    sinks.note_days(spark, path, schema=mart.schema)
+    calls = filters.treatment_only(sinks.read_call_mart(spark, path, schema=mart.schema)).filter("ib_contact_calls = 1")
+    recent = filters.in_default_window(calls, bounds=filters.noted_bounds(sinks.read_days(spark, path)))
+    return recent.groupBy("call_date_est").agg(F.count(F.lit(1)).alias("calls_seen"))
+
+
 @query("month_files_csv")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, mart = test_folder(spark, "mart-csv"), _order_mart(spark, sf_dir)
@@ -330,6 +382,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("funnel_table_discovered")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test_folder(spark, "funnel")  # names a shared folder if the session has none
     report = overview.funnel_table(_treated(spark, sf_dir), "Weekly")
     return _rounded(report, *[c for c in report.columns if c not in ("position", "metric")])
 
@@ -348,6 +401,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(overview.funnel(some, "Weekly"), *m.FUNNEL)
 
 
+@query("cached_funnel")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loads = CachedLoad(lambda: _treated(spark, sf_dir), ttl_seconds=3600)
+    report = overview.funnel_long(loads.get(), "Weekly")
+    return _rounded(report, "value").drop("shown", "kind")
+
+
 @query("funnel_from_rollup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = daily_rollup(adapter.calls(spark, sf_dir))
@@ -450,6 +510,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(report, "value").select("series", "period", "metric", "value")
 
 
+def _rollup_of(spark: SparkSession, calls: DataFrame) -> DataFrame:
+    """The written daily rollup of a written mart."""
+    path = test_folder(spark, "mart")
+    sinks.write_call_mart(calls, path)
+    return refresh_rollup(spark, path, f"{path}-daily", schema=calls.schema)
+
+
+@query("rollup_trend_without_contact")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = overview.trend(_rollup_of(spark, _treated(spark, sf_dir).drop("ib_contact_calls")), "Weekly")
+    return _rounded(report, "value").select("series", "period", "metric", "value")
+
+
+@query("rollup_trend_without_revenue")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = overview.trend(_rollup_of(spark, _without_revenue(spark, sf_dir)), "Weekly")
+    return _rounded(report, "value").select("series", "period", "metric", "value")
+
+
+@query("rollup_snapshot_without_orders")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel counts an absent column as zero, the snapshot does not know it; both by the same rollup."""
+    rollup = _rollup_of(spark, _treated(spark, sf_dir).drop("orders", "credit_calls_flag"))
+    report = overview.snapshot(rollup, group_by="Center").selectExpr("category", "metric", "value")
+    return _rounded(report.unionByName(
+        m.long(overview.summarise(rollup, "center_location AS category"), {k: m.FUNNEL[k] for k in ("NC", "CiCredit", "PCR")}, "category")
+        .selectExpr("category", "concat('funnel ', metric) AS metric", "value")), "value")
+
+
 @query("week_cards_without_revenue")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = overview.week_cards(_without_revenue(spark, sf_dir))
@@ -553,6 +642,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_weekly(spark, sf_dir, WINDOW, selected), *_AVERAGED).drop("position", "kind")
 
 
+@query("lift_weekly_from_table")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, facts = test_folder(spark, "lift-table"), adapter.lift(spark, sf_dir)
+    lift_table.write_lift_facts(facts, path)
+    selected = CallFilters(mover_switcher=("mover", "switcher"), call_type=("Site Session",))
+    scope = lift.weekly_scope(lift_table.read_lift_facts(spark, path, facts.schema), WINDOW, selected)
+    return _rounded(lift.weekly_lift(scope), *_AVERAGED).drop("position", "kind")
+
+
 @query("lift_weekly_excluding")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = LiftWindow(WINDOW.pre_start, WINDOW.pre_end, excluded_week="01/22/2024")

@@ -61,6 +61,9 @@ class ExtractConfig:
     # Calls from this day on may be anchors of short calls from from_date on; without it only calls
     # from from_date on are, as in one run over all data. An incremental run sets it some days back.
     anchor_from: date | None = None
+    # Sessions and orders from this day on belong to the calls; without it those from from_date on. An incremental run
+    # names the day of the first run, so that it sees what one run over all days would.
+    related_from: date | None = None
     # "all": a short call is repeated for each of its tied anchors; "one": the smallest id among them counts.
     anchor_ties: str = "all"
 

@@ -15,7 +15,7 @@ in four steps none of which needs an agent's calls in one task:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,14 +34,23 @@ def _bucket(calls: DataFrame, at: str, seconds: int) -> str:
     return f"bigint(floor(({clock}) / {seconds}))"
 
 
+_BEFORE_ALL = "-9223372036854775807L"
+
+
+def _state(carried: Iterable[str], at: str = "anchor_at") -> str:
+    return "struct(" + ", ".join([f"{at} AS anchor_at", *carried]) + ")"
+
+
 def _timeline(
     calls: DataFrame, agent: str, at: str, talk: str, cutoff: int,
-    bucket_seconds: int, carried: Mapping[str, str], combine: str,
+    bucket_seconds: int, carried: Mapping[str, str], combine: str, before: DataFrame | None = None,
 ) -> DataFrame:
     """One row per agent and instant with the anchor as of that instant.
 
     Columns: agent, at, anchor_at and, combined (``sum`` or ``min``) over the
     long calls that start at anchor_at, one column per entry of ``carried``.
+    ``before`` has the same columns but at: the anchor of each agent before the
+    first of the calls, which is carried forward like that of a bucket.
     """
     is_long = f"{talk} > {cutoff}"
     instants = (
@@ -52,14 +61,17 @@ def _timeline(
             *[F.expr(f"{combine}(CASE WHEN {is_long} THEN {x} END) AS {n}") for n, x in carried.items()],
         )
     )
-    state = "struct(" + ", ".join([f"{at} AS anchor_at", *carried]) + ")"
+    state = _state(carried, at)
     local = instants.selectExpr(
         agent, "_bucket", at,
         f"""last(CASE WHEN _has_long THEN {state} END, true) OVER (
             PARTITION BY {agent}, _bucket ORDER BY {at}
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _local""",
     )
-    carry = local.groupBy(agent, "_bucket").agg(F.expr("max(_local) AS _latest")).selectExpr(
+    latest = local.groupBy(agent, "_bucket").agg(F.expr("max(_local) AS _latest"))
+    if before is not None:
+        latest = latest.unionByName(before.selectExpr(agent, f"{_BEFORE_ALL} AS _bucket", f"{_state(carried)} AS _latest"))
+    carry = latest.selectExpr(
         agent, "_bucket",
         f"""last(_latest, true) OVER (
             PARTITION BY {agent} ORDER BY _bucket
@@ -78,11 +90,15 @@ def anchor_times(
     calls: DataFrame, *, key: str = "call_id", agent: str = "employeeid",
     at: str = "call_datetime_est", talk: str = "talk_time_seconds",
     cutoff: int = SHORT_CALL_SECONDS, bucket_seconds: int = 3600,
-    carried: Mapping[str, str] | None = None, combine: str = "sum",
+    carried: Mapping[str, str] | None = None, combine: str = "sum", before: DataFrame | None = None,
 ) -> DataFrame:
-    """(short_call_id, anchor_at, carried...) for short calls with an anchor."""
+    """(short_call_id, anchor_at, carried...) for short calls with an anchor.
+
+    ``before`` (agent, anchor_at, carried...) gives the anchors of agents as of
+    before the calls, one row an agent.
+    """
     carried = dict(carried or {})
-    timeline = _timeline(calls, agent, at, talk, cutoff, bucket_seconds, carried, combine)
+    timeline = _timeline(calls, agent, at, talk, cutoff, bucket_seconds, carried, combine, before)
     # the id hangs on the talk time, so that filters on it stay above the input
     # and do not keep its two readers from sharing a shuffle
     short = calls.selectExpr(
@@ -94,6 +110,44 @@ def anchor_times(
     )
 
 
+def last_of_days(
+    calls: DataFrame, carried: Mapping[str, str], *, agent: str = "employeeid", at: str = "call_datetime_est",
+    talk: str = "talk_time_seconds", cutoff: int = SHORT_CALL_SECONDS,
+) -> DataFrame:
+    """(agent, day, anchor_at, carried...): the last instant of each agent and day at which a long call started.
+
+    ``carried`` names aggregations over the long calls of that instant.
+    """
+    longs = calls.filter(f"{talk} > {cutoff} AND {agent} IS NOT NULL AND {at} IS NOT NULL")
+    instants = longs.groupBy(agent, at).agg(*[F.expr(f"{x} AS {n}") for n, x in carried.items()])
+    days = instants.groupBy(agent, F.expr(f"CAST({at} AS DATE) AS day")).agg(F.expr(f"max({_state(carried, at)}) AS _last"))
+    return days.selectExpr(agent, "day", "_last.*")
+
+
+def anchor_classes(
+    calls: DataFrame, *, key: str = "call_id", agent: str = "employeeid",
+    at: str = "call_datetime_est", talk: str = "talk_time_seconds", cutoff: int = SHORT_CALL_SECONDS, **options,
+) -> DataFrame:
+    """Tied anchors as classes: one row for each short call with an anchor and for each long call that is one.
+
+    A class is an agent and an instant; it is named by its smallest long call. Columns: class, agent, anchor_at,
+    call_id, is_anchor. The pairs of `anchor_calls` are the anchors of a class with its other members.
+    """
+    smallest = {"class": key}
+    short = anchor_times(calls, key=key, agent=agent, at=at, talk=talk, cutoff=cutoff, carried=smallest, combine="min", **options)
+    used = short.select(agent, "anchor_at", "class").distinct()
+    longs = calls.filter(f"{talk} > {cutoff}").selectExpr(agent, f"{at} AS anchor_at", f"{key} AS call_id")
+    return short.selectExpr("class", agent, "anchor_at", "short_call_id AS call_id", "false AS is_anchor").unionByName(
+        longs.join(used, [agent, "anchor_at"]).selectExpr("class", agent, "anchor_at", "call_id", "true AS is_anchor"))
+
+
+def pairs_of_classes(classes: DataFrame) -> DataFrame:
+    """(short_call_id, anchor_call_id) of the classes, as many rows as tied anchors times short calls."""
+    members = classes.filter("NOT is_anchor").selectExpr("class", "call_id AS short_call_id")
+    return members.join(classes.filter("is_anchor").selectExpr("class", "call_id AS anchor_call_id"), "class").select(
+        "short_call_id", "anchor_call_id")
+
+
 def latest_prior_long_call(calls: DataFrame, **columns) -> DataFrame:
     """(short_call_id, anchor_at): when the anchor of each short call started."""
     return anchor_times(calls, **columns).select("short_call_id", "anchor_at")

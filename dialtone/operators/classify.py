@@ -13,6 +13,11 @@ from pyspark.sql import Column, functions as F
 from dialtone import config as fixed
 
 
+# All values of the two attributes that a call's lookups give it.
+CALL_TYPES = (fixed.CALL_TYPE_LEASE, fixed.CALL_TYPE_SITE)
+INTENTS = (*fixed.INTENT_LABELS.values(), fixed.INTENT_NONE)
+
+
 def tenure_bucket(hired: str, called: str) -> str:
     """Days since hire in steps of thirty; unknown or long ago is a veteran."""
     steps = " ".join(

@@ -158,18 +158,26 @@ def day_bounds(df: DataFrame, column: str = "call_date_est") -> DataFrame:
     return df.selectExpr(f"min({day}) AS first_day", f"max({day}) AS last_day")
 
 
-def default_window(df: DataFrame, column: str = "call_date_est") -> DataFrame:
-    """One row: the seven days that end at the last day, within the data."""
-    return day_bounds(df, column).selectExpr(
+def noted_bounds(days: DataFrame, labels: Labels = Labels()) -> DataFrame:
+    """One row: first and last day of the treatment calls, from the notes on a written mart."""
+    return treatment_only(days, labels).agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+
+
+def default_window(df: DataFrame, column: str = "call_date_est", bounds: DataFrame | None = None) -> DataFrame:
+    """One row: the seven days that end at the last day, within the data.
+
+    ``bounds`` (first_day, last_day), where they are known, spare the look at the data.
+    """
+    return (bounds or day_bounds(df, column)).selectExpr(
         "greatest(first_day, date_sub(last_day, 6)) AS window_start", "last_day AS window_end")
 
 
-def default_comparison(df: DataFrame, column: str = "call_date_est") -> DataFrame:
+def default_comparison(df: DataFrame, column: str = "call_date_est", bounds: DataFrame | None = None) -> DataFrame:
     """One row: the last seven days (p2) and the seven days before them (p1).
 
     With too little data for an earlier week, p1 starts at the first day.
     """
-    latest = day_bounds(df, column).selectExpr(
+    latest = (bounds or day_bounds(df, column)).selectExpr(
         "*", "greatest(first_day, date_sub(last_day, 6)) AS p2_start")
     return latest.selectExpr(
         "if(first_day < p2_start, greatest(first_day, date_sub(p2_start, 7)), first_day) AS p1_start",
@@ -179,25 +187,26 @@ def default_comparison(df: DataFrame, column: str = "call_date_est") -> DataFram
     )
 
 
-def in_default_window(df: DataFrame, column: str = "call_date_est") -> DataFrame:
-    """Rows of the default window, found by a scalar subquery in the same job.
+def in_default_window(df: DataFrame, column: str = "call_date_est", bounds: DataFrame | None = None) -> DataFrame:
+    """Rows of the default window, found by scalar subqueries in the same job.
 
-    On a mart partitioned by month the newest month that has days is found from
-    the partition values and gives the last day; the rows are then taken from
-    its month and the one before it, so other months are not read.
+    With ``bounds``, such as the notes on a written mart give, nothing but the months of the window is read. Without
+    them, on a mart partitioned by month, the newest month that has days is found first, in a reading of the columns
+    that ``df`` is filtered by; the rows are then taken from its month and the one before it.
     """
-    day = F.to_date(column)
-    if "call_month" not in df.columns or column != "call_date_est":
-        window = default_window(df, column)
-        return df.filter(
-            day.between(window.select("window_start").scalar(), window.select("window_end").scalar()))
-    newest = df.select(F.max("call_month").alias("m")).select("m").scalar()
-    recent = df.filter(F.col("call_month") == newest)
-    # the first day of the data limits nothing here: no row lies before it
-    last = recent.agg(F.max(day).alias("last_day"))
-    first = last.selectExpr("date_sub(last_day, 6) AS d")
-    months = (F.col("call_month") >= first.select(F.date_format("d", "yyyy-MM")).scalar()) & (F.col("call_month") <= newest)
-    return df.filter(months & day.between(first.select("d").scalar(), last.select("last_day").scalar()))
+    day, by_month = F.to_date(column), "call_month" in df.columns and column == "call_date_est"
+    if bounds is None and by_month:
+        newest = df.select(F.max("call_month").alias("m")).select("m").scalar()
+        # the first day of the data limits nothing here: no row lies before it
+        last = df.filter(F.col("call_month") == newest).agg(F.max(day).alias("last_day"))
+        window = last.selectExpr("date_sub(last_day, 6) AS window_start", "last_day AS window_end")
+    else:
+        window = default_window(df, column, bounds)
+    start, end = (window.select(c).scalar() for c in ("window_start", "window_end"))
+    inside = day.between(start, end)
+    if by_month:
+        inside = inside & F.col("call_month").between(F.date_format(start, "yyyy-MM"), F.date_format(end, "yyyy-MM"))
+    return df.filter(inside)
 
 
 def filter_options(

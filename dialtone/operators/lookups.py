@@ -27,6 +27,27 @@ def counted(table: DataFrame, key: Mapping[str, Column | str], attributes: Mappi
     )
 
 
+def counted_values(table: DataFrame, key: str, attribute: Column, values: Sequence[str], counts: str) -> DataFrame:
+    """(key, counts) of a lookup whose attribute has few ``values``: how many rows of a key have each of them.
+
+    The state of a key is a number for each value, so one shuffle by the key serves the aggregation and the join that
+    follows. A row of another value is an error.
+    """
+    known = table.select(key, attribute.alias("_value")).filter(F.col(key).isNotNull())
+    wrong = F.raise_error(F.concat(F.lit("not a known value: "), F.coalesce("_value", F.lit("NULL")))).cast("int")
+    at = F.coalesce(*[F.when(F.col("_value") == v, F.lit(i)) for i, v in enumerate(values)], wrong)
+    numbers = known.select(key, at.alias("_at")).groupBy(key).agg(
+        *[F.count_if(F.col("_at") == i).alias(f"_n{i}") for i in range(len(values))])
+    return numbers.select(key, F.array(*[F.col(f"_n{i}") for i in range(len(values))]).alias(counts))
+
+
+def unfolded(df: DataFrame, counts: str, values: Sequence[str], attribute: str, copies: str) -> DataFrame:
+    """A row for each value that the counts of a row have, with the value and its number of copies; a row without
+    counts, whose key the lookup does not have, stays one, without both."""
+    each = ", ".join(f"if({counts}[{i}] > 0, struct('{v}' AS {attribute}, {counts}[{i}] AS {copies}), NULL)" for i, v in enumerate(values))
+    return df.selectExpr("*", f"inline_outer(array_compact(array({each})))").drop(counts)
+
+
 def attach(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left lookup. The join strategy is left to the optimizer: it broadcasts a
     lookup whose measured size is below the session's threshold and otherwise

@@ -9,7 +9,7 @@ place of the calls; its measure columns are recognised by their prefix.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,6 +25,16 @@ ROLLUP_KEYS = (
 )
 
 
+# The call-mart column that a measure adds up. A rollup of calls without it has no such measure, so that a report can
+# tell what is unknown from what is zero, as it can from the calls.
+MEASURED = {
+    "contact": "ib_contact_calls", "credit": "credit_calls_flag", "passed": "passed_credit_call_flag",
+    "failed": "failed_credit_call_flag", "passed_sale": "passed_credit_sale_flag",
+    "failed_sale": "failed_credit_sale_flag", "orders": "orders", "inbound_orders": "orders",
+    "top_product": "tpsales_flag", "inbound_top_product": "tpsales_flag",
+}
+
+
 def _when(condition: str, value: str) -> str:
     return f"CASE WHEN {condition} THEN {value} ELSE 0 END"
 
@@ -107,8 +117,17 @@ def _stored(df: DataFrame) -> dict[str, str] | None:
 
 
 def current_measures(df: DataFrame) -> dict[str, str]:
-    """Measures of ``df``, which may hold calls or a rollup of calls."""
-    return _stored(df) or call_measures(df.columns)
+    """Measures of ``df``, which may hold calls or a rollup of calls. One that a rollup does not have is zero."""
+    stored = _stored(df)
+    return {**dict.fromkeys(MEASURED, "0"), **stored} if stored else call_measures(df.columns)
+
+
+def known_measures(columns: Iterable[str]) -> set[str]:
+    """Of the measures that add up one column, those whose column the data has, or had when it was rolled up."""
+    have = set(columns)
+    if PREFIX + "rows" in have:
+        return {n for n in MEASURED if PREFIX + n in have}
+    return {n for n, c in MEASURED.items() if c in have}
 
 
 def _summed(df: DataFrame, keys: Sequence[str], measures: dict[str, str]) -> DataFrame:
@@ -128,5 +147,10 @@ def summarise_lift(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def daily_rollup(calls: DataFrame, keys: Sequence[str] = ROLLUP_KEYS) -> DataFrame:
-    """Calls added up per day and dimension: one scan that all reports can share."""
-    return summarise(calls, *[k for k in keys if k in calls.columns])
+    """Calls added up per day and dimension: one scan that all reports can share.
+
+    It has no measure of a column that the calls do not have.
+    """
+    known = known_measures(calls.columns)
+    measures = {n: x for n, x in current_measures(calls).items() if n not in MEASURED or n in known}
+    return _summed(calls, [k for k in keys if k in calls.columns], measures)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from dialtone.config import COST_PER_MINUTE
 from dialtone.functions.rates import double, safe_rate, safe_ratio
+from dialtone.operators.measures import known_measures
 
 
 class Metric(NamedTuple):
@@ -70,12 +71,12 @@ TREND: Registry = {
     "Calls": _sum("count", "calls"),
 }
 
-# The column that the numerator of a trend percentage is summed from: without it the metric is
+# The measure in the numerator of a trend percentage: where the data lacks the column that it adds up the metric is
 # unknown, while the funnel counts such a column as zero.
 TREND_NUMERATORS = {
-    "Net Conversion": "orders", "Top Product Mix": "tpsales_flag", "Contact Rate": "ib_contact_calls",
-    "Credit Rate": "credit_calls_flag", "Passed Credit Rate": "passed_credit_call_flag",
-    "Passed Credit Conv.": "passed_credit_sale_flag", "Failed Credit Conv.": "failed_credit_sale_flag",
+    "Net Conversion": "inbound_orders", "Top Product Mix": "inbound_top_product", "Contact Rate": "contact",
+    "Credit Rate": "credit", "Passed Credit Rate": "passed", "Passed Credit Conv.": "passed_sale",
+    "Failed Credit Conv.": "failed_sale",
 }
 
 TOTALS: Registry = {
@@ -157,11 +158,9 @@ def chosen(registry: Registry, names: Iterable[str] | None) -> Registry:
 
 
 def trend_of(columns: Iterable[str], registry: Registry) -> Registry:
-    """``registry`` for data of these columns; a rollup holds what its calls had."""
-    have = set(columns)
-    if "m_rows" in have:
-        return registry
-    unknown = {n for n, c in TREND_NUMERATORS.items() if c not in have}
+    """``registry`` for data of these columns, which may be those of a rollup."""
+    known = known_measures(columns)
+    unknown = {n for n, measure in TREND_NUMERATORS.items() if measure not in known}
     return {n: m._replace(value=double("NULL")) if n in unknown else m for n, m in registry.items()}
 
 

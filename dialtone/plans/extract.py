@@ -7,7 +7,6 @@ on four narrow columns and comes back as two counts per short call.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -17,7 +16,7 @@ from dialtone import config as fixed
 from dialtone.config import ExtractConfig
 from dialtone.functions.periods import period_start, weekday_name
 from dialtone.operators import classify, filters, lookups
-from dialtone.operators.anchor import anchor_times
+from dialtone.operators.anchor import anchor_times, last_of_days
 from dialtone.operators.dedup import latest_version, uniqueness_report
 from dialtone.operators.order_rollup import order_rollup, orders_since
 
@@ -55,21 +54,33 @@ def deduplicated_calls(scoped: DataFrame) -> DataFrame:
 
 def registered_calls(src: Sources, cfg: ExtractConfig, lower: date | None = None) -> DataFrame:
     """Distinct calls of the session registry."""
-    recent = filters.since(src.sessions, "session_start_date", lower or cfg.from_date)
+    recent = filters.since(src.sessions, "session_start_date", cfg.related_from or lower or cfg.from_date)
     return recent.select("call_id").filter("call_id is not null").distinct()
 
 
-def anchor_membership(scoped: DataFrame, registered: DataFrame, cfg: ExtractConfig) -> DataFrame:
+ANCHOR_COLUMNS = ("call_id", "call_datetime_est", "employeeid", "talk_time_seconds")
+
+
+def _newest_narrow(scoped: DataFrame) -> DataFrame:
+    """The newest version of each call in the columns of the anchor match. A reading of its own: four columns of the
+    source and their shuffle are less than a second look at the wide rows in the shuffle of the calls."""
+    return latest_version(scoped.select(*ANCHOR_COLUMNS), "call_id", "call_datetime_est", TIE_BREAK)
+
+
+def anchor_membership(
+    newest: DataFrame, registered: DataFrame, cfg: ExtractConfig, before: DataFrame | None = None
+) -> DataFrame:
     """Per short call with an anchor: how many of the anchor's calls are
-    registered and how many are not."""
-    narrow = scoped.select("call_id", "call_datetime_est", "employeeid", "talk_time_seconds")
-    newest = latest_version(narrow, "call_id", "call_datetime_est", TIE_BREAK)
+    registered and how many are not.
+
+    ``before`` holds the last long call of each agent before the calls, as `membership_state` describes it.
+    """
     flagged = lookups.member_flag(newest, registered, "call_id", "registered")
     if cfg.anchor_ties == "one":
         # the tied call of the smallest id, and whether it is registered
         return anchor_times(
             flagged, bucket_seconds=cfg.anchor_bucket_seconds, combine="min",
-            carried={"smallest": "struct(call_id, registered)"},
+            carried={"smallest": "struct(call_id, registered)"}, before=before,
         ).selectExpr(
             "short_call_id AS call_id", "int(smallest.registered) AS registered_anchors",
             "int(NOT smallest.registered) AS other_anchors")
@@ -80,55 +91,60 @@ def anchor_membership(scoped: DataFrame, registered: DataFrame, cfg: ExtractConf
             "registered_anchors": "int(registered)",
             "other_anchors": "int(NOT registered)",
         },
+        before=before,
     ).selectExpr("short_call_id AS call_id", "registered_anchors", "other_anchors")
 
 
+def membership_state(newest: DataFrame, registered: DataFrame, cfg: ExtractConfig) -> DataFrame:
+    """(employeeid, day, anchor_at, registered_anchors, other_anchors, smallest): of each agent and day the last
+    instant of a long call, how many of the long calls there are registered, and the one of the smallest id."""
+    flagged = lookups.member_flag(newest.select(*ANCHOR_COLUMNS), registered, "call_id", "registered")
+    return last_of_days(flagged, {
+        "registered_anchors": "sum(int(registered))", "other_anchors": "sum(int(NOT registered))",
+        "smallest": "min(struct(call_id, registered))",
+    })
+
+
 def call_mart(
-    src: Sources, cfg: ExtractConfig, stage: Callable[[DataFrame], DataFrame] | None = None
+    src: Sources, cfg: ExtractConfig, calls: DataFrame | None = None, carried: DataFrame | None = None
 ) -> DataFrame:
     """The call mart in no particular order.
 
-    ``stage`` may write the scoped call versions to shared storage and read them
-    back, when reading the source twice costs more than that.
+    ``calls`` may hold the newest versions of the calls, written to shared
+    storage, when reading the source twice costs more than that. ``carried`` is
+    the state of each agent as of ``from_date``, in place of a look at older facts.
     """
-    scoped = scoped_calls(src, cfg)
-    if stage is not None:
-        scoped = stage(scoped)
-    registered = registered_calls(src, cfg)
-    labels = cfg.labels
-
-    calls = lookups.member_flag(deduplicated_calls(scoped), registered, "call_id", "registered")
-    if cfg.anchor_from is None:
-        anchors = anchor_membership(scoped, registered, cfg)
-    else:
+    scoped, registered, labels = scoped_calls(src, cfg), registered_calls(src, cfg), cfg.labels
+    newest = deduplicated_calls(scoped) if calls is None else calls
+    narrow = _newest_narrow(scoped) if calls is None else calls.select(*ANCHOR_COLUMNS)
+    if carried is None and cfg.anchor_from is not None:
         lower = min(cfg.anchor_from, cfg.from_date)
-        anchors = anchor_membership(scoped_calls(src, cfg, lower), registered_calls(src, cfg, lower), cfg)
+        anchors = anchor_membership(_newest_narrow(scoped_calls(src, cfg, lower)), registered_calls(src, cfg, lower), cfg)
+    else:
+        anchors = anchor_membership(narrow, registered, cfg, carried)
+    calls = lookups.member_flag(newest, registered, "call_id", "registered")
     calls = lookups.attach(calls, anchors, "call_id")
     # order lines of calls out of scope find no call here, so they need no
     # semi-join of their own, which would read and shuffle the calls once more
     calls = lookups.attach(
         calls,
-        order_rollup(orders_since(src.orders, cfg.from_date, cfg.order_time_zone), cfg.prepaid_product),
+        order_rollup(orders_since(src.orders, cfg.related_from or cfg.from_date, cfg.order_time_zone), cfg.prepaid_product),
         "call_id",
     )
     calls = lookups.attach(
         calls,
-        lookups.counted(
-            src.calls,
-            {"call_id": "call_id"},
-            {"call_type": classify.call_type(
-                "permalease_call_ind", "remote_number_call", cfg.non_lease_numbers)},
-            "call_copies",
+        lookups.counted_values(
+            src.calls, "call_id",
+            classify.call_type("permalease_call_ind", "remote_number_call", cfg.non_lease_numbers),
+            classify.CALL_TYPES, "call_types",
         ),
         "call_id",
     )
     calls = lookups.attach(
         calls,
-        lookups.counted(
-            src.intents,
-            {"call_id": "call_id"},
-            {"moverSwitcher": F.expr(classify.mover_switcher("movingSwitchingExtracted"))},
-            "intent_copies",
+        lookups.counted_values(
+            src.intents, "call_id", F.expr(classify.mover_switcher("movingSwitchingExtracted")),
+            classify.INTENTS, "intents",
         ),
         "call_id",
     )
@@ -161,6 +177,8 @@ def call_mart(
         "inline(array(struct(true AS treated, treatment_copies AS copies),"
         " struct(false AS treated, control_copies AS copies)))",
     ).filter("copies > 0")
+    calls = lookups.unfolded(calls, "call_types", classify.CALL_TYPES, "call_type", "call_copies")
+    calls = lookups.unfolded(calls, "intents", classify.INTENTS, "moverSwitcher", "intent_copies")
     lookup_copies = [f"coalesce({c}, 1)" for c in ("call_copies", "intent_copies", "agent_copies", "bucket_copies")]
     calls = lookups.repeat_rows(calls, " * ".join(["copies", *lookup_copies]))
 

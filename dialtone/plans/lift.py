@@ -50,7 +50,7 @@ def weekly_scope(
 ) -> DataFrame:
     """Post rows in the window and all weekly baselines, as selected.
 
-    Adds ``week_key``, the post week a row counts for. The baselines of weeks
+    ``week_key``, which a table has and which is added otherwise, is the post week a row counts for. The baselines of weeks
     without post rows count nowhere. Where a window leaves weeks out, they are
     dropped before the aggregation, as baselines repeat for every post week and
     are most of the facts; without one they drop out when the cells of a week
@@ -61,9 +61,11 @@ def weekly_scope(
     if window is not None:
         rows = rows.filter(~is_post | filters.day_within(
             rows, "call_datetime_est", window.post_from, window.post_to))
-    rows = rows.withColumn("week_key", F.when(is_post, F.col("week")).otherwise(F.col("post_week")))
+    if "week_key" not in rows.columns:
+        rows = rows.withColumn("week_key", F.when(is_post, F.col("week")).otherwise(F.col("post_week")))
     if window is not None and (window.post_from is not None or window.post_to is not None):
-        active = active_weeks(lift, window.post_from, window.post_to)
+        # one row per week of the calendar: sent to all tasks, where the weeks also say which folders of a table to read
+        active = F.broadcast(active_weeks(lift, window.post_from, window.post_to))
         rows = rows.join(active.select(F.col("week").alias("week_key")), "week_key", "left_semi").select(*rows.columns)
     rows = filters.without_value(rows, "week_key", window.excluded_week if window else None)
     return filters.assigned(filters.apply_lift_filters(rows, selected))

@@ -17,6 +17,7 @@ from dialtone.functions.rates import pct_change, total
 from dialtone.operators import metrics as m
 from dialtone.operators.filters import CALL_GROUPS
 from dialtone.operators.measures import PREFIX, current_measures, summarise
+from dialtone.sources.storage import staged
 
 DAY = "call_date_est"
 OVERALL = "Overall"
@@ -51,12 +52,15 @@ def funnel_table(
 ) -> DataFrame:
     """Metrics as rows and periods as columns named by their first day.
 
-    Without ``periods`` Spark finds them in the data first, which reads it one
-    more time. ``shown`` fills the cells with display texts.
+    Without ``periods`` the metrics of all periods are written to the shared
+    folder first, and the columns are found there: the calls are read once.
+    ``shown`` fills the cells with display texts.
     """
     cell = formats.display("value", "kind") if shown else "value"
     rows = m.long(_by_period(calls, granularity), m.FUNNEL, "period").selectExpr(
         "position", "metric", "date_format(period, 'yyyy-MM-dd') AS period", f"{cell} AS cell")
+    if periods is None:
+        rows = staged(rows, "funnel")  # a row per metric and period
     columns = None if periods is None else [p.isoformat() for p in periods]
     return rows.groupBy("position", "metric").pivot("period", columns).agg(F.expr("first(cell)")).orderBy("position")
 

@@ -10,14 +10,19 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from checks import adapter
+from checks.session import test_folder
 from dialtone.config import ExtractConfig
-from dialtone.operators.anchor import anchor_calls, latest_prior_long_call
+from dialtone.operators import lookups
+from dialtone.operators.anchor import anchor_calls, anchor_classes, latest_prior_long_call, pairs_of_classes
 from dialtone.operators.dedup import latest_version
 from dialtone.operators.lookups import repeat_rows
 from dialtone.operators.order_rollup import order_rollup, orders_since
 from dialtone.plans import extract
 from dialtone.schemas import AGENT_CALLS, CALL_MART, ORDERS
-from tests.helpers import by, rows_of, sources
+from dialtone.sources import anchor_state
+from dialtone.sources.storage import staged
+from tests.helpers import by, plan_text, rows_of, sources
 
 CFG = ExtractConfig(from_date=date(2024, 1, 1), excluded_agents=("Boss",), excluded_centers=("Closed",),
                     non_lease_numbers=("555",))
@@ -180,10 +185,10 @@ def test_repeat_rows_over_several_blocks(spark):
 
 
 def test_stage_is_used_and_changes_nothing(spark):
-    from dialtone.sources.storage import staged
     src = sources(spark, agent_calls=[call(1), call(2, 5, talk=3)], sessions=[
         {"call_id": 1, "session_start_date": date(2024, 1, 10)}])
-    plain, via = extract.call_mart(src, CFG), extract.call_mart(src, CFG, stage=staged)
+    newest = extract.deduplicated_calls(extract.scoped_calls(src, CFG))
+    plain, via = extract.call_mart(src, CFG), extract.call_mart(src, CFG, calls=staged(newest))
     assert sorted(plain.collect()) == sorted(via.collect())
 
 
@@ -220,3 +225,96 @@ def test_anchor_of_one_agent_with_most_calls_equals_join(spark):
     ).groupBy("s.call_id").agg(F.max("l.call_datetime_est"))
     windowed = latest_prior_long_call(df)
     assert joined.exceptAll(windowed).count() == 0 and windowed.exceptAll(joined).count() == 0
+
+
+# --- state between refreshes, classes, one-shuffle lookups -----------------------
+
+def _anchored(spark, sf_dir, **changes):
+    src = adapter.extract_sources(spark, sf_dir, fan_out=True)
+    cfg = replace(adapter.EXTRACT, **changes)
+    return src, cfg
+
+
+def test_state_carries_anchors_over_a_seam(spark, sf_dir):
+    """The second run finds what one run over all days finds, without a look at a fact before its first day."""
+    seam = date(2024, 1, 16)
+    for ties in ("all", "one"):
+        src, cfg = _anchored(spark, sf_dir, anchor_ties=ties, related_from=adapter.EXTRACT.from_date)
+        registered = extract.registered_calls(src, cfg)
+        newest = extract.deduplicated_calls(extract.scoped_calls(src, cfg))
+        state = extract.membership_state(newest, registered, cfg)
+        whole = extract.anchor_membership(newest.select(*extract.ANCHOR_COLUMNS), registered, cfg)
+        day = F.to_date("call_datetime_est")
+        late = newest.filter(day >= F.lit(seam)).select(*extract.ANCHOR_COLUMNS)
+        before = state.filter(F.col("day") < F.lit(seam)).groupBy("employeeid").agg(
+            F.expr("max(struct(anchor_at, registered_anchors, other_anchors, smallest)) AS last")).select("employeeid", "last.*")
+        carried = extract.anchor_membership(late, registered, cfg, before)
+        alone = extract.anchor_membership(late, registered, cfg)
+        wanted = whole.join(late.select("call_id"), "call_id", "left_semi")
+        assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, wanted.collect()))
+        assert carried.count() > alone.count()
+
+
+def test_refresh_with_state_reads_no_older_fact(spark, sf_dir, tmp_path):
+    test_folder(spark, "x")
+    src, seam, path = adapter.extract_sources(spark, sf_dir), date(2024, 1, 16), str(tmp_path / "state")
+    src.agent_calls.write.parquet(str(tmp_path / "calls"))
+    src = replace(src, agent_calls=spark.read.parquet(str(tmp_path / "calls")))
+    cfg = replace(adapter.EXTRACT, related_from=adapter.EXTRACT.from_date)
+    assert anchor_state.carried_into(spark, path, seam) is None
+    days = extract.membership_state(extract.deduplicated_calls(extract.scoped_calls(src, cfg)), extract.registered_calls(src, cfg), cfg)
+    anchor_state.write_state(days, path, cfg.from_date)
+    stored = sorted(map(repr, anchor_state.read_state(spark, path).collect()))
+    anchor_state.write_state(days.filter(f"day >= DATE '{seam}'"), path, seam)  # keeps the days before the seam
+    assert sorted(map(repr, anchor_state.read_state(spark, path).collect())) == stored
+    carried = anchor_state.carried_into(spark, path, seam)
+    plan = plan_text(extract.call_mart(src, replace(cfg, from_date=seam), carried=carried))
+    scans = [s.split("ReadSchema")[0] for s in plan.split("FileScan parquet")[1:] if "talk_time_seconds" in s.split("Batched")[0]]
+    assert scans and all("GreaterThanOrEqual(call_datetime_est,2024-01-16T00:00)" in s for s in scans)
+    assert "PartitionFilters: [isnotnull(call_month" in plan  # of the state
+
+
+def test_staged_calls_are_read_from_the_source_once(spark, sf_dir, tmp_path):
+    test_folder(spark, "x")
+    src = adapter.extract_sources(spark, sf_dir)
+    src.agent_calls.write.parquet(str(tmp_path / "facts"))
+    src = replace(src, agent_calls=spark.read.parquet(str(tmp_path / "facts")))
+    newest = extract.deduplicated_calls(extract.scoped_calls(src, adapter.EXTRACT))
+    assert plan_text(newest).count("FileScan parquet") == 1
+    df = extract.call_mart(src, adapter.EXTRACT, calls=staged(newest, "newest"))
+    assert f"{tmp_path}/facts" not in plan_text(df)
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, extract.call_mart(src, adapter.EXTRACT).collect()))
+
+
+def test_classes_hold_no_pairs(spark, sf_dir):
+    src, cfg = _anchored(spark, sf_dir)
+    newest = extract.deduplicated_calls(extract.scoped_calls(src, cfg))
+    classes = anchor_classes(newest)
+    pairs = sorted(map(tuple, anchor_calls(newest).collect()))
+    assert sorted(map(tuple, pairs_of_classes(classes).collect())) == pairs
+    rows = classes.collect()
+    assert len(rows) == len({p[0] for p in pairs}) + len({p[1] for p in pairs}) < len(pairs) + len({p[1] for p in pairs})
+    assert len({(r.call_id, r.is_anchor) for r in rows}) == len(rows)
+
+
+def test_counted_values(spark):
+    table = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "b"), (None, "a")], "k INT, v STRING")
+    counted = lookups.counted_values(table, "k", F.col("v"), ("a", "b"), "counts")
+    calls = spark.createDataFrame([(1,), (2,), (3,)], "k INT")
+    out = lookups.unfolded(lookups.attach(calls, counted, "k"), "counts", ("a", "b"), "v", "n")
+    assert sorted(map(tuple, out.collect()), key=repr) == [(1, "a", 2), (1, "b", 1), (2, "b", 1), (3, None, None)]
+    for odd in ("c", None):
+        with pytest.raises(Exception, match="not a known value"):
+            lookups.counted_values(spark.createDataFrame([(1, odd)], "k INT, v STRING"), "k", F.col("v"), ("a", "b"), "counts").collect()
+
+
+def test_a_lookup_of_few_values_is_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        table = spark.range(100).selectExpr("id % 40 AS k", "if(id % 3 = 0, 'a', 'b') AS v")
+        calls = spark.range(50).selectExpr("id AS k", "id AS x")
+        once = lookups.attach(calls, lookups.counted_values(table, "k", F.col("v"), ("a", "b"), "counts"), "k")
+        twice = lookups.attach(calls, lookups.counted(table, {"k": "k"}, {"v": "v"}, "n"), "k")
+        assert plan_text(once).count("Exchange") == 2 and plan_text(twice).count("Exchange") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -234,3 +234,28 @@ def test_groups_add_up_to_overall(spark, sf_dir):
     for period in {r.period for r in rows}:
         of = [r for r in rows if r.period == period]
         assert sum(r.value for r in of if not r.is_overall) == sum(r.value for r in of if r.is_overall) > 0
+
+
+def test_rollup_knows_which_columns_its_calls_had(spark):
+    df = calls(spark, dict(ib_contact_calls=1, orders=2, total_revenue=10), dict(ib_contact_calls=0, orders=0))
+    for absent, unknown in (("ib_contact_calls", {"Contact Rate"}), ("orders", {"Net Conversion", "Top Product Mix", "Rev / Order"}),
+                            ("credit_calls_flag", {"Credit Rate", "Passed Credit Rate"})):
+        less = df.drop(absent)
+        rollup = daily_rollup(less)
+        again = daily_rollup(rollup)
+        for source in (less, rollup, again):
+            values = {r.metric: r.value for r in overview.trend(source).collect()}
+            assert unknown <= {m for m, v in values.items() if v is None}, (absent, source.columns)
+        assert overview.funnel(rollup).collect() == overview.funnel(less).collect()
+        assert overview.kpi_totals(again).collect() == overview.kpi_totals(less).collect()
+    kept = {r.metric: r.value for r in overview.trend(daily_rollup(df)).collect()}
+    assert kept["Contact Rate"] == 0.5 and kept["Net Conversion"] == 1.0
+
+
+def test_found_periods_need_one_reading_of_the_calls(spark, tmp_path):
+    from checks.session import test_folder
+    test_folder(spark, "x")
+    calls(spark, dict(), dict(call_date_est=date(2024, 1, 9))).write.parquet(str(tmp_path / "calls"))
+    table = overview.funnel_table(spark.read.parquet(str(tmp_path / "calls")), "Weekly")
+    assert table.columns == ["position", "metric", "2024-01-01", "2024-01-08"]
+    assert f"{tmp_path}/calls" not in table._jdf.queryExecution().executedPlan().toString()
