@@ -10,13 +10,14 @@ Defined results: a null text is an empty one; an empty text is scored by the bia
 start at zero. Without usable labels of both kinds the network is untrained and every score is the share of
 label 1 (0.5 without any label). Repeated label rows of a document count once, with the smallest label. Rows
 that repeat an id are each scored. Other columns of the input are ignored. Training reads at most
-`TrainingBounds.rows` labelled rows of each kind, of at most `TrainingBounds.text_bytes` bytes each; scoring
-has no bound.
+`TrainingBounds.rows` labelled rows of each kind, whatever their length: a text that is longer than
+`TrainingBounds.chunks` chunks gives so many of them, drawn from equal stretches of the whole text. Scoring reads
+whole texts and has no bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,10 @@ CHUNK, LAGS = 1024, range(1, 25)
 
 @dataclass(frozen=True)
 class TrainingBounds:
-    """What training may read: rows of each label, and bytes of a text (longer ones are not trained on)."""
+    """What training may read: rows of each label, and chunks of a text."""
 
     rows: int = 700
-    text_bytes: int = 6_000
+    chunks: int = 16
     epochs: int = 12
     seed: int = 7
 
@@ -110,7 +111,21 @@ def untrained(share: float) -> Network:
                    np.zeros(1, np.float32), float(np.log(share / (1 - share))))
 
 
-def train(texts: list[bytes], labels: list[int], bounds: TrainingBounds, width: int = 4, taps: int = 6, filters: int = 12) -> Network:
+def pieces_of(data: Column, chunks: int, seed: int, doc_id: Column) -> Column:
+    """A text as one piece, or the chunks drawn from it: one at random from each of `chunks` stretches."""
+    spare = F.octet_length(data) - F.lit(CHUNK)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda i: F.substring(
+        data, F.floor((i + F.pmod(F.xxhash64(F.lit(seed), doc_id, i), F.lit(1 << 20)) / (1 << 20)) * spare / chunks).cast("int") + 1, F.lit(CHUNK)))
+    return F.when(spare <= (chunks - 1) * CHUNK, F.array(data)).otherwise(drawn)
+
+
+def prepared_of(pieces: Sequence[bytes], taps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks of all pieces of a text."""
+    parts = [chunks_of(p, taps) for p in pieces]
+    return np.concatenate([rows for rows, _ in parts]), np.concatenate([plane for _, plane in parts])
+
+
+def train(texts: Sequence[Sequence[bytes]], labels: list[int], bounds: TrainingBounds, width: int = 4, taps: int = 6, filters: int = 12) -> Network:
     """Adam on the logistic loss, one document at a time; the gradient runs through each filter's best place."""
     rng = np.random.default_rng(bounds.seed)
     if len(set(labels)) < 2:
@@ -121,7 +136,7 @@ def train(texts: list[bytes], labels: list[int], bounds: TrainingBounds, width:
     }
     params = {k: v.astype(np.float32) for k, v in params.items()}
     first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    prepared = [chunks_of(t, taps) for t in texts]
+    prepared = [prepared_of(t, taps) for t in texts]
     step = 0
     for epoch in range(bounds.epochs):
         rate = 0.01 * (1 - epoch / bounds.epochs) + 0.0005
@@ -178,11 +193,12 @@ def fit(documents: DataFrame, labels: DataFrame, bounds: TrainingBounds = Traini
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows pairs of numbers
     text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     rows = (
-        documents.select("doc_id", text.alias("_bytes")).where(F.octet_length("_bytes") <= bounds.text_bytes)
-        .join(sample, "doc_id").groupBy("doc_id").agg(F.min("_label").alias("_label"), F.min("_bytes").alias("_bytes"))
-        .orderBy("doc_id").collect()
+        documents.select("doc_id", text.alias("_bytes")).join(sample, "doc_id")
+        .select("doc_id", "_label", pieces_of(F.col("_bytes"), bounds.chunks, bounds.seed, F.col("doc_id")).alias("_pieces"))
+        .groupBy("doc_id").agg(F.min("_label").alias("_label"), F.min("_pieces").alias("_pieces"))
+        .orderBy("doc_id").collect()  # 2 * rows texts of at most `chunks` chunks
     )
-    return train([bytes(r["_bytes"]) for r in rows], [r["_label"] for r in rows], bounds)
+    return train([[bytes(p) for p in r["_pieces"]] for r in rows], [r["_label"] for r in rows], bounds)
 
 
 def score(documents: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:

@@ -246,13 +246,78 @@ def test_quality_of_awkward_rows(spark):
     assert {r.score for r in quality_network.score(docs, none).collect()} == {0.5}
 
 
-def test_no_window_is_lost_between_chunks():
-    rng = np.random.default_rng(0)
-    net = quality_network.Network(rng.normal(size=(256, 3)).astype("f4"), rng.normal(size=(6, 4, 5)).astype("f4"), np.zeros(5, "f4"), np.ones(5, "f4"), 0.0)
-    data = bytes(rng.integers(32, 127, 5000, dtype=np.uint8))
-    inputs = np.concatenate([net.embedding[np.frombuffer(data, np.uint8)], quality_network.repeats(np.frombuffer(data, np.uint8))[:, None]], axis=1)
-    whole = np.stack([np.tensordot(inputs[i : i + 6], net.filters, ([0, 1], [0, 1])) for i in range(len(data) - 5)]).max(axis=0)
-    assert (quality_network.pooled(net, data) >= np.maximum(whole, 0) - 1e-3).all()
+def every_window(net, data):
+    """The text as chunks see it, filled up with zero bytes to whole chunks, and all of its windows."""
+    step = quality_network.CHUNK - net.taps
+    padded = np.zeros(max(1, -(-max(0, len(data) - net.taps) // step)) * step + net.taps, np.uint8)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    plane = np.zeros(len(padded))
+    plane[: len(data)] = quality_network.repeats(padded[: len(data)])
+    inputs = np.concatenate([net.embedding[padded], plane[:, None]], axis=1).astype(np.float64)
+    return padded, plane, np.stack([np.tensordot(inputs[i : i + net.taps], net.filters, ([0, 1], [0, 1])) for i in range(len(padded) - net.taps + 1)])
+
+
+def random_network(seed):
+    rng = np.random.default_rng(seed)
+    return quality_network.Network(rng.normal(size=(256, 3)).astype("f4"), rng.normal(size=(6, 4, 5)).astype("f4"),
+                                   rng.normal(size=5).astype("f4"), rng.normal(size=5).astype("f4"), 0.25)
+
+
+@pytest.mark.parametrize("size", [1, 5, 6, 1018, 1024, 1025, 5000])
+def test_pooled_responses_equal_brute_force(size):
+    rng = np.random.default_rng(size)
+    net, data = random_network(size), bytes(rng.integers(97, 100, size, dtype=np.uint8))
+    _, _, whole = every_window(net, data)
+    want = np.maximum(whole.max(axis=0) + net.offsets, 0)
+    assert quality_network.pooled(net, data) == pytest.approx(want, abs=1e-4)
+    z = want @ net.weights + net.bias
+    assert quality_network.probability(net, data) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    assert not quality_network.pooled(net, b"").any()
+
+
+def test_a_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    net, data, label = random_network(11), bytes(rng.integers(97, 104, 2500, dtype=np.uint8)), 0
+    names = ("embedding", "filters", "offsets", "weights")
+    grads = {n: np.zeros_like(getattr(net, n)) for n in names} | {"bias": np.zeros(1, np.float32)}
+    quality_network._gradient(net, quality_network.prepared_of([data], net.taps), label, grads)
+
+    def loss(net):
+        _, _, whole = every_window(net, data)
+        z = np.maximum(whole.max(axis=0) + net.offsets, 0) @ net.weights.astype(np.float64) + net.bias
+        return math.log1p(math.exp(z)) - label * z
+
+    for name in names:
+        value = getattr(net, name)
+        flat = np.argsort(-np.abs(grads[name]).ravel())[:6]
+        for at in [*flat.tolist(), *rng.integers(0, value.size, 4).tolist()]:
+            ends = []
+            for shift in (1e-3, -1e-3):
+                moved = value.astype(np.float64).ravel().copy()
+                moved[at] += shift
+                ends.append(loss(quality_network.Network(**{**vars(net), name: moved.reshape(value.shape)})))
+            assert grads[name].ravel()[at] == pytest.approx((ends[0] - ends[1]) / 2e-3, rel=2e-2, abs=2e-3), (name, at)
+
+
+def test_long_texts_are_learned_from(spark):
+    from pyspark.sql import functions as F
+
+    good, bad = "the sun shone on the hill and the cat ran home again ", "buy buy now now zzz qqq 777 "
+    rows = [(i, (good if i % 2 else bad) * (800 + i)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    bounds = quality_network.TrainingBounds(rows=20, epochs=20)
+    net = quality_network.fit(docs, labels, bounds)
+    scores = {r.doc_id: r.score for r in quality_network.score(docs, net).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2) + 0.3
+    # the pieces come from all over the text; a short text is one whole piece
+    text = "".join(f"{i:07d} " for i in range(5000))
+    piece = quality_network.pieces_of(F.encode(F.lit(text), "utf-8"), 16, 7, F.lit(5))
+    pieces = [bytes(p).decode() for p in spark.range(1).select(piece.alias("p")).first()["p"]]
+    places = [text.index(p) for p in pieces]
+    assert len(pieces) == 16 and all(len(p) == 1024 for p in pieces) and all(i <= at * 16 / (40_000 - 1024) <= i + 1 for i, at in enumerate(places))
+    short = spark.range(1).select(quality_network.pieces_of(F.encode(F.lit("é" * 8000), "utf-8"), 16, 7, F.lit(5)).alias("p")).first()["p"]
+    assert [bytes(p).decode() for p in short] == ["é" * 8000]
 
 
 # Language model
