@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from dialtone.llm.workspace import shared_folder
+from dialtone.llm.workspace import new_folder
 
 # The base kinds in their order, then further ones. `length_of` is the group whose length counts.
 
@@ -117,9 +117,7 @@ class BlobLedger:
 
 
 def new_ledger(spark: SparkSession) -> BlobLedger:
-    import uuid
-
-    return BlobLedger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    return BlobLedger(spark, new_folder(spark, "ledger"))
 
 
 def findings_of_paths(versions: DataFrame, ledger: BlobLedger, path: str = "doc_id", content: str = "text",

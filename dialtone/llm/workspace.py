@@ -12,20 +12,34 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []  # the folder of a session on one machine that names none
+_made: list[str] = []  # folders that were made and not deleted yet
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of this process only where none is named, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``. A cluster has to name one; a session in one process that names
+    none, as in tests, has a temporary one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="dialtone-llm-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder for intermediate tables")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="dialtone-llm-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet; `clear` deletes what is put there."""
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: what follows starts from files that outlive executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.staged_at = path
@@ -35,9 +49,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more: what was made of them is in files itself."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table.staged_at)
+
+
+def clear(spark: SparkSession, keep: int = 0) -> None:
+    """Delete all folders that were made, but for the first `keep` of them: when the results that read them are
+    written elsewhere."""
+    for path in _made[keep:]:
+        delete(spark, path)
+
+
+def made() -> int:
+    """How many folders there are now."""
+    return len(_made)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _made:
+        _made.remove(path)
 
 
 @contextmanager

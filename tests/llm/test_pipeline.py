@@ -75,12 +75,79 @@ def test_mix_takes_its_words(spark, stages):
     assert all(whole[r.doc_id].startswith(r.text) for r in after)
 
 
+# Names that the stages and their operators use for columns of their own.
+USED = (
+    "key hash first n more rest copy row position words size source_size take cut cuts blob stretch opens kind start end doc component_id quality _quality "
+    "_words _key _text _blob _row _own _of _position _cuts _take _kept _id n_shingles spans digest file at begin part kind_at path content order bucket target"
+).split()
+
+
 def test_stages_on_awkward_rows(spark, sf_dir):
     for rows in (cases.ROWS, []):
         docs = cases.documents(spark, rows)
-        for name, stage in corpus_pipeline.STAGES[1:]:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf_dir)
-            assert len(out.collect()) >= (len(rows) // 2 if rows and name != "mixing" else 0)
+            assert len(out.collect()) >= (len(rows) // 2 if rows and name not in ("quality", "mixing") else 0)
+
+
+def test_stages_carry_columns_of_any_name(spark, sf_dir):
+    plain = cases.documents(spark, extra=False).withColumn("n_chars", F.length("text").cast("long"))
+    clashing = plain.withColumns({name: F.lit(f"own {name}") for name in USED})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, sf_dir)
+        assert out.columns == clashing.columns
+        rows = out.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in USED)
+        want = stage(spark, plain, sf_dir).collect()
+        assert Counter((r.doc_id, r.text, r.source, r.n_chars) for r in rows) == Counter(map(tuple, [(r.doc_id, r.text, r.source, r.n_chars) for r in want]))
+
+
+def test_repeated_rows_leave_the_same_one(spark, sf_dir):
+    rows = [(1, cases.BASE, s) for s in "abcdef"] + [(2, cases.NEAR, "z")]
+    kept = [corpus_pipeline.near_copies(spark, cases.documents(spark, order, extra=False).repartition(n), sf_dir).collect()
+            for order, n in ((rows, 1), (rows[::-1], 5))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
+def test_training_order_reaches_the_last_table(spark, stages, tmp_path):
+    before, after, columns = stages["encoding"]
+    assert columns[:3] == ["doc_id", "source", "position"] and sorted(r.position for r in after) == list(range(len(after)))
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 AS doc_id", "'s' AS source", "string(id) AS text").repartition(9)
+    rows.orderBy("doc_id").write.parquet(str(tmp_path / "sorted"))
+    back = corpus_pipeline.in_file_order(spark.read.parquet(str(tmp_path / "sorted")))
+    assert all(r.position == r.doc_id for r in back.collect())
+    made = corpus_pipeline.in_file_order(rows.select("doc_id", "source", "text"))
+    assert len({r.position for r in made.collect()}) == 1000
+    # in the run itself: positions rise as the mix put the passes
+    mixed = [r.doc_id for r in before]
+    assert [r.doc_id for r in sorted(after, key=lambda r: r.position)] == mixed
+
+
+def test_a_run_leaves_its_result_alone(spark, sf_dir, tmp_path, monkeypatch):
+    from dialtone.llm import workspace
+
+    monkeypatch.setattr(workspace, "shared_folder", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert [f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()] == ["pipeline-encoding"] and out.count() > 0
+    workspace.staged(spark.range(3), "x")
+    workspace.clear(spark)
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_a_cluster_has_to_name_a_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from dialtone.llm import workspace
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    other = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.shared_folder(other)
+    other.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        workspace.shared_folder(other)
+    other.sparkContext.master = "local[2]"
+    assert workspace.shared_folder(other)
 
 
 def test_mix_takes_rows_without_an_id_once_a_pass(spark, sf_dir):
