@@ -9,7 +9,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from dialtone.sources.storage import new_folder
+from dialtone.sources.storage import named_folder, new_folder
 
 
 def local_session(name: str, cpus: str | None = None) -> SparkSession:
@@ -31,10 +31,10 @@ def local_session(name: str, cpus: str | None = None) -> SparkSession:
 def test_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a query that writes; where the session names no shared folder, as on one machine, a
     temporary one becomes it."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not named_folder(spark):
         folder = tempfile.mkdtemp(prefix="dialtone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", folder)  # no setting of a running session
     return new_folder(spark, name)
 
 

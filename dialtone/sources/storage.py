@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _named_folder(spark: SparkSession) -> str | None:
+def named_folder(spark: SparkSession) -> str | None:
+    """What ``spark.checkpoint.dir`` names, if anything."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     There is no other choice that every executor can be sure to reach, so a
     session that names none is an error.
     """
-    named = _named_folder(spark)
+    named = named_folder(spark)
     if not named:
         raise ValueError("spark.checkpoint.dir names no folder for intermediate tables")
     return named.rstrip("/")

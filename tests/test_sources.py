@@ -136,13 +136,13 @@ def test_cached_load_expires(spark):
 
 def test_shared_folder_is_the_configured_one(spark):
     test_folder(spark, "x")  # names a shared folder if the session has none
-    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert storage.shared_folder(spark) == storage.named_folder(spark).rstrip("/")
     assert storage.new_folder(spark, "x") != storage.new_folder(spark, "x")
     assert sorted(r.id for r in storage.staged(spark.range(3)).collect()) == [0, 1, 2]
 
 
 def test_shared_folder_without_a_name(spark, monkeypatch):
-    monkeypatch.setattr(storage, "_named_folder", lambda _: None)
+    monkeypatch.setattr(storage, "named_folder", lambda _: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.staged(spark.range(2))
 
