@@ -52,11 +52,12 @@ def release(*tables: DataFrame) -> None:
         delete(table.sparkSession, table.staged_at)
 
 
-def clear(spark: SparkSession, keep: int = 0) -> None:
-    """Delete all folders that were made, but for the first `keep` of them: when the results that read them are
-    written elsewhere."""
+def clear(spark: SparkSession, keep: int = 0, but: DataFrame | None = None) -> None:
+    """Delete all folders that were made, but for the first `keep` of them and that of `but`: when the results that
+    read them are written elsewhere."""
     for path in _made[keep:]:
-        delete(spark, path)
+        if but is None or path != but.staged_at:
+            delete(spark, path)
 
 
 def made() -> int:
@@ -83,3 +84,15 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written inside are deleted at the end of each write."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

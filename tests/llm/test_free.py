@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 from dialtone.llm import (
-    components, jaccard_join, license_scans, piece_encoding, piece_model, pitman_yor, pivot_search, quality_network, token_counts,
+    components, jaccard_join, license_scans, piece_encoding, piece_model, pivot_search, quality_network, token_counts,
 )
 from tests.llm import cases
 
@@ -318,82 +318,3 @@ def test_long_texts_are_learned_from(spark):
     assert len(pieces) == 16 and all(len(p) == 1024 for p in pieces) and all(i <= at * 16 / (40_000 - 1024) <= i + 1 for i, at in enumerate(places))
     short = spark.range(1).select(quality_network.pieces_of(F.encode(F.lit("é" * 8000), "utf-8"), 16, 7, F.lit(5)).alias("p")).first()["p"]
     assert [bytes(p).decode() for p in short] == ["é" * 8000]
-
-
-# Language model
-
-
-def test_model_beats_the_base_on_held_out_texts(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = pitman_yor.score_texts(docs).collect()
-    tokens = {r.doc_id: cases.words(r.text) + [""] for r in docs.collect()}
-    import zlib
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    counts = Counter(w for i, ws in tokens.items() if not out[i] for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for r in rows:
-        own = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(own), sum(counts[w] > 0 for w in own), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_predictive_probabilities_sum_to_one(spark):
-    words = [(f"w{i % 50}x{i}".encode(), 1 + i % 40) for i in range(400)] + [(b"", 30), ("é".encode(), 2)]
-    df = spark.createDataFrame(words, "word binary, c long")
-    total = sum(c for _, c in words)
-    samples = pitman_yor._learn(df, total, pitman_yor.Settings())
-    names, counts = [w for w, _ in words] + [b"unseen"], np.array([c for _, c in words] + [0])
-    assert (10 ** pitman_yor.predictive(names, counts, total, samples)).sum() == pytest.approx(1)
-    spelling = samples[-1].spelling
-    contexts, _, _ = pitman_yor.spelled([b"w1"])
-    each = [spelling.probabilities([c[[2]].repeat(257) for c in contexts], np.arange(257), k).sum() for k in range(4)]
-    assert each == pytest.approx([1] * 4)
-
-
-def test_seating_keeps_every_customer():
-    for count in (1, 2, 3, 24, 25, 100, 10_000):
-        for seed in range(20):
-            tables = pitman_yor.seat(count, 0.6, 0.5, 6, seed)
-            assert 1 <= tables <= count
-
-
-def test_seating_is_the_same_at_every_count():
-    """Numbers of tables by blocks, which large dishes sit in, against the exact distribution by its recurrence."""
-    rng = np.random.default_rng(8)
-    for count, new in ((400, 3.0), (400, 100.0), (500, 600.0)):
-        ways = np.zeros(count + 2)
-        ways[1] = 1.0
-        for c in range(1, count):
-            ways[1 : c + 2] = np.maximum(c - 0.6 * np.arange(1, c + 2), 0) * ways[1 : c + 2] + new * ways[: c + 1]
-            ways /= ways.sum()
-        t = np.arange(count + 2)
-        mean = (ways * t).sum()
-        spread = math.sqrt((ways * (t - mean) ** 2).sum())
-        drawn = [pitman_yor.seat(count, 0.6, new, 1, seed) for seed in range(400)]
-        assert abs(np.mean(drawn) - mean) < 0.25 * spread
-        sizes, blocks = pitman_yor.begun(np.zeros(0, np.int64), count, 0.6, new, rng), []
-        for _ in range(600):
-            sizes = pitman_yor.reseated(sizes, 0.6, new, rng)
-            blocks.append(len(sizes))
-        assert sizes.sum() == count and abs(np.mean(blocks[20:]) - mean) < 0.25 * spread
-
-
-def test_large_words_keep_their_tables_between_sweeps(spark):
-    words = [(b"often", 3000), (b"seldom", 2), (b"", 900)]
-    df = spark.createDataFrame(words, "word binary, c long")
-    samples = pitman_yor._learn(df, 3902, pitman_yor.Settings())
-    assert all(set(s.large) == {b"often", b""} for s in samples)
-    names, counts = [w for w, _ in words] + [b"unseen"], np.array([c for _, c in words] + [0])
-    assert (10 ** pitman_yor.predictive(names, counts, 3902, samples)).sum() == pytest.approx(1)
-    kept = np.array([2000, 900, 100])
-    after = pitman_yor.large_tables([b"often"], np.array([3000]), [kept], 0.0, np.array([1e-12]), pitman_yor.Settings(), 1)[0]
-    assert len(after) <= 3 and after.sum() == 3000 and after.max() > 1000
-
-
-def test_language_model_of_awkward_rows(spark):
-    rows = pitman_yor.score_texts(cases.documents(spark)).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(d for d, _, _ in cases.ROWS)
-    assert all(r.n_tokens == 1 for r in rows if r.doc_id in (2, 3, 4)) and all(np.isfinite(r.score) and r.score < 0 for r in rows)
-    assert pitman_yor.score_texts(cases.documents(spark, [])).collect() == []
