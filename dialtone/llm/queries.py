@@ -49,7 +49,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spot_signatures.fingerprints(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    signed = spot_signatures.with_signatures(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "signatures")
+    classes = spot_signatures.similar_classes(signed).withColumnRenamed("id", "doc_id")
+    return spot_signatures.fingerprints(documents).join(classes, "doc_id", "left")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,17 @@ can't all miss.
 
 Defined results: a null text is an empty one. A text without any whole chain has one signature, of the whole
 text, so equal texts always have equal fingerprints, and the fingerprint of the empty text equals only itself.
-Rows that repeat an id stay separate rows, in the order of their texts. Other columns are ignored.
+Rows that repeat an id stay separate rows, in the order of their texts, and are in one class. A row without an id has
+no class. Very long texts have as many signatures as chains. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dialtone.llm.components import components
+from dialtone.llm.workspace import release, staged
+
 # Anchors, the commonest function words of some languages.
 ANCHORS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -78,6 +82,76 @@ def similar_pairs(signed: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     return found.where(F.col("similarity") >= threshold).select("a", "b", "similarity"), membership
 
 
+def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(item, band, node, n, at, large): the keys under which sets meet.
+
+    A set's signatures stand by rarity, `at` is the place. Two similar sets have a first common signature; in the
+    larger set it is among those that leave enough for its share of the threshold, in the smaller one among fewer, as
+    its partner is no smaller. So a set is listed as the larger one of a pair under its own size range, and by fewer
+    signatures as the smaller one under its own and the next range.
+    """
+    item = classes.select("node", "n", F.explode("s").alias("item"))
+    rarity = item.groupBy("item").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("node").orderBy("held", "item")
+    placed = item.join(rarity, "item").withColumn("at", F.row_number().over(order))
+    left = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
+    placed = placed.where(F.col("at") <= left(threshold))
+    band = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9)
+    few = F.col("at") <= left(2 * threshold / (1 + threshold))
+    roles = F.array(F.struct(band.alias("band"), F.lit(True).alias("large")), *[
+        F.when(few, F.struct((band + k).alias("band"), F.lit(False).alias("large"))) for k in (0, 1)])
+    return placed.select("item", "node", "n", "at", F.explode(F.array_compact(roles)).alias("role")).select("item", "role.*", "node", "n", "at")
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, by their whole sets."""
+    side = lambda k: classes.select(F.col("node").alias(k), F.col("s").alias(f"s{k}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    return found.where(likeness("sa", "sb", threshold) >= threshold - 1e-12).select("a", "b")
+
+
+def similar_classes(signed: DataFrame, threshold: float = 0.8, key: str = "doc_id", name: str = "signatures") -> DataFrame:
+    """(id, class, class_size): documents in classes by links of similar sets, a class named by its smallest id.
+
+    Equal sets are one node. Under each key all sets are first compared with one of them, so that a large group of near
+    copies is one component after that. Only sets of a key that are still in different components are then compared
+    with each other, where their places let them be similar.
+    """
+    named = signed.select(F.col(key).cast("long").alias("id"), F.col(name).alias("s")).where("id IS NOT NULL")
+    classes = named.select("s").distinct().select("s", F.size("s").alias("n"), F.monotonically_increasing_id().alias("node"))
+    classes = staged(classes, "sets")  # in files, so that a set's number stays
+    member = staged(named.distinct().join(classes, "s").select("id", "node"), "set-members")
+    # texts of one id are one document
+    first = member.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("sets")).where("sets > 1")
+    together = member.join(first, "id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+    keys = staged(_prefixes(classes, threshold), "prefixes")
+    same = ["item", "band"]
+    centre = keys.groupBy(*same).agg(F.min_by("node", F.struct(~F.col("large"), "node")).alias("b"), F.max("large").alias("met")).where("met")
+    star = keys.join(centre, same).where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    links = staged(_similar(star, classes, threshold).unionByName(together), "similar")
+    found = components(links)
+
+    labelled = keys.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = labelled.groupBy(*same).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("large").alias("met"))
+    open_ = staged(labelled.join(apart.where("met AND c1 <> c2").select(*same), same), "apart")
+    side = lambda k, large: open_.where(F.col("large") == large).select(
+        *same, *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "component")])
+    left = lambda k: F.col(f"n_{k}") - F.col(f"at_{k}")
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("n_x") + F.col("n_y")) - 1e-9)
+    fits = (F.col("component_x") != F.col("component_y")) & (F.col("n_x") <= F.col("n_y")) & (1 + F.least(left("x"), left("y")) >= needed)
+    rest = side("x", False).join(side("y", True), same).where(fits)
+    rest = rest.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+    more = staged(_similar(rest, classes, threshold), "similar")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    release(keys, open_, links, more)
+
+    whole = member.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component")).distinct()
+    sizes = whole.groupBy("component").agg(F.min("id").alias("class"), F.count("*").alias("class_size"))
+    return whole.join(sizes, "component").select("id", "class", "class_size")
+
+
 def _followed(documents: DataFrame) -> DataFrame:
     """(doc_id, text, signatures, next_text, next_signatures): rows beside the next row by id, the last beside the first.
 

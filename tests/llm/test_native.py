@@ -119,6 +119,12 @@ def test_fingerprints(spark):
         assert len(own) == max(1, len(_chains(text_of[r.doc_id])))
     by = {r.doc_id: r.fingerprint for r in rows}
     assert by[6] == by[8] and by[2] == by[3] != by[4]
+    # which signatures two texts share says which chains they share, and so how like they are
+    chains = lambda t: _chains(t) or {t}
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1]):
+        a, b = chains(text), chains(after)
+        mine = [r for r in rows if r.doc_id == doc]
+        assert any(r.near_next == pytest.approx(len(a & b) / len(a | b)) for r in mine)
 
 
 def test_signatures_keep_64_bits(spark):
@@ -151,7 +157,72 @@ def test_similar_pairs_equal_brute_force(spark, sf_dir):
     assert {r.id: r["class"] for r in member.collect()} == {i: named[s] for i, s in sets.items()}
 
 
+def _components(sets, ids=None):
+    """{id: smallest id} over links of similar sets, all pairs compared; sets are (id, set) rows."""
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets:
+        for j, t in sets:
+            if i < j and len(s & t) >= 0.8 * len(s | t) - 1e-12:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in parent}
+
+
+def test_similar_classes_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").fillna("", "text")
+    signed = spot_signatures.with_signatures(docs, "text", "signatures")
+    sets = [(r.doc_id, frozenset(r.signatures)) for r in signed.collect()]
+    want = _components(sets)
+    got = {r.id: (r["class"], r.class_size) for r in spot_signatures.similar_classes(signed).collect()}
+    sizes = Counter(want.values())
+    assert got == {i: (c, sizes[c]) for i, c in want.items()} and max(sizes.values()) > 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_classes_of_made_sets(spark, seed):
+    """Chains of near copies, sets that share a frequent core without being similar, repeated ids, rows without one."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    core = list(range(10))
+    for i in range(60):
+        kind = i % 4
+        if kind == 0:  # a chain: each differs a little from the one before
+            rows.append((i, list(range(1000 + i // 4, 1040 + i // 4))))
+        elif kind == 1:  # a common core and a few of its own
+            rows.append((i, core + [5000 + i * 10 + k for k in range(rng.randint(1, 3))]))
+        elif kind == 2:
+            rows.append((i, rng.sample(range(2000, 2012), rng.randint(1, 9))))
+        else:
+            rows.append((i, [7] if i % 8 == 3 else rng.sample(range(3000, 3006), 5)))
+    rows += [(0, [99_999]), (61, [99_999]), (None, [99_999])]
+    df = spark.createDataFrame([(i, sorted(set(s))) for i, s in rows], "doc_id long, signatures array<long>")
+    parent = _components([(i, frozenset(s)) for i, s in rows if i is not None and (i, s) != (0, [99_999])])
+    parent[61] = parent[0]  # by the second text of 0
+    smallest = {}
+    for i, c in parent.items():
+        smallest[c] = min(smallest.get(c, i), i)
+    sizes = Counter(parent.values())
+    got = {r.id: (r["class"], r.class_size) for r in spot_signatures.similar_classes(df.repartition(3)).collect()}
+    assert got == {i: (smallest[c], sizes[c]) for i, c in parent.items()}
+    assert len(set(parent.values())) > 10 and max(sizes.values()) >= 15
+
+
+def test_query_has_classes(spark, sf_dir):
+    rows = queries()["op5_spot_signatures"](spark, sf_dir).collect()
+    sets = {r.doc_id: frozenset(r.fingerprint.split(",")) for r in rows}
+    want = _components(list(sets.items()))
+    assert {r.doc_id: r["class"] for r in rows} == want
+
+
 @pytest.mark.parametrize("made", [
+    lambda df, spark: spot_signatures.similar_classes(spot_signatures.with_signatures(df, "text", "signatures")),
     lambda df, spark: secret_scans.digests(df, secret_scans.new_ledger(spark)), lambda df, spark: source_mixing.mix_sources(df),
     lambda df, spark: spot_signatures.fingerprints(df)])
 def test_empty_tables(spark, made):
