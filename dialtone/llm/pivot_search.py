@@ -8,7 +8,8 @@ evaluated in the order of that bound, in integers, and a query stops for good at
 is below its k-th best score. Queries start with the k-th best score within the sample.
 
 Queries and candidates meet in blocks of bounded size; each block pair gives k rows a query, which a ranking per
-query reduces to the result.
+query reduces to the result. What travels is the integers, in as few bytes as the longest vector allows; a block's
+table of distances is made where the block is, as the pivots are there already.
 
 Defined results: a vector that is null or holds a null or non-finite component takes no part, nor does a row
 without an id. Of rows that share an id the smallest vector counts. Vectors of different lengths are compared as
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PIVOTS, SAMPLE = 48, 1024
-QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 1024, 1024, 96
+QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 4096, 1024, 96
 SCALE = 256.0
 
 
@@ -40,6 +41,12 @@ def integers(vectors, width: int) -> np.ndarray:
     return out
 
 
+def stored_as(longest: float) -> str:
+    """The smallest type that holds the entries of vectors of this squared length at most."""
+    most = np.sqrt(longest) + 1
+    return "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+
+
 def lifted(rows: np.ndarray, longest: float) -> np.ndarray:
     """The component that brings candidates to the squared length `longest`."""
     return np.sqrt(np.maximum(longest - (rows * rows).sum(axis=1), 0))
@@ -107,14 +114,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     query_blocks = max(1, -(-whole["queries"] // QUERY_BLOCK))
     blocks = max(1, -(-whole["n"] // CANDIDATE_BLOCK))
 
+    kind = stored_as(longest)
+
     def described(as_query: bool):
         def run(batches):
-            seeds, seed_ids, pivots, pivot_extra = shared.value
+            seeds, seed_ids, _, _ = shared.value
             for part in batches:
                 rows = integers(part["v"], width)
-                extra = np.zeros(len(rows)) if as_query else lifted(rows, longest)
-                table = distances(rows, extra, pivots, pivot_extra)
-                out = pd.DataFrame({"id": part["id"], "at": part["at"], "row": [r.tobytes() for r in rows], "table": [r.astype("<f4").tobytes() for r in table]})
+                out = pd.DataFrame({"id": part["id"], "at": part["at"], "row": [r.tobytes() for r in rows.astype(kind)]})
                 if as_query:
                     starts = []
                     for own, row in zip(part["id"], rows):
@@ -128,7 +135,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     def block_of(salt: int, count: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(count)).cast("int").alias("at")
 
-    kinds = "id long, at int, row binary, table binary"
+    kinds = "id long, at int, row binary"
     asked = held.where("q").select("id", "v", block_of(1, query_blocks)).mapInPandas(described(True), f"{kinds}, start long")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("at", "query_block")
     given = held.select("id", "v", block_of(2, blocks)).mapInPandas(described(False), kinds)
@@ -137,14 +144,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id"
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(left) and len(right):
-            unpacked = lambda cells, kind: np.frombuffer(b"".join(cells), kind).reshape(len(cells), -1)
-            asked, rows = unpacked(left["row"], np.float64), unpacked(right["row"], np.float64)
-            tables, table = unpacked(left["table"], "<f4"), unpacked(right["table"], "<f4")
+            _, _, pivots, pivot_extra = shared.value
+            asked, rows = (np.frombuffer(b"".join(side["row"]), kind).reshape(len(side), -1).astype(np.float64) for side in (left, right))
+            tables = distances(asked, np.zeros(len(asked)), pivots, pivot_extra)
+            table = distances(rows, lifted(rows, longest), pivots, pivot_extra)
             ids = right["id"].to_numpy(np.int64)
             lengths = (asked * asked).sum(axis=1)
             for own, start, query, near, length in zip(left["id"], left["start"], asked, tables, lengths):
-                gap = np.abs(table - near).max(axis=1, initial=0).astype(np.float64)
-                gap = np.maximum(gap * (1 - 1e-5) - 1e-4 * (1 + np.sqrt(longest)), 0)  # single-precision tables
+                gap = np.abs(table - near).max(axis=1, initial=0)
+                gap = np.maximum(gap * (1 - 1e-5) - 1e-4 * (1 + np.sqrt(longest)), 0)  # distances are rounded
                 bound = (length + longest - gap * gap) / 2
                 bound += 1 + 1e-9 * np.abs(bound)
                 best = eliminate(query, own, None if pd.isna(start) else int(start), bound, ids, rows, k)
