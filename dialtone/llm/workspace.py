@@ -37,10 +37,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: what follows starts from files that outlive executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df` written to the shared folder and read back: what follows starts from files that outlive executors. Rows
+    lie in folders `by` the values of a column, if one is named."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
