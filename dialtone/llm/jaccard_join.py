@@ -21,7 +21,8 @@ room than the texts.
 
 Defined results: a null or blank text has an empty set and links with nothing. Rows with the same id are one
 document, linked by any of its texts. Rows without an id have no component. Shingles are compared by 64-bit
-hashes. Columns beside the id and the text are ignored.
+hashes. Very long texts are compared by their whole sets. An empty table gives no rows. Columns beside the id and the
+text are ignored.
 """
 
 from __future__ import annotations

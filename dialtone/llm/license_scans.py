@@ -11,7 +11,7 @@ Beside that, a document is searched for base phrases, whose words stand consecut
 
 Defined results: a null text is an empty one: no words, no labels, score 0. Rows that repeat an id are each
 scanned. The score is the largest share of a template that a block holds, among matching pairs; 1 with a base
-phrase. Other columns are ignored.
+phrase. Very long texts are scanned whole, block by block. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

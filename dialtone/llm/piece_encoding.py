@@ -7,7 +7,8 @@ such a model holds white space after another character, which is checked when th
 
 Defined results: a null text is an empty one; an empty text has no pieces. A piece's span runs from the first to
 past the last original byte of its characters; the added leading space and all but the last of the byte pieces
-of a character have empty spans. A lone surrogate, which no UTF-8 text holds, counts as U+FFFD.
+of a character have empty spans. A lone surrogate, which no UTF-8 text holds, counts as U+FFFD. Very long texts are
+encoded whole. Rows that repeat an id are each encoded. An empty table gives no rows. Other columns are carried along.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ table of distances is made where the block is, as the pivots are there already.
 Defined results: a vector that is null or holds a null or non-finite component takes no part, nor does a row
 without an id. Of rows that share an id the smallest vector counts. Vectors of different lengths are compared as
 if the shorter went on with zeros; an empty one scores 0. A query has as many rows as there are candidates, if
-fewer than k. Scores must fit a long. The sample bounds only how well the pivots prune, not what is found.
+fewer than k. Scores must fit a long. The sample bounds only how well the pivots prune, not what is found. An
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ label 1 (0.5 without any label). Repeated label rows of a document count once, w
 that repeat an id are each scored. Other columns of the input are ignored. Training reads at most
 `TrainingBounds.rows` labelled rows of each kind, whatever their length: a text that is longer than
 `TrainingBounds.chunks` chunks gives so many of them, drawn from equal stretches of the whole text. Scoring reads
-whole texts and has no bound.
+whole texts and has no bound. An empty table gives no rows.
 """
 
 from __future__ import annotations

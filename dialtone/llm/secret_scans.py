@@ -9,7 +9,8 @@ Places are found with SQL functions alone: a pattern splits a text into what lie
 match starts where the pieces and the matches before it end. Offsets count code points, ends are exclusive.
 
 Defined results: a null content is an empty one. Rows that repeat a path are separate versions. Paths without
-findings have no row in `findings_of_paths` and zero counts in `digests`. Other columns stay out of it.
+findings have no row in `findings_of_paths` and zero counts in `digests`. Very long contents are scanned whole. An
+empty table gives no rows. Other columns stay out of it.
 """
 
 from __future__ import annotations

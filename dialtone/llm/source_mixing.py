@@ -13,7 +13,8 @@ is one task.
 
 Defined results: a null text has no words; a null source is a source, the last one. A document past the target
 has 0 words taken and no position. The last document of a source is taken in part, so that the words taken are
-the target rounded down. Rows that repeat an id are separate documents. Without words all targets are 0.
+the target rounded down. Rows that repeat an id are separate documents. Without words all targets are 0. Very
+long texts count whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

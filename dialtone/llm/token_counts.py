@@ -6,8 +6,9 @@ Each node has a failure link, to where matching goes on when no edge fits, and t
 then complete. A word's count is the sum of these numbers along its way, in time linear in its length; no piece
 is ever built. A word that can't be cut is one unknown token.
 
-Defined results: a null text is an empty one with 0 tokens. Rows that repeat an id are each counted. Other
-columns are ignored.
+Defined results: a null text is an empty one with 0 tokens. Rows that repeat an id are each counted. Very
+long texts are counted whole, in time proportional to them. An empty table gives no rows. Other columns are carried
+along.
 """
 
 from __future__ import annotations

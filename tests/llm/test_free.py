@@ -111,6 +111,7 @@ def test_token_counts(spark):
         counts = [_greedy(w, beginning, continuing) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
         want.append((doc, len(counts), sum(c % token_counts.UNKNOWN for c in counts), sum(c // token_counts.UNKNOWN for c in counts)))
     assert Counter(map(tuple, rows)) == Counter(want)
+    assert token_counts.count_tokens(cases.documents(spark, []), MODEL).collect() == []
 
 
 # Pieces
