@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialtone.llm.components import components
-from dialtone.llm.workspace import release, staged
+from dialtone.llm.workspace import release, staged, without_shuffle_files
 
 # Anchors, the commonest function words of some languages.
 ANCHORS = (
@@ -117,10 +117,16 @@ def similar_classes(signed: DataFrame, threshold: float = 0.8, key: str = "doc_i
     copies is one component after that. Only sets of a key that are still in different components are then compared
     with each other, where their places let them be similar.
     """
-    named = signed.select(F.col(key).cast("long").alias("id"), F.col(name).alias("s")).where("id IS NOT NULL")
+    with without_shuffle_files(signed.sparkSession):
+        return _similar_classes(signed, threshold, key, name)
+
+
+def _similar_classes(signed: DataFrame, threshold: float, key: str, name: str) -> DataFrame:
+    named = staged(signed.select(F.col(key).cast("long").alias("id"), F.col(name).alias("s")).where("id IS NOT NULL").distinct(), "signed")
     classes = named.select("s").distinct().select("s", F.size("s").alias("n"), F.monotonically_increasing_id().alias("node"))
     classes = staged(classes, "sets")  # in files, so that a set's number stays
-    member = staged(named.distinct().join(classes, "s").select("id", "node"), "set-members")
+    member = staged(named.join(classes, "s").select("id", "node"), "set-members")
+    release(named)
     # texts of one id are one document
     first = member.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("sets")).where("sets > 1")
     together = member.join(first, "id").where("node <> b").select(F.col("node").alias("a"), "b")
