@@ -15,10 +15,12 @@ no class. Very long texts have as many signatures as chains. An empty table give
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialtone.llm.components import components
-from dialtone.llm.workspace import release, staged, without_shuffle_files
+from dialtone.llm.workspace import clear, made, release, staged, without_shuffle_files
 
 # Anchors, the commonest function words of some languages.
 ANCHORS = (
@@ -29,6 +31,7 @@ ANCHORS = (
 ).split()
 CHAIN = 3
 RANGE_ROWS, MOST_RANGES = 2_000, 2_000
+BLOCK = 32  # sets of a key in a block
 LETTERS = r"[^\p{L}\p{N}]+"
 
 
@@ -83,24 +86,30 @@ def similar_pairs(signed: DataFrame, threshold: float = 0.8, key: str = "doc_id"
 
 
 def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
-    """(item, band, node, n, at, large): the keys under which sets meet.
+    """(item, band, node, n, at, large), in files: the keys under which sets meet.
 
     A set's signatures stand by rarity, `at` is the place. Two similar sets have a first common signature; in the
     larger set it is among those that leave enough for its share of the threshold, in the smaller one among fewer, as
     its partner is no smaller. So a set is listed as the larger one of a pair under its own size range, and by fewer
-    signatures as the smaller one under its own and the next range.
+    signatures as the smaller one under its own and the next range. Signatures that no other set has stand first and
+    are only counted.
     """
     item = classes.select("node", "n", F.explode("s").alias("item"))
-    rarity = item.groupBy("item").agg(F.count("*").alias("held"))
-    order = Window.partitionBy("node").orderBy("held", "item")
-    placed = item.join(rarity, "item").withColumn("at", F.row_number().over(order))
+    # in files, so that the shuffle files of the counts are gone before the signatures are shuffled again
+    rarity = staged(item.groupBy("item").agg(F.count("*").alias("held")).where("held > 1"), "rarity")
+    whole = Window.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(whole)
+    placed = item.join(rarity, "item").withColumn("at", (alone + F.row_number().over(whole.orderBy("held", "item"))).cast("int"))
     left = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
     placed = placed.where(F.col("at") <= left(threshold))
     band = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9)
     few = F.col("at") <= left(2 * threshold / (1 + threshold))
     roles = F.array(F.struct(band.alias("band"), F.lit(True).alias("large")), *[
         F.when(few, F.struct((band + k).alias("band"), F.lit(False).alias("large"))) for k in (0, 1)])
-    return placed.select("item", "node", "n", "at", F.explode(F.array_compact(roles)).alias("role")).select("item", "role.*", "node", "n", "at")
+    listed = placed.select("item", "node", "n", "at", F.explode(F.array_compact(roles)).alias("role"))
+    keys = staged(listed.select("item", "role.*", "node", "n", "at"), "prefixes")
+    release(rarity)
+    return keys
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -110,15 +119,44 @@ def _similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return found.where(likeness("sa", "sb", threshold) >= threshold - 1e-12).select("a", "b")
 
 
+def _between(open_: DataFrame, threshold: float, how: str) -> DataFrame:
+    """Distinct pairs (a, b) of sets of a key that are in different components and whose places let them be similar:
+    "some" of one block of about `BLOCK` sets of the key, those with the "first" set of a component and role, or "all"."""
+    same = ["item", "band"]
+    if how == "some":
+        blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+        open_ = open_.withColumn("block", F.pmod(F.xxhash64("node", "item"), blocks))
+        same.append("block")
+    leads = F.lit(True)
+    if how == "first":
+        role = [*same, "component", "large"]
+        open_ = open_.join(open_.groupBy(*role).agg(F.min("node").alias("first")), role)
+        leads = F.col("node") == F.col("first")
+    open_ = open_.withColumn("leads", leads)
+    side = lambda k, large: open_.where(F.col("large") == large).select(
+        *same, *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "component", "leads")])
+    left = lambda k: F.col(f"n_{k}") - F.col(f"at_{k}")
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("n_x") + F.col("n_y")) - 1e-9)
+    fits = (F.col("component_x") != F.col("component_y")) & (F.col("n_x") <= F.col("n_y")) & (1 + F.least(left("x"), left("y")) >= needed)
+    pairs = side("x", False).where("leads_x").join(side("y", True), same).where(fits)
+    if how == "first":
+        pairs = pairs.unionByName(side("x", False).join(side("y", True).where("leads_y"), same).where(fits))
+    return pairs.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+
+
 def similar_classes(signed: DataFrame, threshold: float = 0.8, key: str = "doc_id", name: str = "signatures") -> DataFrame:
     """(id, class, class_size): documents in classes by links of similar sets, a class named by its smallest id.
 
     Equal sets are one node. Under each key all sets are first compared with one of them, so that a large group of near
-    copies is one component after that. Only sets of a key that are still in different components are then compared
-    with each other, where their places let them be similar.
+    copies is one component after that, or a few. Sets of a key that are still in different components are compared
+    with some others, then with one set of each other component, and only those still apart after that all with each
+    other: what is compared and linked grows with a group's size, not with its square.
     """
-    with without_shuffle_files(signed.sparkSession):
-        return _similar_classes(signed, threshold, key, name)
+    spark, before = signed.sparkSession, made()
+    with without_shuffle_files(spark):
+        classes = staged(_similar_classes(signed, threshold, key, name), "classes")
+    clear(spark, keep=before, but=classes)
+    return classes
 
 
 def _similar_classes(signed: DataFrame, threshold: float, key: str, name: str) -> DataFrame:
@@ -131,27 +169,26 @@ def _similar_classes(signed: DataFrame, threshold: float, key: str, name: str) -
     first = member.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("sets")).where("sets > 1")
     together = member.join(first, "id").where("node <> b").select(F.col("node").alias("a"), "b")
 
-    keys = staged(_prefixes(classes, threshold), "prefixes")
+    keys = _prefixes(classes, threshold)
     same = ["item", "band"]
     centre = keys.groupBy(*same).agg(F.min_by("node", F.struct(~F.col("large"), "node")).alias("b"), F.max("large").alias("met")).where("met")
     star = keys.join(centre, same).where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    links = staged(_similar(star, classes, threshold).unionByName(together), "similar")
-    found = components(links)
-
-    labelled = keys.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = labelled.groupBy(*same).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("large").alias("met"))
-    open_ = staged(labelled.join(apart.where("met AND c1 <> c2").select(*same), same), "apart")
-    side = lambda k, large: open_.where(F.col("large") == large).select(
-        *same, *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "component")])
-    left = lambda k: F.col(f"n_{k}") - F.col(f"at_{k}")
-    needed = F.ceil(threshold / (1 + threshold) * (F.col("n_x") + F.col("n_y")) - 1e-9)
-    fits = (F.col("component_x") != F.col("component_y")) & (F.col("n_x") <= F.col("n_y")) & (1 + F.least(left("x"), left("y")) >= needed)
-    rest = side("x", False).join(side("y", True), same).where(fits)
-    rest = rest.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
-    more = staged(_similar(rest, classes, threshold), "similar")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    release(keys, open_, links, more)
+    links = [staged(_similar(star, classes, threshold).unionByName(together), "similar")]
+    found, tried = components(links[0]), []
+
+    for how in ("some", "first", "all"):
+        labelled = keys.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = labelled.groupBy(*same).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("large").alias("met"), F.count("*").alias("held"))
+        open_ = staged(labelled.join(apart.where("met AND c1 <> c2").select(*same, "held"), same), "apart")
+        pairs = _between(open_, threshold, how)
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        tried.append(staged(pairs, "pairs"))
+        more = staged(_similar(tried[-1], classes, threshold), "similar")
+        if not more.isEmpty():
+            links.append(more)
+            found = components(reduce(DataFrame.unionByName, links))
+        release(open_)
 
     whole = member.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component")).distinct()
     sizes = whole.groupBy("component").agg(F.min("id").alias("class"), F.count("*").alias("class_size"))
@@ -189,17 +226,23 @@ def _followed(documents: DataFrame) -> DataFrame:
     ).where("NOT again").drop("again")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, beside: DataFrame | None = None) -> DataFrame:
     """Each document's fingerprint beside that of its edited text (its last quarter replaced by the beginning of the
-    next document), and its likeness to that and to the next document."""
+    next document), and its likeness to that and to the next document; also the columns of `beside`, a row per doc_id."""
     rows = _followed(documents).withColumn("n_chars", F.length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter)
     rows = rows.withColumn("edited", F.concat(kept, F.substring(F.col("next_text"), F.lit(1), quarter)))
     rows = with_signatures(rows.drop("text", "next_text"), "edited", "edited_signatures")
+    rows = rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "signatures", "edited_signatures",
+        likeness("signatures", "edited_signatures").alias("near_edited"), likeness("signatures", "next_signatures").alias("near_next"),
+    )
+    if beside is not None:
+        rows = rows.join(beside, "doc_id", "left")  # before the digits are written, which take twice the room
     written = lambda c: F.array_join(F.transform(c, lambda x: F.hex(x)), ",")
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), written("signatures").alias("fingerprint"),
-        written("edited_signatures").alias("edited_fingerprint"), likeness("signatures", "edited_signatures").alias("near_edited"),
-        likeness("signatures", "next_signatures").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", written("signatures").alias("fingerprint"),
+        written("edited_signatures").alias("edited_fingerprint"), "near_edited", "near_next",
+        *[c for c in (beside.columns if beside is not None else ()) if c != "doc_id"],
     )

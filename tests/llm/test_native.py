@@ -214,6 +214,27 @@ def test_similar_classes_of_made_sets(spark, seed):
     assert len(set(parent.values())) > 10 and max(sizes.values()) >= 15
 
 
+def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """A group of which every set is similar to some others only, in many components after the first comparison."""
+    import random
+
+    rng, seen, components = random.Random(3), [], spot_signatures.components
+    monkeypatch.setattr(spot_signatures, "components", lambda links: (seen.append(links.count()), components(links))[1])
+    rows = [(i, sorted([*rng.sample(range(42), 38), 1000 + i // 2])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, signatures array<long>")
+    want = _components([(i, frozenset(s)) for i, s in rows])
+    got = {r.id: r["class"] for r in spot_signatures.similar_classes(df).collect()}
+    assert got == want and max(Counter(want.values()).values()) == 400
+    assert max(seen) < 10 * len(rows)
+
+
+def test_keys_are_signatures_that_several_sets_have(spark):
+    """Signatures that one set has alone come first and are counted, but give no rows."""
+    rows = [(0, list(range(10)), 10), (1, list(range(1, 11)), 10), (2, [50, 51], 2), (3, [52, 53, 54], 3)]
+    keys = spot_signatures._prefixes(spark.createDataFrame(rows, "node long, s array<long>, n int"), 0.8).collect()
+    assert {(k["item"], k["node"], k["at"]) for k in keys} == {(1, 0, 2), (2, 0, 3), (1, 1, 2), (2, 1, 3)}
+
+
 def test_query_has_classes(spark, sf_dir):
     rows = queries()["op5_spot_signatures"](spark, sf_dir).collect()
     sets = {r.doc_id: frozenset(r.fingerprint.split(",")) for r in rows}
