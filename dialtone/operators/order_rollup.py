@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialtone.config import ORDER_TIME_ZONE, PREPAID_PRODUCT
 
+PARTITION_LINES = 250_000
+
 
 def effective_order_time(local: str, utc: str, zone: str = ORDER_TIME_ZONE) -> str:
     """Local order time, or the UTC time moved to the local zone."""
@@ -27,9 +29,21 @@ def orders_since(orders: DataFrame, from_date: date, zone: str = ORDER_TIME_ZONE
     return orders.filter(f"{coarse} AND {exact}")
 
 
+def dealt(orders: DataFrame, key: str = "call_id") -> DataFrame:
+    """The order lines by call in partitions of about ``PARTITION_LINES``, however many there are.
+
+    The sorts and hash tables of a join and a roll-up by call then hold no more in a task as the table grows.
+    """
+    lines = orders.count()
+    if lines <= PARTITION_LINES:
+        return orders
+    least = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return orders.repartition(max(least, -(-lines // PARTITION_LINES)), key)
+
+
 def in_scope(orders: DataFrame, calls: DataFrame, key: str = "call_id") -> DataFrame:
-    """Order lines of calls that are in ``calls``."""
-    return orders.join(calls.select(key), key, "left_semi")
+    """Order lines of calls that are in ``calls``, dealt by call."""
+    return dealt(orders, key).join(calls.select(key), key, "left_semi")
 
 
 def order_rollup(orders: DataFrame, prepaid_product: str = PREPAID_PRODUCT) -> DataFrame:

@@ -172,6 +172,16 @@ def test_effective_order_day(spark, local, utc, kept):
     assert (orders_since(orders, date(2024, 1, 1)).count() == 1) is kept
 
 
+def test_scoped_order_lines_lie_in_partitions_of_bounded_size(spark, monkeypatch):
+    from dialtone.operators import order_rollup as rollup
+
+    monkeypatch.setattr(rollup, "PARTITION_LINES", 100)
+    orders = spark.range(6000).selectExpr("id % 1500 AS call_id", "id AS order_id")
+    scoped = rollup.in_scope(orders, spark.range(0, 1500, 2).selectExpr("id AS call_id"))
+    assert scoped.rdd.getNumPartitions() == 60
+    assert sorted(map(tuple, scoped.collect())) == sorted((i % 1500, i) for i in range(6000) if i % 2 == 0)
+
+
 def test_order_rollup_counts_distinct_orders(spark):
     orders = rows_of(spark, ORDERS, *[{"call_id": 1, "order_id": o} for o in (1, 1, 2, None)])
     row = order_rollup(orders).first()
